@@ -1,6 +1,6 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-A text's tokens are its runs of at most `piece` characters without white space; its k-mers are windows of `k` tokens (one
+A text's tokens are its words, or, if those have more than `piece` characters on average, pieces of that size; its k-mers are windows of `k` tokens (one
 shorter window if there are fewer), numbered by occurrence, so that repeats count. For each of `m` signature parts, `l` hash
 functions each select the k-mer occurrence with the smallest hash; the selected ones are put back in text order and hashed
 together. Two texts agree in a part if they share the selected k-mers and also their order: likeness falls with edit distance.
@@ -25,9 +25,9 @@ LOWEST = -(2**63)
 
 
 def tokens(text: Column, piece: int = 16) -> Column:
-    long = r"[^\x20\x09-\x0D]{%d}" % piece
-    shorter = F.when(text.rlike(long + r"[^\x20\x09-\x0D]"), F.regexp_replace(text, f"({long})", "$1 ")).otherwise(text)
-    return parts(shorter, "\t\n\x0b\f\r ", lower=False)
+    between, any_but = "\t\n\x0b\f\r ", r"([^\x20\x09-\x0D]{%d})" % piece
+    ts = parts(text, between, lower=False)
+    return F.when(F.length(text) > (piece + 1) * F.size(ts), parts(F.regexp_replace(text, any_but, "$1 "), between, lower=False)).otherwise(ts)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, k: int = 5, m: int = 32, l: int = 2) -> DataFrame:  # noqa: E741

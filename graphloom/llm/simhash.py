@@ -18,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut, id_and_text
@@ -132,3 +132,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     joined = prints.join(members.select(F.col("node").alias("fp"), F.col("low").alias("component_id")), "fp", "left")
     return joined.select("doc_id", hexed, "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
+    """docs, all columns, with one row of each component: the one of its smallest id; of the rows with null ids alone, one stays."""
+    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
+    heads = near_duplicates(docs, shingle, bits).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct()
+    # ids are unique as a rule; of rows that share a kept id, one stays
+    once = Window.partitionBy("k").orderBy(F.xxhash64("row"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), id_.alias("k"))
+    return rows.join(heads, "k").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
