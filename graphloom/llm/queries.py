@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import contamination
 from .html_text import page_text
+from .lm_scoring import lm_scores
 from .order_minhash import fingerprints as order_fingerprints
 from .packing import pack
 from .pii import personal_data
@@ -46,6 +47,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
