@@ -55,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder: its lineage ends there, so a lost executor costs nothing upstream."""
     checkpoint_dir(df.sparkSession)
+    # shuffle files of what has been cut before are of no use now; Spark removes them when the driver has collected its garbage
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint()
 
 
