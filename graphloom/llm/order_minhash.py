@@ -67,7 +67,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     part = F.size(F.filter(at, lambda b: b < F.col("id")))
     top = F.struct(part.alias("part"), F.lit(0).alias("turn"))
     before = F.when(F.array_contains(at, F.col("id")), F.when(part == len(bounds) - 1, F.struct(F.lit(0).alias("part"), F.lit(2).alias("turn"))).otherwise(F.struct((part + 1).alias("part"), F.lit(1).alias("turn"))))
-    dealt = rows.select("doc_id", "text", "id", F.inline(F.filter(F.array(top, before), lambda x: x.isNotNull())))
+    dealt = rows.select("doc_id", "text", "id", F.inline(F.filter(F.array(top, before), lambda x: x.isNotNull()))).repartition(ranges, "part")
     order = Window.partitionBy("part").orderBy("turn", F.desc("id"), "text")
     return dealt.select("part", F.row_number().over(order).alias("n"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), (F.col("turn") == 0).alias("real"))
 
