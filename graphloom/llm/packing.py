@@ -29,7 +29,7 @@ from .common import id_and_text, small
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words that a worker remembers; then those stay that the batch at hand has.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 1_000_000
 #: Texts within these letters need no normalization but lower case; the pattern cuts them as the tokenizer does.
 OTHER = re.compile("[\u0130\u0180-\U0010ffff]|<\\|").search
 LETTER, NUMBER, SPACE = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
