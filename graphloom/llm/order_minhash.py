@@ -78,8 +78,9 @@ def fingerprints(docs: DataFrame, k: int = 5, m: int = 32, l: int = 2) -> DataFr
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.coalesce("next_text", "text"), F.lit(1), half))
     rows = with_next(docs).select("part", "n", "doc_id", "real", "text", edited.alias("edited"))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    both = rows.select("part", "n", F.inline(F.filter(sides, lambda s: F.col("real") | (s["side"] == 0))))
-    signed = signatures(both.select("part", (F.col("n") * 2 + F.col("side")).alias("row"), "t"), ["part", "row"], "t", k, m, l)
+    # with doc_id, this branch needs the same columns as `facts`, so that one shuffle of the texts serves both
+    both = rows.select("part", "n", "doc_id", F.inline(F.filter(sides, lambda s: F.col("real") | (s["side"] == 0))))
+    signed = signatures(both.select("part", "doc_id", (F.col("n") * 2 + F.col("side")).alias("row"), "t"), ["part", "row", "doc_id"], "t", k, m, l)
     of = lambda side: F.max(F.when(F.col("row") % 2 == side, F.col("signature")))
     pair = signed.groupBy("part", F.floor(F.col("row") / 2).cast("int").alias("n")).agg(of(0).alias("s"), of(1).alias("e"))
     facts = rows.select("part", "n", "doc_id", "real", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
