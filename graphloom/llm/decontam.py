@@ -48,10 +48,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_window
     pos, length = F.floor(F.col("place") / (size + 1)).cast("int"), F.pmod("place", F.lit(size + 1))
     each = each.withColumn("hash", F.when(F.col("place") >= 0, F.xxhash64(window_at(F.col("ws"), pos, length))))
     set_ = wanted.select("hash", "window", "items")
-    found = each.join(F.broadcast(set_) if few else set_, "hash", "left").where("place < 0 or window is not null")
-    found = found.where((F.col("place") < 0) | (window_at(F.col("ws"), pos, length) == F.col("window")))
     itself = F.col("place") < 0
-    return found.select("k_id", "k_text", "doc_id", F.when(~itself, pos).alias("pos"), F.when(itself, F.size("ws")).otherwise(length).alias("length"), "items")
+    if few:
+        found = each.join(F.broadcast(set_), "hash", "left").where("place < 0 or window is not null")
+        found = found.where(itself | (window_at(F.col("ws"), pos, length) == F.col("window"))).withColumn("n", F.size("ws"))
+    else:  # rows that are shuffled don't carry the words: a document's hits meet them afterwards, once
+        keys = ["k_id", "k_text", "doc_id"]
+        found = each.select(*keys, "place", F.coalesce("hash", "k_text").alias("hash"), F.when(itself, F.size("ws")).alias("n")).join(set_, "hash", "left")
+        found = found.where(itself | F.col("window").isNotNull())
+        hit = found.where(~itself).distinct().groupBy("k_id", "k_text").agg(F.collect_list(F.struct(pos.alias("pos"), length.alias("length"), "place", "window", "items")).alias("hits"))
+        texts = ws.select("k_id", "k_text", "doc_id", "ws").join(hit, ["k_id", "k_text"])
+        true = texts.select(*keys, F.inline(F.filter("hits", lambda h: F.slice("ws", h["pos"] + 1, h["length"]) == h["window"])))
+        none = F.lit(None)
+        found = found.where(itself).select(*keys, "place", "n", none.cast("array<string>").alias("items")).unionByName(true.select(*keys, "place", none.cast("int").alias("n"), "items"))
+    return found.select("k_id", "k_text", "doc_id", F.when(~itself, pos).alias("pos"), F.when(itself, F.col("n")).otherwise(length).alias("length"), F.when(~itself, F.col("items")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
