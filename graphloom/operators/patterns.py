@@ -112,10 +112,12 @@ def optional(a: Solutions, b: Solutions, condition: Column | None = None) -> Sol
         on = reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in shared])
         df = a.df.join(y, on if condition is None else on & condition, "left").select(*a.names, *rest)
         return Solutions(df, a.maybe | {*rest})
-    kept = join(a, b) if condition is None else join(a, b).where(condition)
-    tagged = Solutions(a.df, a.maybe)
-    alone = minus(tagged, kept.select(*a.names), any_domain=True)
-    return union(kept, alone)
+    # an unbound variable may be filled by b, so rows are told apart by what a had
+    tagged = Solutions(a.df.withColumn("a__", F.struct(*a.names)), a.maybe)
+    kept = join(tagged, b) if condition is None else join(tagged, b).where(condition)
+    matched = kept.df.select(F.col("a__").alias("r__")).distinct()
+    alone = a.df.join(matched, F.struct(*a.names).eqNullSafe(F.col("r__")), "left_anti")
+    return union(Solutions(kept.df.drop("a__"), kept.maybe), Solutions(alone, a.maybe))
 
 
 def union(*parts: Solutions) -> Solutions:
@@ -124,15 +126,11 @@ def union(*parts: Solutions) -> Solutions:
     return Solutions(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [p.df for p in parts]).select(*names), maybe)
 
 
-def minus(a: Solutions, b: Solutions, any_domain: bool = False) -> Solutions:
-    """MINUS: drops what is compatible with a row of b and shares a bound variable with it; without shared variables, nothing.
-    any_domain: NULLs are values (what is dropped is what is in b)."""
+def minus(a: Solutions, b: Solutions) -> Solutions:
+    """MINUS: drops what is compatible with a row of b and shares a bound variable with it; without shared variables, nothing."""
     shared = [n for n in a.names if n in b.names]
     if not shared:
         return a
-    if any_domain:
-        y = b.df.select(*(F.col(n).alias(f"{n}__r") for n in shared)).distinct()
-        return Solutions(a.df.join(y, reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}__r")) for n in shared]), "left_anti"), a.maybe)
     out = a.df
     for bound, y in _parts(b, shared):
         if not bound:
