@@ -21,10 +21,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, row_key
+from .common import batches, cut, drop, row_key
 
 BASES = (0x9E3779B97F4A7C13, 0xD6E8FEB86659FD93)
 KEPT = 400_000
@@ -89,7 +89,7 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
 
 
 def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: int = 400_000) -> DataFrame:
-    """k_id, k_text, a, b: windows a to b (their first words' places) of a row of docs occur elsewhere too."""
+    """k_id, k_text, runs: an array of (a, b); windows a to b (their first words' places) of a row of docs occur elsewhere too."""
     docs = row_key(docs)
 
     def anchored(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,13 +101,15 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: in
         return pa.RecordBatch.from_arrays(_longs(*key, *columns), names=["k_id", "k_text", "anchor", "extent", "a", "b"])
 
     found = cut(docs.mapInArrow(batches(anchored), "k_id long, k_text long, anchor long, extent long, a long, b long"))
-    extents = found.groupBy("anchor", "extent").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k_id", "k_text", "a", "b")))
-    by_anchor = Window.partitionBy("anchor")
-    extents = extents.withColumn("extents", F.count("*").over(by_anchor)).where("n > 1 or extents > 1")
-    extents = cut(extents)
-    full = found.join(extents.where("n > 1").select("anchor", "extent"), ["anchor", "extent"]).select("k_id", "k_text", "a", "b")
-
-    extend = extents.where("extents > 1").select("k_id", "k_text", F.struct("a", "b", (F.col("n") == 1).alias("open")).alias("run"))
+    # an anchor that occurs once has no match; m and n are all a hot anchor needs, so no task sees its rows together
+    again = found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    met = cut(found.join(again, "anchor"))
+    drop(found)
+    extents = cut(met.groupBy("anchor", "extent").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("m", "k_id", "k_text", "a", "b"))))
+    full = met.join(extents.where("n > 1").select("anchor", "extent"), ["anchor", "extent"]).select("k_id", "k_text", "a", "b")
+
+    # n < m: the anchor has other extents too
+    extend = extents.where("n < m").select("k_id", "k_text", F.struct("a", "b", (F.col("n") == 1).alias("open")).alias("run"))
     few = extend.limit(broadcast_runs + 1).count() <= broadcast_runs
     by_doc = extend.groupBy("k_id", "k_text").agg(F.collect_list("run").alias("runs"))
 
@@ -123,17 +125,19 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: in
         return pa.RecordBatch.from_arrays([*_longs(*(np.concatenate(o) for o in out[:5])), pa.array(np.concatenate(out[5]).astype(bool))], names=["k_id", "k_text", "w1", "w2", "a", "open"])
 
     texts = docs.select("k_id", "k_text", "text")
-    once = texts if few else texts.dropDuplicates(["k_id", "k_text"])
-    joined = once.join(F.broadcast(by_doc) if few else by_doc, ["k_id", "k_text"]).select("k_id", "k_text", "text", "runs")
-    ends = cut(joined.mapInArrow(batches(windows), "k_id long, k_text long, w1 long, w2 long, a long, open boolean").distinct())
+    joined = texts.join(F.broadcast(by_doc) if few else by_doc, ["k_id", "k_text"]).select("k_id", "k_text", "text", "runs")
+    # repeated rows give their windows twice, but never open ones: an extent in both of two such rows occurs twice
+    ends = cut(joined.mapInArrow(batches(windows), "k_id long, k_text long, w1 long, w2 long, a long, open boolean"))
     twice = ends.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    met = ends.where("open").join(twice, ["w1", "w2"]).select("k_id", "k_text", "a", F.col("a").alias("b"))
-    return full.unionByName(met)
+    extended = ends.where("open").join(twice, ["w1", "w2"]).select("k_id", "k_text", "a", F.col("a").alias("b"))
+    marks = cut(full.unionByName(extended).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("a", "b")).alias("runs")))
+    drop(met, extents, ends)
+    return marks
 
 
 def without_repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept, the words that stay, for every row of docs."""
-    found = repeats(docs, length, seed).groupBy("k_id", "k_text").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
+    found = repeats(docs, length, seed)
 
     def remove(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
