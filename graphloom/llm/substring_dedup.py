@@ -7,8 +7,8 @@ extended both ways to its ends. Where an anchor has different extents, one repre
 window, and windows that meet mark the place where the match ends. What is marked, joined up, are the maximal repeats.
 
 Extents and windows meet by 128 bits of hashes (two bases, mixed) and are aggregated before they are shuffled; no pair of
-occurrences is ever made, so a passage that a third of all documents share costs a row each. The only broadcast is of the runs
-to extend, if they are few enough (`broadcast_runs`, counted first); else the same join shuffles.
+occurrences is ever made, so a passage that a third of all documents share costs a row each. Nothing is broadcast. Counts are
+written before they are joined, so that both sides of such a join are plain exchanges, which can be split where a key is hot.
 
 Null texts are empty. Repeated rows are each other's copies, so all windows of theirs are removed. Texts under `length` words
 keep all. Empty table: no rows.
@@ -88,7 +88,7 @@ def _longs(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns]
 
 
-def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: int = 400_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 35, seed: int = 8) -> DataFrame:
     """k_id, k_text, runs: an array of (a, b); windows a to b (their first words' places) of a row of docs occur elsewhere too."""
     docs = row_key(docs)
 
@@ -102,15 +102,14 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: in
 
     found = cut(docs.mapInArrow(batches(anchored), "k_id long, k_text long, anchor long, extent long, a long, b long"))
     # an anchor that occurs once has no match; m and n are all a hot anchor needs, so no task sees its rows together
-    again = found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    again = cut(found.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"))  # a table: the join's exchange can then be split
     met = cut(found.join(again, "anchor"))
-    drop(found)
+    drop(found, again)
     extents = cut(met.groupBy("anchor", "extent").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("m", "k_id", "k_text", "a", "b"))))
     full = met.join(extents.where("n > 1").select("anchor", "extent"), ["anchor", "extent"]).select("k_id", "k_text", "a", "b")
 
     # n < m: the anchor has other extents too
     extend = extents.where("n < m").select("k_id", "k_text", F.struct("a", "b", (F.col("n") == 1).alias("open")).alias("run"))
-    few = extend.limit(broadcast_runs + 1).count() <= broadcast_runs
     by_doc = extend.groupBy("k_id", "k_text").agg(F.collect_list("run").alias("runs"))
 
     def windows(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -125,13 +124,13 @@ def repeats(docs: DataFrame, length: int = 35, seed: int = 8, broadcast_runs: in
         return pa.RecordBatch.from_arrays([*_longs(*(np.concatenate(o) for o in out[:5])), pa.array(np.concatenate(out[5]).astype(bool))], names=["k_id", "k_text", "w1", "w2", "a", "open"])
 
     texts = docs.select("k_id", "k_text", "text")
-    joined = texts.join(F.broadcast(by_doc) if few else by_doc, ["k_id", "k_text"]).select("k_id", "k_text", "text", "runs")
+    joined = texts.join(by_doc, ["k_id", "k_text"]).select("k_id", "k_text", "text", "runs")
     # repeated rows give their windows twice, but never open ones: an extent in both of two such rows occurs twice
     ends = cut(joined.mapInArrow(batches(windows), "k_id long, k_text long, w1 long, w2 long, a long, open boolean"))
-    twice = ends.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    twice = cut(ends.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"))
     extended = ends.where("open").join(twice, ["w1", "w2"]).select("k_id", "k_text", "a", F.col("a").alias("b"))
     marks = cut(full.unionByName(extended).groupBy("k_id", "k_text").agg(F.collect_set(F.struct("a", "b")).alias("runs")))
-    drop(met, extents, ends)
+    drop(met, extents, ends, twice)
     return marks
 
 
