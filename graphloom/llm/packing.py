@@ -10,6 +10,7 @@ Null text: an empty document, of the end id alone. Repeated rows are packed each
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -88,6 +89,12 @@ class WordIds(dict):
             yield self.library(text) if words is None else b"".join(map(self.__getitem__, words))  # long words are merged here
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """A worker's own: its next tasks use what it has remembered, WORDS_KEPT words at most."""
+    return WordIds(path)
+
+
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Indices of sizes in k windows of near-equal sums."""
     if k == 1:
@@ -131,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     full = int(pool_windows * capacity * fill)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = WordIds(tokenizer), struct.pack("<I", end_id)
+        ids_of, end = word_ids(tokenizer), struct.pack("<I", end_id)
         at = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         pool: list[tuple] = []
