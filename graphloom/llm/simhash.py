@@ -13,12 +13,13 @@ a component of null ids alone has a null component_id. Empty and null texts have
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, cut, id_and_text
@@ -134,11 +135,44 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFra
     return joined.select("doc_id", hexed, "component_id")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Each row of docs as `row`, its text, and the longs that name it: no_id (1 for a null id), k_id, k_text, k_row."""
+    row, id_, text = F.struct(*(docs[c] for c in docs.columns)), docs["doc_id"].cast("long"), F.coalesce(docs["text"], F.lit(""))
+    return docs.select(row.alias("row"), text.alias("text"), id_.isNull().cast("long").alias("no_id"), F.coalesce(id_, F.lit(-(2**63))).alias("k_id"), F.xxhash64(text).alias("k_text"), F.xxhash64(row).alias("k_row"))
+
+
+KEY = ["no_id", "k_id", "k_text", "k_row"]
+
+
+def classed(docs: DataFrame, class_of: Callable[[str], int]) -> DataFrame:
+    """(node, low, n): the classes of texts, the smallest row key in each, and how many rows have just this key."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        node = np.fromiter(map(class_of, b.column(0).to_pylist()), np.uint64, b.num_rows)
+        return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *b.columns[1:]], names=["node", *KEY])
+
+    rows = keyed(docs).select("text", *KEY).mapInArrow(batches(run), "node long, " + ", ".join(f"{k} long" for k in KEY))
+    counted = rows.groupBy("node", *KEY).agg(F.count("*").alias("n"))
+    return cut(counted.groupBy("node").agg(F.min(F.struct(*KEY, "n")).alias("m")).select("node", F.struct(*(F.col(f"m.{k}") for k in KEY)).alias("low"), F.col("m.n").alias("n")))
+
+
+def take(docs: DataFrame, keys: DataFrame, at_most: int = 100_000) -> DataFrame:
+    """One row (keyed) of docs for each row key in keys (low, n)."""
+    keys, rows = keys.select("low.*", "n"), keyed(docs)
+    # only keys of repeated rows need grouping; it runs before the shuffle where these keys are few
+    repeated = keys.where("n > 1")
+    few = repeated.limit(at_most + 1).count() <= at_most
+    grouped = rows.join(F.broadcast(repeated) if few else repeated, KEY).groupBy(*KEY).agg(F.first("row").alias("row"), F.first("text").alias("text"))
+    return rows.join(keys.where("n = 1"), KEY).select("row", "text").unionByName(grouped.select("row", "text"))
+
+
+def survivors(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each component: the one of its smallest id, a null id being the largest."""
+    heads = smallest_reachable(edges, classes.select("node", "low")).select("low").distinct()
+    return take(docs, heads.join(classes.select("low", "n"), "low")).select("row.*")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
-    """docs, all columns, with one row of each component: the one of its smallest id; of the rows with null ids alone, one stays."""
-    id_ = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    heads = near_duplicates(docs, shingle, bits).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k")).distinct()
-    # ids are unique as a rule; of rows that share a kept id, one stays
-    once = Window.partitionBy("k").orderBy(F.xxhash64("row"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), id_.alias("k"))
-    return rows.join(heads, "k").withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    """docs, all columns, with one row of each component of op6."""
+    classes = classed(docs, lambda t: fingerprint(t, shingle))
+    return survivors(docs, classes, links(classes.select(F.col("node").alias("fp")), bits))

@@ -213,3 +213,39 @@ def test_pipeline(spark, tmp_path):
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "decontamination", "pii", "packing"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def components(keys, alike):
+    group = list(range(len(keys)))
+    for i, a in enumerate(keys):
+        for j in range(i):
+            if group[i] != group[j] and alike(a, keys[j]):
+                x, y = group[i], group[j]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    return group
+
+
+def check_survivors(got, given, group):
+    """One row of each component, the one of its smallest id."""
+    left = list(given)
+    heads = {}
+    for r, g in zip(given, group, strict=True):
+        heads.setdefault(g, []).append(r)
+    assert len(got) == len(heads)
+    where = {repr(r): g for r, g in zip(given, group, strict=True)}
+    assert sorted(where[repr(r)] for r in got) == sorted(heads)
+    for r in got:
+        ids = [x[0] for x in heads[where[repr(r)]] if x[0] is not None]
+        assert r in left and r[0] == min(ids, default=None)
+
+
+#: Many texts under one id or none: two components of null ids alone, one id with different texts, repeated rows.
+SHARED = [(None, sentence(60), "en"), (None, sentence(60), "en"), (7, sentence(60), "en"), (7, sentence(60), "de"), (7, sentence(60), None), (8, "one text", "en"), (None, "one text", "en"), (8, "one text", "en"), (8, "one text", "de"), (9, None, None), (9, "", "en")] + [(5, sentence(40), "en")] * 4
+
+
+def test_one_of_each_keeps_each_component(spark):
+    d = spark.createDataFrame(SHARED, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in simhash.one_of_each(d).collect()]
+    prints = [simhash.fingerprint(t or "") for _, t, _ in SHARED]
+    check_survivors(got, SHARED, components(prints, lambda a, b: bin(a ^ b).count("1") <= 3))
+    assert simhash.one_of_each(d.where("false")).count() == 0
