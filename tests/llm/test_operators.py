@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, html_text, lm_scoring, order_minhash, packing, pii, simhash, substring_dedup, token_counts, toxicity
+from graphloom.llm import decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, simhash, substring_dedup, token_counts, toxicity
 
 R = random.Random(5)
 VOCAB = [f"w{i}é" if i % 7 == 0 else f"Word{i}" for i in range(300)]
@@ -249,3 +249,29 @@ def test_one_of_each_keeps_each_component(spark):
     prints = [simhash.fingerprint(t or "") for _, t, _ in SHARED]
     check_survivors(got, SHARED, components(prints, lambda a, b: bin(a ^ b).count("1") <= 3))
     assert simhash.one_of_each(d.where("false")).count() == 0
+
+
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    r = random.Random(8)
+    given = list(SHARED)
+    for k in range(12):
+        base = [r.choice(VOCAB) for _ in range(r.choice([60, 150, 400]))]
+        for j in range(5):
+            own = list(base)
+            for _ in range(r.randrange(1, 1 + len(own) // 30)):
+                own[r.randrange(len(own))] = f"other{r.randrange(1000)}"
+            given.append((r.choice([None, 100, 100 + 10 * k + j]), " ".join(own), "en"))
+    base = [r.choice(VOCAB) for _ in range(200)]
+    given += [(1000 + i, " ".join([*base[:i], "new", *base[i + 1 :]]), "en") for i in range(0, 200, 4)]  # one hot group
+    d = spark.createDataFrame(given, "doc_id long, text string, lang string").repartition(3)
+    sets = [set(near_copies.shingles(t or "").tolist()) for _, t, _ in given]
+    group = components(sets, lambda a, b: len(a & b) * 100 >= 80 * len(a | b))
+    got = [tuple(x) for x in corpus_pipeline.simhash(spark, d, "").collect()]
+    check_survivors(got, given, group)
+    assert len({g for g in group if group.count(g) > 1}) > 8 and len(set(group)) > 15
+    # a centre a round or two: later rounds find what the first has left
+    classes = near_copies.classed(d, near_copies.class_of)
+    assert near_copies.survivors(d, classes, near_copies.links(d, classes, first=1)).count() == len(got)
+    assert corpus_pipeline.simhash(spark, d.where("false"), "").count() == 0
