@@ -275,3 +275,16 @@ def test_near_copies_of_the_pipeline(spark):
     classes = near_copies.classed(d, near_copies.class_of)
     assert near_copies.survivors(d, classes, near_copies.links(d, classes, first=1)).count() == len(got)
     assert corpus_pipeline.simhash(spark, d.where("false"), "").count() == 0
+
+
+def test_pipeline_rejects_by_the_languages_cuts(spark, monkeypatch):
+    texts = [(i, sentence(40) + (" vileword " if i % 3 == 0 else " ") + sentence(30), ("en", "de", None)[i % 7 % 3]) for i in range(300)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(d, labels)
+    model.cuts = {"en": 0.0, "de": 1.5}  # rejects all, and none
+    monkeypatch.setattr(toxicity, "train", lambda *_, **__: model)
+    kept = {r["doc_id"] for r in toxicity.without_toxic(d, labels).collect()}
+    assert kept == {r["doc_id"] for r in toxicity.toxicity(d, labels).collect() if not r["rejected"]}
+    assert not any(i in kept for i, _, x in texts if x == "en") and all(i in kept for i, _, x in texts if x == "de")
+    assert toxicity.without_toxic(d.drop("lang"), labels).count() < 300
