@@ -64,8 +64,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 #: A clause that the field looks at: few pieces around a group of digits or a word for a sign.
-PIECE = re.compile(r"[0-9]+|[A-Za-z]+|[().+\-/@_]|\[at\]|\(at\)")
-LONGEST = 12
+PIECE = re.compile(r"[0-9]+|[A-Za-z]+|[().+\-/@_]")
+#: Of an address with words for its signs, the whole local part, each label and each word for a sign are one piece.
+AT = re.compile(r"[\[(] ?(?:at|AT) ?[\])]")
+LABEL = re.compile(r"[A-Za-z0-9._%+-]++(?= ?[\[(] ?(?:at|AT) ?[\])])|[\[(] ?(?:at|AT|dot|DOT) ?[\])]|[A-Za-z0-9-]+|[._%+]")
+#: The most pieces that CLAUSE can match: six groups with two brackets and a sign, and the last group; an address has at most 11.
+LONGEST = 25
+#: And the most characters: a local part, a sign, and five labels with signs between.
+WIDEST = 300
 CLAUSE = re.compile(r"[A-Za-z0-9._%+-]{1,40} ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]{1,40}(?:(?:\.| ?[\[(] ?(?:dot|DOT) ?[\])] ?)[A-Za-z0-9-]{1,40}){1,4}|(?<![0-9A-Za-z.+])(?:\(?[0-9]{2,5}\)?[\x20./-]?){2,6}[0-9]{2,4}(?![0-9A-Za-z])")
 CUES = ("mail", "contact", "phone", "tel", "call", "fax", "card", "visa", "ip", "host", "server", "write")
 FEATURES = 14 + len(CUES)
@@ -84,7 +90,7 @@ def features(text: str, a: int, b: int) -> np.ndarray:
 
 def segments(text: str, a: int, b: int) -> tuple[list[int], dict[tuple[int, int], np.ndarray]]:
     """Places at which a segment of the clause may begin or end, and the features of each candidate."""
-    marks = [(m.start(), m.end()) for m in PIECE.finditer(text, a, b)][: 4 * LONGEST]
+    marks = [(m.start(), m.end()) for m in (LABEL if AT.search(text, a, b) else PIECE).finditer(text, a, b)]
     places = sorted({a, b, *(x for m in marks for x in m)})
     at = {p: i for i, p in enumerate(places)}
     spans = {}
@@ -158,6 +164,8 @@ def disguised(text: str) -> Iterator[tuple[str, int, int, list[tuple[int, int, i
     """Base spans without their decisive mark, with the text before them, and clauses of the text that are none."""
     found = base_spans(text)
     for a, kind, b in found:
+        if b - a > WIDEST - 5:
+            continue  # no clause is so wide
         left, s = text[max(0, a - 24) : a], text[a:b]
         if kind == 0:
             s = s.replace("@", " [at] ")
@@ -191,12 +199,15 @@ def train(docs: DataFrame, sample: int = 2000) -> np.ndarray:
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list, list]:
-    """Base spans, and these with what the field adds around them."""
+    """Base spans, and these with what the field adds in the text between them."""
     base = base_spans(text)
     added = []
-    for m in CLAUSE.finditer(text) if DIGITS.search(text) or "(at" in text or "[at" in text or "at]" in text or "at)" in text else ():
-        if not any(a < m.end() and m.start() < b for a, _, b in base):
-            added += decode(weights, text, m.start(), m.end())
+    if DIGITS.search(text) or AT.search(text):
+        at = 0
+        for a, _, b in [*base, (len(text), 0, len(text))]:
+            for m in CLAUSE.finditer(text, at, a) if a > at else ():
+                added += decode(weights, text, m.start(), m.end())
+            at = max(at, b)
     return base, sorted(base + added) if added else base
 
 
