@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from .common import batches
 
 TAG = re.compile(r"<!--(?:.*?-->|.*)|<![^>]*>?|<\?[^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>?", re.S)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: What attributes that hide have; only then they are parsed.
+MAYBE = re.compile(r"hidden|none|&", re.I)
+#: What may hold a semicolon or a colon inside a declaration.
+OPAQUE = re.compile(r"/\*.*?\*/|\"[^\"]*\"|'[^']*'|\([^)]*\)", re.S)
 #: Fixed by HTML: elements without content, of raw text, never shown, of blocks; what an opening tag ends, and within what.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
@@ -32,12 +36,37 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 MAX_DEPTH = 200
 
 
+def attributes_of(raw: str) -> dict[str, str]:
+    """Names in lower case to values; of a name that repeats, the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
+def hides(tag: str, raw: str) -> bool:
+    """By the attribute hidden, a style's display or visibility, or as a hidden input. aria-hidden text is displayed."""
+    if not raw or not MAYBE.search(raw):
+        return False
+    own = attributes_of(raw)
+    if "hidden" in own or (tag == "input" and own.get("type", "").strip().lower() == "hidden"):
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in OPAQUE.sub(" ", own.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.partition("!")
+        # the last declaration counts, an important one before others
+        if bool(mark) >= style.get(name.strip(), (False, ""))[0]:
+            style[name.strip()] = bool(mark), value.strip()
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
+
+
 class Node:
     __slots__ = ("children", "hidden", "start", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.children = tag, []
-        self.hidden = tag in UNSEEN or bool(attributes and HIDDEN.search(attributes))
+        self.hidden = tag in UNSEEN or hides(tag, attributes)
         self.start = int(m[1]) if tag == "ol" and (m := re.search(r"start\s*=\s*[\"']?(\d{1,6})", attributes)) else 1
 
 
@@ -77,7 +106,7 @@ def tree(page: str) -> Node:
             if name in ("html", "body"):
                 if name == "body":
                     del stack[1:]
-                    stack[0].hidden |= bool(HIDDEN.search(m[3]))
+                    stack[0].hidden |= hides(name, m[3])
                 continue
             if name in PARAGRAPHS or name in LINES:
                 close({"p"}, {"table", "td", "th", "li", "div", "blockquote"} - {name})

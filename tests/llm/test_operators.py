@@ -303,3 +303,14 @@ def test_field_holds_whole_spans():
         base, spans = pii.all_spans(text, weights)
         at = text.index("030")
         assert [k for _, k, _ in base] == [1] and set(base) < set(spans) and (at, 3, at + 14) in spans
+
+
+def test_html_visibility_by_parsed_attributes():
+    shown = ['title="our hidden gems"', 'class="md hidden x"', 'style="overflow: hidden "', "aria-hidden=true", 'aria-hidden="true"', 'data-type="hidden"', 'type=hidden', 'style="display:none;display:block"', "style=\"background:url('a;display:none')\"", 'data-style="display:none"', 'title="a > hidden"']
+    gone = ["hidden", 'HIDDEN=""', 'id="a" hidden class=x', 'style="color:red; Display : None !important"', "style='visibility:hidden'", "style=display:none", 'style="display:none!important;display:block"', 'style="display&#58;none"']
+    for a in shown:
+        assert html_text.rendered(f"<p>a<div {a}>seen</div>") == "a\n\nseen", a
+        assert html_text.rendered(f"<body {a}>seen</body>") == "seen", a
+    for a in gone:
+        assert html_text.rendered(f"<p>a<div {a}>seen</div>") == "a", a
+        assert html_text.rendered(f"<body {a}>seen</body>") == "", a
