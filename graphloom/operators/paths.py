@@ -50,22 +50,22 @@ def zero_or_one(path: DataFrame, quads: DataFrame) -> DataFrame:
     return path.unionByName(identity(quads)).distinct()
 
 
-def one_or_more(path: DataFrame, rounds: int = 100) -> DataFrame:
-    """All pairs that a walk joins, as a set: only new pairs are extended, and each round is cut at the checkpoint folder."""
+def one_or_more(path: DataFrame) -> DataFrame:
+    """All pairs that a walk joins, as a set. A round doubles the length of walks: pairs whose shortest walk has just `length` edges are
+    extended by all pairs known, so each longer shortest walk up to twice that length is met. Each round is cut at the checkpoint folder."""
     spark = path.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    edges = path.distinct().checkpoint()
-    found = new = edges
-    for _ in range(rounds):
-        step = new.select("s", F.col("o").alias("via")).join(edges.select(F.col("s").alias("via"), "o"), "via").select("s", "o").distinct()
-        new = step.join(found, ["s", "o"], "left_anti").checkpoint()
+    found, length = path.distinct().withColumn("d", F.lit(1).cast("long")).checkpoint(), 1
+    while True:
+        first = found.where(F.col("d") == length).select("s", F.col("o").alias("via"), F.col("d").alias("before"))
+        longer = first.join(found.select(F.col("s").alias("via"), "o", "d"), "via").groupBy("s", "o").agg(F.min(F.col("before") + F.col("d")).alias("d"))
+        new = longer.join(found, ["s", "o"], "left_anti").checkpoint()
         if new.isEmpty():
-            return found
-        found = found.unionByName(new)
-    raise RuntimeError(f"the closure did not end in {rounds} rounds")
+            return found.select("s", "o")
+        found, length = found.unionByName(new), length * 2
 
 
 def zero_or_more(path: DataFrame, quads: DataFrame) -> DataFrame:

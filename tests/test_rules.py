@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
 from graphloom.operators import aggregates as A
+from graphloom.operators import paths as P
 from graphloom.operators.patterns import Solutions, join, minus, optional, union, values
 from graphloom.plans import access as acl
 from graphloom.plans import updates as U
@@ -102,3 +103,13 @@ def test_files_and_feed(spark, tmp_path):
     seen = []
     subscribe(spark, str(tmp_path / "feed"), lambda df, n: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
     assert sum(seen) == 2 and since(spark, str(tmp_path / "feed"), 7).count() == 0
+
+
+def test_one_or_more_has_no_longest_walk(spark):
+    chain = [(i, i + 1) for i in range(300)]
+    ring = [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)] + [(1003, 2000), (2000, 2000)]
+    d = spark.createDataFrame(chain + ring + ring, "s long, o long")
+    want = {(i, j) for i in range(300) for j in range(i + 1, 301)} | {(1000 + i, 1000 + j) for i in range(7) for j in range(7)} | {(1000 + i, 2000) for i in range(7)} | {(2000, 2000)}
+    got = [tuple(r) for r in P.one_or_more(d).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert P.one_or_more(d.where("false")).isEmpty()
