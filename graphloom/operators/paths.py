@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import cut, drop
 from .patterns import term_columns
 
 
@@ -52,20 +53,19 @@ def zero_or_one(path: DataFrame, quads: DataFrame) -> DataFrame:
 
 def one_or_more(path: DataFrame) -> DataFrame:
     """All pairs that a walk joins, as a set. A round doubles the length of walks: pairs whose shortest walk has just `length` edges are
-    extended by all pairs known, so each longer shortest walk up to twice that length is met. Each round is cut at the checkpoint folder."""
-    spark = path.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    found, length = path.distinct().withColumn("d", F.lit(1).cast("long")).checkpoint(), 1
+    extended by all pairs known, so each longer shortest walk up to twice that length is met. Each round is a table in the shared
+    folder; those that a later one holds are deleted, and the last one, the result, stays until the caller drops it."""
+    found, length = cut(path.distinct().withColumn("d", F.lit(1).cast("long"))), 1
     while True:
         first = found.where(F.col("d") == length).select("s", F.col("o").alias("via"), F.col("d").alias("before"))
         longer = first.join(found.select(F.col("s").alias("via"), "o", "d"), "via").groupBy("s", "o").agg(F.min(F.col("before") + F.col("d")).alias("d"))
-        new = longer.join(found, ["s", "o"], "left_anti").checkpoint()
+        new = cut(longer.join(found, ["s", "o"], "left_anti"))
         if new.isEmpty():
+            drop(new)
             return found.select("s", "o")
-        found, length = found.unionByName(new), length * 2
+        both = cut(found.unionByName(new))
+        drop(found, new)
+        found, length = both, length * 2
 
 
 def zero_or_more(path: DataFrame, quads: DataFrame) -> DataFrame:

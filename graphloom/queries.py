@@ -481,7 +481,7 @@ def q55_add_graph(spark, sf):
     return U.commit(q, U.fold(U.add_graph(q, a, b))).where(F.col("g") == b).agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'delete' AS op, count(*) AS n FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT 'insert', count(*) FROM supplier WHERE s_acctbal < 0")
+@query("SELECT op, count(*) AS n FROM supplier CROSS JOIN (VALUES ('delete'), ('insert')) v(op) WHERE s_acctbal < 0 GROUP BY op")
 def q56_delta_rows(spark, sf):
     q = table_quads(read(spark, sf, "supplier"), "supplier", columns=["s_acctbal"])
     s = match(q, "?x", NS + "s_acctbal", "?b").where(num("b") < 0)
