@@ -37,22 +37,30 @@ LETTER, NUMBER, SPACE = "a-zªµºß-öø-ſ", "0-9²³¹¼½¾", "\t-\r \x85\xa
 TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+").findall
 
 
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies show each byte by: printable ones of Latin-1 stand for themselves, the others, in
+    their order, for the letters from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class WordIds(dict):
     """A word in lower case, as the tokenizer cuts texts -> its ids as little-endian 32-bit bytes. A batch's new words are
     merged together. Texts with other letters go to the tokenizer's library as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             model = json.load(f)["model"]
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        shown = [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0] for c in map(chr, range(256))]
-        byte = {raw: c for text, seen in zip(map(chr, range(256)), shown, strict=True) for raw, c in zip(text.encode(), seen, strict=True)}
-        self.inner = np.array([vocab.get(byte.get(i, ""), -1) for i in range(256)], np.int32)
-        self.last = np.array([vocab.get(byte.get(i, "") + suffix, -1) for i in range(256)], np.int32)
+        shown = byte_letters()
+        if lost := [b for b, c in enumerate(shown) if c not in vocab or c + suffix not in vocab]:
+            raise ValueError(f"the vocabulary has no entry for the bytes {lost}")
+        self.inner, self.last = (np.array([vocab[c + x] for c in shown], np.int32) for x in ("", suffix))
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.pairs = PairTable({(vocab[a], vocab[b]): (vocab[a + b], i) for i, (a, b) in enumerate(merges)}, max(vocab.values()) + 1)
 
