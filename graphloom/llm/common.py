@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Callable, Iterator
-from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, drop  # noqa: F401
+
 #: The wide whitespace class of the contracts: space and U+0009 to U+000D.
 SPACES = r"[ \t\n\x0b\f\r]"
 
@@ -44,41 +44,6 @@ def parts(c: Column, between: str, lower: bool) -> Column:
     return F.array_remove(F.split(c, " "), "")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, so a lost executor costs nothing upstream. Columns compress
-    well in such a table, and later reads take only those that they need."""
-    spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    # shuffle files of what is written now are of no use any more; Spark removes them when the driver has collected its garbage
-    spark._jvm.System.gc()
-    out = spark.read.schema(df.schema).parquet(folder)
-    FOLDERS[out] = folder
-    return out
-
-
-#: The folder of each table that cut() has written.
-FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
-
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that cut() has written, once what is made from them has been written too."""
-    for t in tables:
-        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(FOLDERS.pop(t))
-        path.getFileSystem(conf).delete(path, True)
-
-
 def batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """fn for each Arrow batch, cut to pieces of bounded size first, so that a batch of long texts stays small."""
 

@@ -2,16 +2,16 @@
 
 Benchmark items become a hash set of normalised windows of words. The places of a document's windows are exploded; the hash
 of each window, its look-up and the check of a hit word by word follow in the same generated code, where the array of words is
-only a reference. The set is broadcast only if the number of its windows, counted first, is within `broadcast_windows`; beyond
-that, the same join shuffles. Only hits and one row for each document leave the scan.
+only a reference. The set is broadcast only if its size, measured first, is within `broadcast_bytes`; beyond that, the same join shuffles. Only hits and one row for each document leave the scan.
 
 An item of fewer words than a window, but not none, is one window of its own length. Null texts and texts without words have
-no windows, no hits. Repeated rows: a row each. Empty documents or benchmark: no rows, or no hits.
+no windows, no hits. Repeated rows: a row each. Texts of any length are looked through whole. Windows of several items count for each of
+them, ties there are none. Columns of other names never reach the operator. Empty documents or benchmark: no rows, or no hits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, parts, row_key
@@ -19,6 +19,9 @@ from .common import cut, parts, row_key
 #: ASCII that is neither digit nor (lower-case) letter parts words.
 BETWEEN = "".join(map(chr, [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
+#: What stands between such characters, capitals too.
+WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 
 def words(text: Column) -> Column:
     return parts(text, BETWEEN, lower=True)
@@ -36,11 +39,13 @@ def benchmark_windows(benchmark: DataFrame, size: int = 10) -> DataFrame:
     return each.groupBy("window", F.xxhash64("window").alias("hash"), "length").agg(F.collect_set("item").alias("items"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """k_id, k_text, doc_id, n_words and, for each window found, pos (from 0), length, items; pos null: the document itself."""
     wanted = cut(benchmark_windows(benchmark, size))
     lengths = sorted(r[0] for r in wanted.select("length").distinct().collect())  # at most `size` numbers
-    few = wanted.limit(broadcast_windows + 1).count() <= broadcast_windows
+    # a string in a row costs some 24 bytes besides its own
+    bytes_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 24)
+    few = (wanted.agg(F.sum(bytes_of("window") + bytes_of("items") + 64)).first()[0] or 0) <= broadcast_bytes
     ws = row_key(docs).select("k_id", "k_text", "doc_id", words(F.col("text")).alias("ws"))
     # a place is pos * (size + 1) + length; -1 is the document itself
     places = [F.when(F.size("ws") >= n, F.sequence(F.lit(n), F.greatest((F.size("ws") - n) * (size + 1) + n, F.lit(n)), F.lit(size + 1))).otherwise(F.array().cast("array<int>")) for n in lengths]
@@ -54,20 +59,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_window
         found = found.where(itself | (window_at(F.col("ws"), pos, length) == F.col("window"))).withColumn("n", F.size("ws"))
     else:  # rows that are shuffled don't carry the words: a document's hits meet them afterwards, once
         keys = ["k_id", "k_text", "doc_id"]
-        found = each.select(*keys, "place", F.coalesce("hash", "k_text").alias("hash"), F.when(itself, F.size("ws")).alias("n")).join(set_, "hash", "left")
-        found = found.where(itself | F.col("window").isNotNull())
-        hit = found.where(~itself).distinct().groupBy("k_id", "k_text").agg(F.collect_list(F.struct(pos.alias("pos"), length.alias("length"), "place", "window", "items")).alias("hits"))
-        texts = ws.select("k_id", "k_text", "doc_id", "ws").join(hit, ["k_id", "k_text"])
+        met = each.where(~itself).select(*keys, "place", "hash").join(set_, "hash").distinct()
+        hit = met.groupBy("k_id", "k_text").agg(F.collect_list(F.struct(pos.alias("pos"), length.alias("length"), "place", "window", "items")).alias("hits"))
+        texts = ws.join(hit, ["k_id", "k_text"])
         true = texts.select(*keys, F.inline(F.filter("hits", lambda h: F.slice("ws", h["pos"] + 1, h["length"]) == h["window"])))
         none = F.lit(None)
-        found = found.where(itself).select(*keys, "place", "n", none.cast("array<string>").alias("items")).unionByName(true.select(*keys, "place", none.cast("int").alias("n"), "items"))
+        alone = ws.select(*keys, F.lit(-1).alias("place"), F.size("ws").alias("n"), none.cast("array<string>").alias("items"))
+        found = alone.unionByName(true.select(*keys, "place", none.cast("int").alias("n"), "items"))
     return found.select("k_id", "k_text", "doc_id", F.when(~itself, pos).alias("pos"), F.when(itself, F.col("n")).otherwise(length).alias("length"), F.when(~itself, F.col("items")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_windows: int = 200_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs; also its key k_id, k_text."""
     one = F.col("pos").isNull()
-    found = hits(docs, benchmark, size, broadcast_windows)
+    found = hits(docs, benchmark, size, broadcast_bytes)
     spans = F.array_sort(F.collect_set(F.when(~one, F.struct(F.col("pos").alias("a"), (F.col("pos") + F.col("length")).alias("b")))))
     by_doc = found.groupBy("k_id", "k_text", "doc_id").agg(
         F.max(F.when(one, F.col("length"))).cast("long").alias("n_words"),
@@ -90,10 +95,17 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Da
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id and text: the normalised words of each row that no window covers, space-joined."""
-    found = hits(docs, benchmark, size).where("pos is not null")
-    inside = found.select("k_id", "k_text", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)).alias("i"))
-    gone = inside.groupBy("k_id", "k_text").agg(F.collect_set("i").alias("gone"))
-    ws = row_key(docs).withColumn("ws", words(F.col("text"))).join(gone, ["k_id", "k_text"], "left")
-    kept = F.filter(F.transform("ws", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~F.array_contains("gone", x["i"]))
-    return ws.select("doc_id", F.when(F.col("gone").isNull(), F.array_join("ws", " ")).otherwise(F.array_join(kept["w"], " ")).alias("text"))
+    """doc_id and text: each row's text without the words that a window covers; what follows such a word up to the next goes too."""
+    found = hits(docs, benchmark, size).where("pos is not null").select("k_id", "k_text", "pos", (F.col("pos") + F.col("length")).alias("end")).distinct()
+    by_place = Window.partitionBy("k_id", "k_text").orderBy("pos", "end")
+    before = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    island = found.withColumn("new", F.coalesce(F.col("pos") > before, F.lit(True)).cast("int")).withColumn("part", F.sum("new").over(by_place))
+    spans = island.groupBy("k_id", "k_text", "part").agg(F.min("pos").alias("a"), F.max("end").alias("b"))
+    gone = spans.groupBy("k_id", "k_text").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("gone"))
+    rows = row_key(docs).join(gone, ["k_id", "k_text"], "left")
+    marks = F.split("text", WORDS)  # one more than words
+    pieces = F.zip_with(parts(F.col("text"), BETWEEN, lower=False), F.slice(marks, F.lit(2), F.size(marks)), lambda w, m: F.concat(w, F.coalesce(m, F.lit(""))))
+    rows = rows.select("doc_id", "text", "gone", marks[0].alias("head"), pieces.alias("pieces"))
+    ends, starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda x: x["b"])), F.concat(F.transform("gone", lambda x: x["a"]), F.array(F.size("pieces")))
+    kept = F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice("pieces", a + 1, b - a)))
+    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.concat("head", F.array_join(kept, ""))).alias("text"))

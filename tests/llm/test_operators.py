@@ -73,9 +73,10 @@ def test_decontamination(spark, docs, none):
                     hit |= {*range(k, k + n)}
                     ids |= s
         want.append((r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    for bound in (200_000, 3):
-        got = decontam.contamination(docs, items, broadcast_windows=bound).drop("k_id", "k_text")
+    for bound in (64 << 20, 3):
+        got = decontam.contamination(docs, items, broadcast_bytes=bound).drop("k_id", "k_text")
         assert rows(got) == sorted(want, key=repr)
+    assert {r[2] for r in rows(decontam.contamination(docs, items.where("false")).drop("k_id", "k_text"))} == {0}
     assert rows(decontam.contamination(none, items)) == []
     assert decontam.clean_documents(docs, items).count() == sum(not w[-1] for w in want)
     assert decontam.clean_documents(docs, items).columns == docs.columns
