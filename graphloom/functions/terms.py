@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 LANG_STRING = "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString"
+RDF_NS = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 BNODE, IRI, LITERAL = 1, 2, 3
 INTEGERS = tuple(XSD + t for t in ("integer", "long", "int", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte"))
@@ -55,10 +56,42 @@ def _numeric_type(t: Column) -> Column:
 
 
 def number(t: Column) -> Column:
-    """The value of a numeric literal; NULL for anything else, ill-formed ones too."""
+    """The value of a numeric literal as a double; NULL for anything else, ill-formed ones too."""
     return F.when(_numeric_type(t), t["lex"].try_cast("double"))
 
 
+def _whole(t: Column) -> Column:
+    return is_literal(t) & t["dt"].isin(*INTEGERS)
+
+
+def _exact_type(t: Column) -> Column:
+    return is_literal(t) & t["dt"].isin(*INTEGERS, XSD + "decimal")
+
+
+def _double_type(t: Column) -> Column:
+    return is_literal(t) & t["dt"].isin(XSD + "double", XSD + "float")
+
+
+def integer(t: Column) -> Column:
+    """The value of an integer, exact to 37 digits."""
+    return F.when(_whole(t) & t["lex"].rlike(r"^[+-]?[0-9]+$"), t["lex"].try_cast("decimal(37,0)"))
+
+
+def exact(t: Column) -> Column:
+    """The value of an integer or a decimal, exact to 18 digits on either side of the point; NULL beyond."""
+    return F.when(_exact_type(t), t["lex"].try_cast("decimal(36,18)"))
+
+
+def plain(value: Column) -> Column:
+    """A decimal's text without zeros at its end."""
+    lex = value.cast("string")
+    return F.when(lex.contains("."), F.regexp_replace(lex, r"\.?0+$", "")).otherwise(lex)
+
+
+def _double_text(value: Column) -> Column:
+    return F.when(value == float("inf"), "INF").when(value == float("-inf"), "-INF").otherwise(value.cast("string"))
+
+
 def is_numeric(t: Column) -> Column:
     return F.when(t.isNotNull(), number(t).isNotNull())
 
@@ -106,17 +139,29 @@ def moment(t: Column) -> Column:
     return F.when(is_literal(t) & t["dt"].isin(XSD + "dateTime", XSD + "date"), F.try_to_timestamp(t["lex"]))
 
 
+def _numbers(a: Column, b: Column, compare: Callable[[Column, Column], Column]) -> Column:
+    """compare on two numbers: exactly for integers and decimals, as doubles if one is a double or beyond the exact range."""
+    whole, some, double = (integer(a), integer(b)), (exact(a), exact(b)), (number(a), number(b))
+    both = lambda x: x[0].isNotNull() & x[1].isNotNull()
+    return F.when(both(whole), compare(*whole)).when(both(some), compare(*some)).when(both(double), compare(*double))
+
+
+def _moments(a: Column, b: Column, compare: Callable[[Column, Column], Column]) -> Column:
+    """compare on two times of one type; a date is no dateTime."""
+    return F.when(a["dt"] == b["dt"], compare(moment(a), moment(b)))
+
+
 def _known(t: Column) -> Column:
     return t["dt"].isin(*NUMBERS, XSD + "string", XSD + "boolean", XSD + "dateTime", XSD + "date", LANG_STRING)
 
 
 def equal(a: Column, b: Column) -> Column:
-    """`=`: by value where both have one; unlike literals of unknown types are an error."""
-    x, y, d, e = number(a), number(b), moment(a), moment(b)
+    """`=`: by value where both have one; unlike literals of unknown types, and of unlike types of time, are an error."""
     boolean = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean")
+    times = moment(a).isNotNull() & moment(b).isNotNull()
     return (
-        F.when(x.isNotNull() & y.isNotNull(), x == y)
-        .when(d.isNotNull() & e.isNotNull(), d == e)
+        F.when(number(a).isNotNull() & number(b).isNotNull(), _numbers(a, b, lambda x, y: x == y))
+        .when(times, _moments(a, b, lambda x, y: x == y))
         .when(boolean, truth(a) == truth(b))
         .when(same_term(a, b), F.lit(True))
         .when(is_literal(a) & is_literal(b) & ~(_known(a) & _known(b)), F.lit(None).cast("boolean"))
@@ -125,11 +170,23 @@ def equal(a: Column, b: Column) -> Column:
 
 
 def less(a: Column, b: Column) -> Column:
-    """`<`: of two numbers, strings, times or booleans; an error otherwise."""
+    """`<`: of two numbers, strings, times of one type or booleans; an error otherwise."""
     simple = (a["dt"] == XSD + "string") & (b["dt"] == XSD + "string")
     boolean = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean")
-    x, y, d, e = number(a), number(b), moment(a), moment(b)
-    return F.when(x.isNotNull() & y.isNotNull(), x < y).when(d.isNotNull() & e.isNotNull(), d < e).when(simple, a["lex"] < b["lex"]).when(boolean, truth(a).cast("int") < truth(b).cast("int"))
+    return (
+        F.when(number(a).isNotNull() & number(b).isNotNull(), _numbers(a, b, lambda x, y: x < y))
+        .when(moment(a).isNotNull() & moment(b).isNotNull(), _moments(a, b, lambda x, y: x < y))
+        .when(simple, a["lex"] < b["lex"])
+        .when(boolean, truth(a).cast("int") < truth(b).cast("int"))
+    )
+
+
+def in_(t: Column, *terms: Column) -> Column:
+    """IN: true if one is equal; else an error if one comparison is. NOT IN is its negation."""
+    out = F.lit(False)
+    for x in terms:
+        out = out | equal(t, x)
+    return out
 
 
 def sort_key(t: Column) -> Column:
@@ -142,18 +199,64 @@ def wrap(value: Column, like: Column) -> Column:
     return make(LITERAL, value, like["dt"], like["lang"])
 
 
-def arithmetic(op: Callable[[Column, Column], Column], a: Column, b: Column, division: bool = False) -> Column:
-    """The result's type: double over decimal over integer; integers divide to a decimal."""
+_OPS = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}
+
+
+def arithmetic(op: str, a: Column, b: Column) -> Column:
+    """`+ - * /`. The result's type: double over decimal over integer; integers divide to a decimal. Integers are exact to 37 digits,
+    decimals to 18 around the point (9 for products and quotients); what is beyond is reckoned in doubles. Division of exact
+    numbers by zero is an error."""
+    apply, double, whole = _OPS[op], _double_type(a) | _double_type(b), _whole(a) & _whole(b) & F.lit(op != "/")
     x, y = number(a), number(b)
-    value = F.try_divide(x, y) if division else op(x, y)
-    double = a["dt"].isin(XSD + "double", XSD + "float") | b["dt"].isin(XSD + "double", XSD + "float")
-    whole = a["dt"].isin(*INTEGERS) & b["dt"].isin(*INTEGERS) & F.lit(not division)
-    lex = F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
-    return make(LITERAL, lex, F.when(double, F.lit(XSD + "double")).when(whole, F.lit(XSD + "integer")).otherwise(F.lit(XSD + "decimal")))
+    if op == "/":
+        rough = F.when(y != 0, F.try_divide(x, y)).when(double & (x != 0), F.when(x > 0, float("inf")).otherwise(float("-inf"))).when(double, float("nan"))
+    else:
+        rough = apply(x, y)
+    narrow = (lambda t: exact(t).try_cast("decimal(19,9)")) if op in "*/" else exact
+    fine = F.when(_exact_type(a) & _exact_type(b), apply(narrow(a), narrow(b)))
+    lex = F.when(double, _double_text(rough)).when(whole, F.coalesce(apply(integer(a), integer(b)).cast("string"), F.format_string("%.0f", rough))).otherwise(F.coalesce(plain(fine), plain(rough.try_cast("decimal(38,9)"))))
+    return make(LITERAL, F.when(x.isNotNull() & y.isNotNull(), lex), _numeric_result(double, whole))
 
 
-def rounded(x: Column) -> Column:
+def _numeric_result(double: Column, whole: Column) -> Column:
+    return F.when(double, F.lit(XSD + "double")).when(whole, F.lit(XSD + "integer")).otherwise(F.lit(XSD + "decimal"))
+
+
+def negative(t: Column) -> Column:
+    """Unary minus."""
+    return arithmetic("-", literal(0), t)
+
+
+def positive(t: Column) -> Column:
+    """Unary plus: an error for what is no number."""
+    return F.when(number(t).isNotNull(), t)
+
+
+def _of_number(t: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, in the argument's type."""
+    lex = F.when(_double_type(t), _double_text(f(number(t)).cast("double"))).when(_whole(t), f(integer(t)).cast("string")).otherwise(plain(f(exact(t))))
+    return make(LITERAL, lex, t["dt"])
+
+
+def abs_(t: Column) -> Column:
+    return _of_number(t, F.abs)
+
+
+def ceil(t: Column) -> Column:
+    return _of_number(t, F.ceil)
+
+
+def floor(t: Column) -> Column:
+    return _of_number(t, F.floor)
+
+
+def round_(t: Column) -> Column:
     """ROUND: halves go up, also below zero."""
+    return _of_number(t, lambda x: F.floor(x + F.lit(0.5).cast("decimal(2,1)")))
+
+
+def rounded(x: Column) -> Column:
+    """round_() of a bare number."""
     return F.floor(x + 0.5)
 
 
@@ -172,6 +275,92 @@ def after(s: Column, mark: Column) -> Column:
     return F.when(at > 0, F.substring(s, at + F.length(mark), F.length(s))).otherwise(F.when(at.isNotNull(), F.lit("")))
 
 
+def upper(t: Column) -> Column:
+    return wrap(F.upper(text(t)), t)
+
+
+def lower(t: Column) -> Column:
+    return wrap(F.lower(text(t)), t)
+
+
+def substr(t: Column, start: Column | int, length: Column | int | None = None) -> Column:
+    """SUBSTR: places count from 1; those before the text are skipped. The tag stays."""
+    s, start = text(t), F.lit(start) if isinstance(start, int) else start
+    size = F.length(s) if length is None else F.lit(length) if isinstance(length, int) else length
+    first, end = F.greatest(start, F.lit(1)), start + size
+    return wrap(F.substring(s, first, F.greatest(end - first, F.lit(0))), t)
+
+
+def strlen(t: Column) -> Column:
+    return literal(F.length(text(t)), XSD + "integer")
+
+
+def compatible(a: Column, b: Column) -> Column:
+    """Whether b may be looked for in a: a simple text, or one of a's language."""
+    return text(a).isNotNull() & text(b).isNotNull() & ((b["dt"] == XSD + "string") | a["lang"].eqNullSafe(b["lang"]))
+
+
+def contains(a: Column, b: Column) -> Column:
+    return F.when(compatible(a, b), F.contains(text(a), text(b)))
+
+
+def starts(a: Column, b: Column) -> Column:
+    return F.when(compatible(a, b), F.startswith(text(a), text(b)))
+
+
+def ends(a: Column, b: Column) -> Column:
+    return F.when(compatible(a, b), F.endswith(text(a), text(b)))
+
+
+def hashed(t: Column, how: str) -> Column:
+    """MD5, SHA1, SHA256, SHA384 and SHA512 of a simple text; an error for other terms."""
+    s = F.when(is_literal(t) & (t["dt"] == XSD + "string"), t["lex"]).cast("binary")
+    return literal({"md5": lambda: F.md5(s), "sha1": lambda: F.sha1(s)}.get(how, lambda: F.sha2(s, int(how[3:])))())
+
+
+def strlang(s: Column, tag: Column | str) -> Column:
+    """STRLANG: of a simple text."""
+    simple = F.when(is_literal(s) & (s["dt"] == XSD + "string"), s["lex"])
+    return make(LITERAL, simple, F.lit(LANG_STRING), F.lit(tag) if isinstance(tag, str) else text(tag))
+
+
+def strdt(s: Column, dt: Column | str) -> Column:
+    """STRDT: of a simple text and an IRI."""
+    simple = F.when(is_literal(s) & (s["dt"] == XSD + "string"), s["lex"])
+    return make(LITERAL, simple, F.lit(dt)) if isinstance(dt, str) else F.when(is_iri(dt), make(LITERAL, simple, dt["lex"]))
+
+
+def bnode(label: Column | None = None, solution: Column | None = None) -> Column:
+    """BNODE: a fresh one for each solution; with a label, the same one for the same label in a solution. solution: what tells
+    solutions apart, else each row is one."""
+    if label is None:
+        return make(BNODE, F.concat(F.lit("b"), F.replace(F.uuid(), F.lit("-"), F.lit(""))))
+    return make(BNODE, F.when(text(label).isNotNull(), F.concat(F.lit("b"), F.sha2(F.concat_ws(" ", (F.monotonically_increasing_id() if solution is None else solution).cast("string"), text(label)), 256))))
+
+
+def now() -> Column:
+    """The same time all through a query."""
+    return literal(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"), XSD + "dateTime")
+
+
+def uuid() -> Column:
+    return iri(F.concat(F.lit("urn:uuid:"), F.uuid()))
+
+
+def struuid() -> Column:
+    return literal(F.uuid())
+
+
+def rand() -> Column:
+    return literal(F.rand(), XSD + "double")
+
+
+def resolved(t: Column, base: str) -> Column:
+    """IRI() of a text or an IRI; what has no scheme is set behind the base."""
+    s = F.coalesce(F.when(is_iri(t), t["lex"]), text(t))
+    return iri(F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), s).otherwise(F.concat(F.lit(base), s)))
+
+
 def encode_for_uri(s: Column) -> Column:
     return F.replace(F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
@@ -212,9 +401,20 @@ def timezone(t: Column) -> Column:
 def cast(t: Column, to: str) -> Column:
     """The xsd constructors; an error where the text is not of the type."""
     lex = string(t)
-    spark_type = {"integer": "long", "decimal": "decimal(38,18)", "double": "double", "float": "float", "boolean": "boolean", "dateTime": "timestamp", "string": "string"}[to]
-    value = F.when(_numeric_type(t), number(t).cast("long")).otherwise(lex.try_cast("long")) if to == "integer" else lex.try_cast(spark_type)
-    return F.when(value.isNotNull(), make(LITERAL, lex if to == "dateTime" else value.cast("string"), F.lit(XSD + to)))
+    if to == "integer":
+        whole = F.when(_numeric_type(t), F.regexp_replace(F.coalesce(integer(t).cast("string"), exact(t).cast("string"), F.format_string("%.0f", _cut(number(t)))), r"\..*$", ""))
+        shown = F.coalesce(whole, F.when(lex.rlike(r"^\s*[+-]?[0-9]+\s*$"), lex.try_cast("decimal(38,0)").cast("string")), F.when(t["dt"] == XSD + "boolean", truth(t).cast("int").cast("string")))
+    elif to == "decimal":
+        shown = plain(F.coalesce(exact(t), lex.try_cast("decimal(38,18)")))
+    else:
+        spark_type = {"double": "double", "float": "float", "boolean": "boolean", "dateTime": "timestamp", "string": "string"}[to]
+        value = lex.try_cast(spark_type)
+        shown = F.when(value.isNotNull(), lex) if to == "dateTime" else _double_text(value) if to in ("double", "float") else value.cast("string")
+    return F.when(shown.isNotNull(), make(LITERAL, shown, F.lit(XSD + to)))
+
+
+def _cut(x: Column) -> Column:
+    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
 
 
 def concat(*terms: Column) -> Column:

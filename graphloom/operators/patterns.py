@@ -12,8 +12,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.terms import IRI
+from ..functions.terms import IRI, RDF_NS, truth
+from ..sources.quads import Mapped, subject, table_terms
+
+TERM = "struct<kind:tinyint,lex:string,dt:string,lang:string>"
 
 
 @dataclass(frozen=True)
@@ -26,7 +30,9 @@ class Solutions:
         return self.df.columns
 
     def where(self, condition: Column) -> Solutions:
-        """FILTER: an error (NULL) drops the row."""
+        """FILTER: a condition or a term, of which the effective boolean value counts; an error (NULL) drops the row."""
+        if isinstance(self.df.select(condition).schema[0].dataType, StructType):
+            condition = truth(condition)
         return Solutions(self.df.where(condition), self.maybe)
 
     def bind(self, name: str, value: Column) -> Solutions:
@@ -35,7 +41,7 @@ class Solutions:
         return Solutions(self.df.withColumn(name, value), self.maybe | {name})
 
     def select(self, *names: str) -> Solutions:
-        null = F.lit(None).cast("struct<kind:tinyint,lex:string,dt:string,lang:string>")
+        null = F.lit(None).cast(TERM)
         return Solutions(self.df.select(*(F.col(n) if n in self.names else null.alias(n) for n in names)), (self.maybe | ({*names} - {*self.names})) & {*names})
 
     def distinct(self) -> Solutions:
@@ -50,8 +56,14 @@ def term_columns(prefix: str) -> Column:
     return F.struct(kind.alias("kind"), F.col(prefix).alias("lex"), null.alias("dt"), null.alias("lang"))
 
 
-def match(quads: DataFrame, s: str | Column, p: str | Column, o: str | Column, g: str | None = None) -> Solutions:
-    """A triple pattern. "?x" is a variable, other text an IRI, a column a term. Constants reach the scan as plain filters."""
+def match(quads: DataFrame | Mapped, s: str | Column, p: str | Column, o: str | Column, g: str | None = None) -> Solutions:
+    """A triple pattern. "?x" is a variable, other text an IRI, a column a term. Constants reach the scan as plain filters. On a
+    view without graphs (read_view() of a caller without sudo), GRAPH is stripped: g narrows nothing, and a variable stays unbound."""
+    if isinstance(quads, Mapped):
+        quads = quads.quads(p if isinstance(p, str) and not p.startswith("?") else None)
+    unbound = None
+    if g is not None and "g" not in quads.columns:
+        unbound, g = g[1:] if g.startswith("?") else None, None
     names: dict[str, Column] = {}
     conditions: list[Column] = []
     for place, value in (("s", s), ("p", p), ("o", o), ("g", g)):
@@ -68,8 +80,67 @@ def match(quads: DataFrame, s: str | Column, p: str | Column, o: str | Column, g
                 conditions.append(F.col(f"{place}_kind") == IRI)
         else:
             conditions += [F.col(place) == value["lex"], term.eqNullSafe(value)]
-    df = reduce(lambda d, c: d.where(c), conditions, quads)
-    return Solutions(df.select(*(c.alias(n) for n, c in names.items())))
+    df = reduce(lambda d, c: d.where(c), conditions, quads).select(*(c.alias(n) for n, c in names.items()))
+    if unbound and unbound not in names:
+        return Solutions(df.withColumn(unbound, F.lit(None).cast(TERM)), frozenset({unbound}))
+    return Solutions(df)
+
+
+def star(source: Mapped, s: str, patterns: list[tuple[str, str | Column]]) -> Solutions | None:
+    """Patterns (p, o) on one subject variable, each a known predicate with a variable of its own or a constant: one projection of
+    each table that has all the predicates. None: not of this kind."""
+    own = [o for _, o in patterns if isinstance(o, str) and o.startswith("?")]
+    if len({*own}) < len(own) or s in own or any(p.startswith("?") for p, _ in patterns):
+        return None
+    parts = []
+    for table, df in source.frames.items():
+        terms = table_terms(df, table)
+        if not {p for p, _ in patterns} <= {*terms}:
+            continue
+        null, columns, conditions = F.lit(None).cast("string"), {}, []
+        for p, o in patterns:
+            text, kind, dt, lang, _ = terms[p]
+            term = F.struct(F.lit(kind).cast("tinyint").alias("kind"), text.cast("string").alias("lex"), F.lit(dt).cast("string").alias("dt"), lang.alias("lang"))
+            conditions.append(text.isNotNull())
+            if not isinstance(o, str):
+                conditions += [text.cast("string") == o["lex"], term.eqNullSafe(o)]
+            elif o.startswith("?"):
+                columns[o[1:]] = term
+            else:
+                conditions += [text.cast("string") == o, F.lit(kind == IRI)]
+        me = F.struct(F.lit(IRI).cast("tinyint").alias("kind"), subject(df, table).alias("lex"), null.alias("dt"), null.alias("lang"))
+        parts.append(reduce(lambda d, c: d.where(c), conditions, df).select(me.alias(s[1:]), *(c.alias(n) for n, c in columns.items())))
+    return Solutions(reduce(DataFrame.unionByName, parts)) if parts else None
+
+
+def bgp(source: DataFrame | Mapped, *patterns: tuple) -> Solutions:
+    """Triple patterns (s, p, o) joined; those that share a subject variable of a mapped table cost no join."""
+    parts, by_subject = [], {}
+    for s, p, o in patterns:
+        fuse = isinstance(source, Mapped) and isinstance(s, str) and s.startswith("?") and isinstance(p, str)
+        if fuse:
+            by_subject.setdefault(s, []).append((p, o))
+        else:
+            parts.append(match(source, s, p, o))
+    for s, own in by_subject.items():
+        one = star(source, s, own)
+        parts += [match(source, s, p, o) for p, o in own] if one is None else [one]
+    done, rest = parts[0], parts[1:]
+    while rest:  # what shares a variable goes first, so that no cross product is made without need
+        k = next((i for i, x in enumerate(rest) if {*x.names} & {*done.names}), 0)
+        done = join(done, rest.pop(k))
+    return done
+
+
+def collection(source: DataFrame | Mapped, head: str, *items: str | Column) -> Solutions:
+    """The pattern of a list ( item ... ) that head stands for: rdf:first and rdf:rest, cell by cell."""
+    if not items:
+        raise ValueError("the empty list is the IRI rdf:nil, no pattern")
+    cells = [head, *(f"?{head[1:]}__{i}" for i in range(1, len(items)))]
+    patterns = [(c, RDF_NS + "first", x) for c, x in zip(cells, items, strict=True)]
+    patterns += [(c, RDF_NS + "rest", n) for c, n in zip(cells, [*cells[1:], RDF_NS + "nil"], strict=True)]
+    found = bgp(source, *patterns)
+    return found.select(*(n for n in found.names if n not in {c[1:] for c in cells[1:]}))
 
 
 def _parts(side: Solutions, names: list[str]) -> list[tuple[frozenset, DataFrame]]:
@@ -146,11 +217,34 @@ def minus(a: Solutions, b: Solutions) -> Solutions:
     return Solutions(out, a.maybe)
 
 
+def with_exists(a: Solutions, b: Solutions, name: str) -> Solutions:
+    """a with a boolean column that says whether b has a compatible solution, for use inside expressions. What is unbound in a row
+    of either side is compatible with anything."""
+    shared, df, flags = [n for n in a.names if n in b.names], a.df, []
+    own = [n for n in shared if n in a.maybe]
+    for i, (bound, y) in enumerate(_parts(b, shared)):
+        # a variable that a row of a has unbound is not compared, so y is asked for each set of variables that a may have bound
+        for j, free in enumerate(_subsets([n for n in own if n in bound])):
+            on, flag = sorted(bound - free), f"{name}__{i}_{j}"
+            keys = y.select(*(F.col(n).alias(f"{n}__r") for n in on)).distinct() if on else y.limit(1).select()
+            keys = keys.withColumn(flag, F.lit(True))
+            here = reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in on] + [F.col(n).isNull() for n in free] + [F.col(n).isNotNull() for n in own if n in on], F.lit(True))
+            df = (df.join(keys, here, "left") if on else df.join(F.broadcast(keys), here, "left")).drop(*(f"{n}__r" for n in on))
+            flags.append(flag)
+    found = reduce(Column.__or__, [F.coalesce(F.col(f), F.lit(False)) for f in flags])
+    return Solutions(df.withColumn(name, found).drop(*flags), a.maybe)
+
+
+def _subsets(names: list[str]) -> list[set[str]]:
+    return reduce(lambda out, n: out + [x | {n} for x in out], names, [set()])
+
+
 def exists(a: Solutions, b: Solutions, negated: bool = False) -> Solutions:
-    """(NOT) EXISTS on the shared variables, which are bound on both sides."""
+    """(NOT) EXISTS on the shared variables."""
     shared = [n for n in a.names if n in b.names]
     if {*shared} & (a.maybe | b.maybe):
-        raise ValueError("EXISTS over variables that may be unbound: bind or filter them first")
+        found = with_exists(a, b, "exists__")
+        return Solutions(found.df.where(~F.col("exists__") if negated else F.col("exists__")).drop("exists__"), a.maybe)
     if not shared:
         there = b.df.limit(1).select(F.lit(1).alias("there__"))
         return Solutions(a.df.join(F.broadcast(there), F.lit(True), "left_anti" if negated else "left_semi"), a.maybe)
@@ -159,7 +253,7 @@ def exists(a: Solutions, b: Solutions, negated: bool = False) -> Solutions:
 
 def values(spark, names: list[str], rows: list[tuple]) -> Solutions:
     """VALUES: a column or None (UNDEF) for each place."""
-    null = F.lit(None).cast("struct<kind:tinyint,lex:string,dt:string,lang:string>")
+    null = F.lit(None).cast(TERM)
     one = spark.range(1)
     row = lambda r: F.struct(*((null if v is None else v).alias(n) for n, v in zip(names, r, strict=True)))
     df = one.select(F.inline(F.array(*map(row, rows)))).select(*names)

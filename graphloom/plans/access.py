@@ -6,6 +6,7 @@ active group the view is empty (fail closed). Names are compared as data, never
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -20,12 +21,27 @@ APPLICATION_GRAPH = NS + "graphs/application"
 READ, WRITE, READ_FOR_WRITE = "read", "write", "read_for_write"
 
 
-def all_except(*predicates: str) -> Callable[[Column], Column]:
-    return lambda p: ~p.isin(*predicates) if predicates else F.lit(True)
+@dataclass(frozen=True)
+class Predicates:
+    """A rule on predicates: those named, or all others."""
+
+    names: frozenset
+    others: bool
+
+    def __call__(self, p: Column) -> Column:
+        named = p.isin(*sorted(self.names)) if self.names else F.lit(False)
+        return ~named if self.others else named
+
+    def allows(self, predicate: str) -> bool:
+        return (predicate in self.names) != self.others
+
 
+def all_except(*predicates: str) -> Predicates:
+    return Predicates(frozenset(predicates), True)
 
-def none_except(*predicates: str) -> Callable[[Column], Column]:
-    return lambda p: p.isin(*predicates) if predicates else F.lit(False)
+
+def none_except(*predicates: str) -> Predicates:
+    return Predicates(frozenset(predicates), False)
 
 
 @dataclass(frozen=True)
@@ -35,18 +51,16 @@ class ByType:
     types: tuple[str, ...] | None = None
     without: tuple[str, ...] = ()
     source: str = APPLICATION_GRAPH
-    predicates: Callable[[Column], Column] = field(default_factory=all_except)
-    inverse: Callable[[Column], Column] = field(default_factory=none_except)
+    predicates: Predicates = field(default_factory=all_except)
+    inverse: Predicates = field(default_factory=none_except)
+
+    def _fits(self, types: Column) -> Column:
+        own = F.filter(types, lambda t: ~t.isin(*self.without)) if self.without else types
+        return F.coalesce(F.size(own) > 0 if self.types is None else F.arrays_overlap(own, F.array(*map(F.lit, self.types))), F.lit(False))
 
-    def matching(self, quads: DataFrame, types: DataFrame) -> DataFrame:
-        own = types.where(~F.col("type").isin(*self.without)) if self.without else types
-        if self.types is not None:
-            own = own.where(F.col("type").isin(*self.types))
-        own = own.select("resource").distinct()
-        here = quads.where(F.col("g") == self.source)
-        forward = here.where(self.predicates(F.col("p"))).join(own.withColumnRenamed("resource", "s"), "s", "left_semi")
-        back = here.where(self.inverse(F.col("p")) & (F.col("o_kind") == IRI)).join(own.withColumnRenamed("resource", "o"), "o", "left_semi")
-        return forward.unionByName(back).distinct()
+    def matching(self, s_types: Column, o_types: Column) -> Column:
+        """Of a quad with the types of its subject and of its object."""
+        return (self.predicates(F.col("p")) & self._fits(s_types)) | (self.inverse(F.col("p")) & (F.col("o_kind") == IRI) & self._fits(o_types))
 
 
 @dataclass(frozen=True)
@@ -55,13 +69,11 @@ class ByPrefix:
 
     prefix: str
     source: str = APPLICATION_GRAPH
-    predicates: Callable[[Column], Column] = field(default_factory=all_except)
-    inverse: Callable[[Column], Column] = field(default_factory=none_except)
+    predicates: Predicates = field(default_factory=all_except)
+    inverse: Predicates = field(default_factory=none_except)
 
-    def matching(self, quads: DataFrame, types: DataFrame) -> DataFrame:
-        forward = F.col("s").startswith(self.prefix) & self.predicates(F.col("p"))
-        back = F.col("o").startswith(self.prefix) & (F.col("o_kind") == IRI) & self.inverse(F.col("p"))
-        return quads.where((F.col("g") == self.source) & (forward | back))
+    def matching(self, s_types: Column, o_types: Column) -> Column:
+        return (F.col("s").startswith(self.prefix) & self.predicates(F.col("p"))) | (F.col("o").startswith(self.prefix) & (F.col("o_kind") == IRI) & self.inverse(F.col("p")))
 
 
 @dataclass(frozen=True)
@@ -97,7 +109,8 @@ Allowed = list[tuple[str, tuple[str, ...]]]
 
 
 def allowed_groups(specs: list, session: str | None = None) -> Allowed:
-    """The groups of a session, with their variables, in the order of specs: a few rows for a caller come to the driver."""
+    """The groups of a session, with their variables, in the order of specs: a few rows for a caller come to the driver. For callers
+    with very many instances of a group there is graph_names(), which stays a table."""
     out: Allowed = []
     for spec in specs:
         if getattr(spec, "access", None) is None:
@@ -108,6 +121,39 @@ def allowed_groups(specs: list, session: str | None = None) -> Allowed:
     return [*dict.fromkeys(out)]
 
 
+def encode_groups(allowed: Allowed) -> str:
+    """Groups as JSON, as they are handed from call to call."""
+    return json.dumps([{"name": n, "variables": list(v)} for n, v in allowed])
+
+
+def decode_groups(text: str | None) -> Allowed | None:
+    """None, for no groups stated, stays None: they are then worked out anew."""
+    return None if text is None else [*dict.fromkeys((x["name"], tuple(x.get("variables", ()))) for x in json.loads(text))]
+
+
+def used_groups(specs: list, allowed: Allowed, usage: str) -> Allowed:
+    """Those allowed groups that a call of this usage makes use of; they are reported with its result."""
+    return [*dict.fromkeys((spec.name, variables) for spec, variables in active(specs, allowed, usage))]
+
+
+def resolve(specs: list, session: str | None = None, stated: str | None = None, sudo: bool = False) -> Allowed | None:
+    """The groups of a request: None for sudo, those stated with it, else those of its session."""
+    if sudo:
+        return None
+    return allowed_groups(specs, session) if stated is None else decode_groups(stated)
+
+
+def graph_names(spark, specs: list, session: str | None = None, usage: str = READ) -> DataFrame:
+    """(g): names of the graphs that a session may use, as a table for read_view(); nothing comes to the driver."""
+    out = spark.createDataFrame([(g.name(()),) for s in specs if isinstance(s, Group) and usage in s.usage and s.access is None for g in s.graphs], "g string")
+    for spec in specs:
+        if isinstance(spec, Group) and usage in spec.usage and spec.access is not None:
+            rows = spec.access(session).dropna()
+            for g in spec.graphs:
+                out = out.unionByName(rows.select(F.concat(F.lit(g.graph), F.concat_ws("/", *(F.col(c).cast("string") for c in rows.columns))).alias("g")))
+    return out.distinct()
+
+
 def active(specs: list, allowed: Allowed, usage: str) -> list[tuple]:
     return [(spec, variables) for spec in specs if usage in spec.usage for name, variables in allowed if name == spec.name]
 
@@ -116,38 +162,55 @@ def readable_graphs(specs: list, allowed: Allowed, usage: str = READ) -> list[st
     return [*dict.fromkeys(g.name(v) for spec, v in active(specs, allowed, usage) if isinstance(spec, Group) for g in spec.graphs)]
 
 
-def read_view(quads: DataFrame, graphs: list[str] | None) -> DataFrame:
-    """The merged default graph of the graphs: each triple once, without its graph. None: sudo, all graphs as they are."""
+def read_view(quads: DataFrame, graphs: list[str] | DataFrame | None) -> DataFrame:
+    """The merged default graph of the graphs: each triple once, without its graph. None: sudo, all graphs as they are. A table of
+    names is joined."""
     if graphs is None:
         return quads
+    triples = [c for c in IDENTITY if c != "g"]
+    if isinstance(graphs, DataFrame):
+        return quads.join(graphs.select("g"), "g", "left_semi").drop("g").dropDuplicates(triples)
     here = quads.where(F.col("g").isin(*graphs)) if graphs else quads.where(F.lit(False))
-    triples = here.drop("g")
-    return triples if len(graphs) == 1 else triples.dropDuplicates([c for c in IDENTITY if c != "g"])
+    return here.drop("g") if len(graphs) == 1 else here.drop("g").dropDuplicates(triples)
+
+
+def dataset(quads: DataFrame, default: list[str] = (), named: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """FROM and FROM NAMED: the default graph, merged, and the quads that GRAPH patterns see. Only with sudo: read_view() has no
+    graphs to choose from."""
+    return read_view(quads, [*default]), quads.where(F.col("g").isin(*named)) if named else quads.where(F.lit(False))
 
 
 def resource_types(changes: DataFrame, stored: DataFrame) -> DataFrame:
-    """(resource, type): the last type that the update itself gives a resource, else all stored ones, from any graph."""
+    """(resource, types): the last type that the update itself gives a resource, else all stored ones, from any graph."""
     is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
-    new = changes.where(is_type & (F.col("op") == "insert")).groupBy(F.col("s").alias("resource")).agg(F.max_by("o", "seq").alias("type"))
-    touched = changes.select(F.col("s").alias("resource")).unionByName(changes.where(F.col("o_kind") == IRI).select(F.col("o").alias("resource"))).distinct()
-    old = stored.where(is_type).select(F.col("s").alias("resource"), F.col("o").alias("type")).distinct()
-    return new.unionByName(old.join(touched, "resource", "left_semi").join(new, "resource", "left_anti"))
+    new = changes.where(is_type & (F.col("op") == "insert")).groupBy(F.col("s").alias("resource")).agg(F.array(F.max_by("o", "seq")).alias("types"))
+    old = stored.where(is_type).groupBy(F.col("s").alias("resource")).agg(F.collect_set("o").alias("types"))
+    return new.unionByName(old.join(new, "resource", "left_anti"))
 
 
 def route(changes: DataFrame, stored: DataFrame, specs: list, allowed: Allowed | None) -> DataFrame:
     """changes (seq, op, quads) with copies in the graph of each matching spec. The caller's graph is replaced by the
-    application graph first; each spec sees what those before it have written. allowed None: sudo, unchanged."""
+    application graph first; each spec sees what those before it have written. allowed None: sudo, unchanged. The types of
+    subject and object are looked up once; all specs are then conditions of one row, whose graphs are an array."""
     if allowed is None:
         return changes
-    types = resource_types(changes, stored)
-    now = changes.withColumn("g", F.lit(APPLICATION_GRAPH)).distinct()
-    for spec, variables in active(specs, allowed, WRITE):
+    now, chosen = changes.drop("g").distinct(), active(specs, allowed, WRITE)
+    by_type = [g.constraint for spec, _ in chosen if isinstance(spec, Group) for g in spec.graphs if isinstance(g.constraint, ByType)]
+    none = F.array().cast("array<string>")
+    types = resource_types(changes, stored) if by_type else None
+    now = now.join(types.select(F.col("resource").alias("s"), F.col("types").alias("s_types")), "s", "left") if by_type else now.withColumn("s_types", none)
+    if any(c.inverse.names or c.inverse.others for c in by_type):
+        now = now.join(types.select(F.col("resource").alias("o"), F.col("types").alias("o_types")), "o", "left")
+    else:
+        now = now.withColumn("o_types", none)
+    graphs = F.array(F.lit(APPLICATION_GRAPH))
+    for spec, variables in chosen:
         if isinstance(spec, Cleanup):
-            now = now.where(F.col("g") != spec.graph)
+            graphs = F.array_remove(graphs, spec.graph)
             continue
-        copies = [g.constraint.matching(now, types).withColumn("g", F.lit(g.name(variables))) for g in spec.graphs]
-        now = reduce(lambda a, b: a.unionByName(b), copies, now).distinct()
-    return now
+        copies = [F.when(F.array_contains(graphs, g.constraint.source) & g.constraint.matching(F.col("s_types"), F.col("o_types")), F.lit(g.name(variables))) for g in spec.graphs]
+        graphs = F.array_distinct(F.concat(graphs, F.array_compact(F.array(*copies))))
+    return now.select(*(c for c in changes.columns if c != "g"), F.explode(graphs).alias("g")).select(*changes.columns)
 
 
 def unwritten(changes: DataFrame, routed: DataFrame) -> DataFrame:

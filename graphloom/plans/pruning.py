@@ -5,8 +5,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-
 from .access import ByType
 
 
@@ -23,19 +21,11 @@ def subject_types(model: list[Class], predicates: list[str], stated: list[str] =
 
 
 def graphs_for(spec_graphs: list[tuple], types: set[str], predicate: str) -> list[str]:
-    """spec_graphs: (graph name, constraint) pairs that the caller may read."""
+    """spec_graphs: (graph name, constraint) pairs that the caller may read. Rules are data, so no query is run for this."""
     out = []
     for name, constraint in spec_graphs:
         if isinstance(constraint, ByType) and constraint.types is not None and types and not types & {*constraint.types}:
             continue
-        allows = _allows(constraint.predicates, predicate)
-        if allows is not False:
+        if constraint.predicates.allows(predicate):
             out.append(name)
     return out
-
-
-def _allows(rule, predicate: str) -> bool | None:
-    """Whether a rule of predicates lets one pass; the rule is asked as a constant column."""
-    from pyspark.sql import SparkSession
-
-    return SparkSession.active().range(1).select(rule(F.lit(predicate))).first()[0]

@@ -5,6 +5,7 @@ A change is (seq, op, quad). All statements of an update are solved against one
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import IRI
 from ..operators.patterns import Solutions
+from ..shared import cut
 from ..sources.quads import IDENTITY
+from .access import READ_FOR_WRITE, read_view, readable_graphs, route, unwritten
 
 COLUMNS = [*IDENTITY, "o_num"]
 
@@ -53,11 +56,25 @@ def fold(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*IDENTITY).agg(F.max_by("op", "seq").alias("op"), F.first("o_num").alias("o_num"))
 
 
-def commit(quads: DataFrame, folded: DataFrame) -> DataFrame:
-    """The next state: one shuffle on the quad's identity, for deletions, insertions and sets alike."""
-    both = quads.select(*COLUMNS, F.lit("stored").alias("op")).unionByName(folded.select(*COLUMNS, "op"))
-    kept = both.groupBy(*IDENTITY).agg(F.max_by("o_num", F.col("op") != "stored").alias("o_num"), F.max(F.when(F.col("op") != "stored", F.col("op"))).alias("op"))
-    return kept.where("op is null or op = 'insert'").select(*COLUMNS)
+def commit(quads: DataFrame, folded: DataFrame, few: int = 100_000) -> DataFrame:
+    """The next state. The folded changes are written once and counted. Up to `few` rows, they are sent to the tasks that read the
+    store, which is not shuffled then; beyond, both sides are shuffled by a hash of the quad. The store is a set of quads."""
+    changes = cut(folded.select(*COLUMNS, "op"))
+    small = changes.limit(few + 1).count() <= few
+    keys = changes.select(F.xxhash64(*IDENTITY).alias("h__"), *(F.col(c).alias(f"{c}__r") for c in IDENTITY))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in IDENTITY], F.xxhash64(*IDENTITY) == F.col("h__"))
+    kept = quads.join(F.broadcast(keys) if small else keys, same, "left_anti")
+    return kept.select(*COLUMNS).unionByName(changes.where("op = 'insert'").select(*COLUMNS))
+
+
+def update(quads: DataFrame, specs: list, allowed: list | None, solve: Callable[[DataFrame], Solutions], delete: list[tuple], insert: list[tuple], seq: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """DELETE / INSERT / WHERE of a caller, end to end: WHERE is solved on what the caller's groups may read for writing, the
+    changes are routed to the graphs that they may write. Gives the next state, the routed changes, and the triples that no group
+    of theirs writes (not empty: access is denied)."""
+    view = read_view(quads, None if allowed is None else readable_graphs(specs, allowed, READ_FOR_WRITE))
+    changes = modify(solve(view), delete, insert, seq)
+    routed = route(changes, quads, specs, allowed)
+    return commit(quads, fold(routed)), routed, unwritten(changes, routed)
 
 
 def sequential(quads: DataFrame, statements: list) -> DataFrame:

@@ -5,6 +5,9 @@ quads: g, s, s_kind, p, o, o_kind, o_dt, o_lang, and o_num, a numeric shadow of
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,30 +29,59 @@ def subject(df: DataFrame, table: str) -> Column:
     return F.concat(F.lit(f"{NS}{table}/"), F.sha2(F.to_json(F.struct(*df.columns)), 256))
 
 
-def table_quads(df: DataFrame, table: str, graph: str | Column = BASE_GRAPH, columns: list[str] | None = None) -> DataFrame:
-    """One pass over df: a row's type, its columns as typed literals, its keys of other tables as links besides. A column
-    named in no `columns` is not read; the language of a text is the column lang, if there is one."""
+def table_terms(df: DataFrame, table: str, columns: list[str] | None = None) -> dict[str, tuple]:
+    """Each predicate of a mapped table with its object: (text, kind, datatype, language, numeric shadow)."""
     null = F.lit(None).cast("string")
-
-    def entry(p: str, o: Column, kind: int, dt: str | None = None, lang: Column = null, num: Column | None = None) -> Column:
-        return F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).cast("tinyint").alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), lang.alias("o_lang"), (F.lit(None) if num is None else num).cast("double").alias("o_num"))
-
-    found = [entry(RDF_TYPE, F.lit(NS + table), IRI)]
+    found: dict[str, tuple] = {RDF_TYPE: (F.lit(NS + table), IRI, None, null, None)}
     for name, kind in df.dtypes:
         if kind not in TYPES or columns is not None and name not in columns:
             continue
         value = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss") if kind.startswith("timestamp") else F.col(name)
         if name == "text" and "lang" in df.columns:
-            found.append(entry(NS + name, value, LITERAL, LANG_STRING, F.col("lang")))
+            found[NS + name] = (value, LITERAL, LANG_STRING, F.col("lang"), None)
         else:
-            found.append(entry(NS + name, value, LITERAL, XSD + TYPES[kind], num=F.col(name) if TYPES[kind] in ("integer", "double", "float") else None))
+            found[NS + name] = (value, LITERAL, XSD + TYPES[kind], null, F.col(name) if TYPES[kind] in ("integer", "double", "float") else None)
         if name in LINKS:
-            found.append(entry(NS + name.removesuffix("key"), F.concat(F.lit(f"{NS}{LINKS[name]}/"), F.col(name).cast("string")), IRI))
+            found[NS + name.removesuffix("key")] = (F.concat(F.lit(f"{NS}{LINKS[name]}/"), F.col(name).cast("string")), IRI, None, null, None)
+    return found
+
+
+def table_quads(df: DataFrame, table: str, graph: str | Column = BASE_GRAPH, columns: list[str] | None = None, predicate: str | None = None) -> DataFrame:
+    """One pass over df: a row's type, its columns as typed literals, its keys of other tables as links besides. A column
+    named in no `columns` is not read; the language of a text is the column lang, if there is one. predicate: only that one,
+    without rows for others."""
+
+    def entry(p: str, o: Column, kind: int, dt: str | None, lang: Column, num: Column | None) -> Column:
+        return F.struct(F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).cast("tinyint").alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), lang.alias("o_lang"), (F.lit(None) if num is None else num).cast("double").alias("o_num"))
+
+    found = [entry(p, *o) for p, o in table_terms(df, table, columns).items() if predicate in (None, p)]
     graph = F.lit(graph) if isinstance(graph, str) else graph
-    rows = df.select(graph.alias("g"), subject(df, table).alias("s"), F.inline(F.array(*found)))
+    if predicate is None:
+        rows = df.select(graph.alias("g"), subject(df, table).alias("s"), F.inline(F.array(*found)))
+    else:
+        rows = df.select(graph.alias("g"), subject(df, table).alias("s"), *(found[0][x].alias(x) for x in ("p", "o", "o_kind", "o_dt", "o_lang", "o_num")))
     return rows.where("o is not null").select("g", "s", F.lit(IRI).cast("tinyint").alias("s_kind"), "p", "o", "o_kind", "o_dt", "o_lang", "o_num")
 
 
+@dataclass(frozen=True)
+class Mapped:
+    """Tables mapped to RDF that are not unpivoted before a pattern asks: a pattern with a known predicate reads one column, and
+    patterns that share a subject are one projection of the wide table."""
+
+    frames: dict
+    graph: str = BASE_GRAPH
+
+    def quads(self, predicate: str | None = None) -> DataFrame:
+        own = [table_quads(df, t, self.graph, predicate=predicate) for t, df in self.frames.items() if predicate is None or predicate in table_terms(df, t)]
+        if not own:
+            own = [table_quads(df, t, self.graph).where(F.lit(False)) for t, df in [*self.frames.items()][:1]]
+        return reduce(DataFrame.unionByName, own)
+
+
+def mapped(spark: SparkSession, sf_dir: str, *names: str) -> Mapped:
+    return Mapped({n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str, graph: str | Column = BASE_GRAPH) -> DataFrame:
     out = None
     for name in names:
@@ -72,7 +104,7 @@ _LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@
 
 
 def read_nquads(spark: SparkSession, path: str, graph: str = BASE_GRAPH) -> DataFrame:
-    """N-Triples and N-Quads; lines that are neither are dropped."""
+    """N-Triples and N-Quads. Lines that are neither, but for empty ones and comments, are in bad_lines()."""
     part = lambda i: F.regexp_extract("value", _LINE, i)
     rows = spark.read.text(path).where(F.col("value").rlike(_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("g"))
     bare = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.expr(f"substring({c}, 3)"))
@@ -87,6 +119,11 @@ def read_nquads(spark: SparkSession, path: str, graph: str = BASE_GRAPH) -> Data
     return rows.select(F.when(F.col("g") == "", graph).otherwise(F.col("g")).alias("g"), bare("s").alias("s"), kind("s").alias("s_kind"), "p", F.when(literal, quoted).otherwise(bare("o")).alias("o"), kind("o").alias("o_kind"), dt.alias("o_dt"), F.when(literal, lang).alias("o_lang"), F.when(literal, quoted.try_cast("double")).alias("o_num"))
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value: the lines of these files that read_nquads() can't take."""
+    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
 def write_version(quads: DataFrame, folder: str, version: int) -> None:
     """A new version's folder, a part for each graph, sorted so that scans can skip by predicate and subject."""
     quads.repartition("g", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("g", "p", "s").write.partitionBy("g").parquet(f"{folder}/v={version}")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import IRI, LITERAL, XSD
+from ..functions.terms import BNODE, IRI, LANG_STRING, LITERAL, XSD
 
 SCHEMA = "call string, seq int, op string, g string, s string, s_kind tinyint, p string, o string, o_kind tinyint, o_dt string, o_lang string, o_num double"
 
@@ -23,6 +23,15 @@ def encoded(kind: Column, lex: Column, dt: Column, lang: Column) -> Column:
     return F.struct(name.alias("type"), lex.alias("value"), shown.alias("datatype"), lang.alias("xml:lang"))
 
 
+def decoded(term: Column) -> Column:
+    """The term that encoded() shows so; term: JSON text."""
+    t = F.from_json(term, "type string, value string, datatype string, `xml:lang` string")
+    kind = F.when(t["type"] == "uri", IRI).when(t["type"].isin("literal", "typed-literal"), LITERAL).when(t["type"] == "bnode", BNODE).cast("tinyint")
+    tag = t["xml:lang"]
+    dt = F.when(kind == LITERAL, F.coalesce(F.when(tag.isNotNull(), F.lit(LANG_STRING)), t["datatype"], F.lit(XSD + "string")))
+    return F.when(kind.isNotNull() & t["value"].isNotNull(), F.struct(kind.alias("kind"), t["value"].alias("lex"), dt.alias("dt"), tag.alias("lang")))
+
+
 def change_rows(routed: DataFrame, call: str) -> DataFrame:
     return routed.select(F.lit(call).alias("call"), *(x.split()[0] for x in SCHEMA.split(", ")[1:]))
 
@@ -42,6 +51,20 @@ def publish(routed: DataFrame, call: str, folder: str) -> None:
     change_rows(routed, call).write.mode("append").parquet(folder)
 
 
+def to_all(*targets: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """The list of delta targets as one: a batch goes to each in turn, and is noted as delivered once all have it."""
+    def deliver(df: DataFrame, batch: int) -> None:
+        for target in targets:
+            target(df, batch)
+
+    return deliver
+
+
+def folder_target(folder: str, size: int = 1000) -> Callable[[DataFrame, int], None]:
+    """A target that keeps JSON change sets as files, a folder for each batch, so that a batch that is repeated replaces itself."""
+    return lambda df, batch: change_sets(df, size).write.mode("overwrite").json(f"{folder}/batch={batch}")
+
+
 def subscribe(spark: SparkSession, folder: str, deliver: Callable[[DataFrame, int], None], checkpoint: str):
     """A running stream that hands each batch of change rows to deliver, once for each batch that the checkpoint has noted."""
     stream = spark.readStream.schema(SCHEMA).parquet(folder)

@@ -45,7 +45,7 @@ def test_terms(spark):
 def test_aggregate_errors(spark):
     df = spark.range(2).select(F.when(F.col("id") == 0, T.literal(1)).otherwise(T.literal("x")).alias("t"))
     assert df.agg(A.total(F.col("t")).alias("v")).first()["v"] is None
-    assert df.where("false").agg(A.total(F.col("t")).alias("v")).first()["v"] == 0
+    assert df.where("false").agg(A.total(F.col("t")).alias("v")).first()["v"]["lex"] == "0"
 
 
 def bag(s: Solutions):
