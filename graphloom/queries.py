@@ -563,7 +563,7 @@ def q38b_negated_orders(spark, sf):
     return forward.join(F.broadcast(back)).select((F.col("n") - (size - 8) * F.col("n") / (size - 2)).cast("long").alias("n"), (F.col("back") - (size - 8) * F.col("back") / (size - 3)).cast("long").alias("back"))  # a row each
 
 
-RINGS = "WITH RECURSIVE c AS (SELECT conv_id AS c, turn AS s, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), first_value(turn) OVER (PARTITION BY conv_id ORDER BY turn)) AS o FROM conversations), r AS (SELECT c, s, o FROM c UNION SELECT r.c, r.s, c.o FROM r JOIN c ON r.c = c.c AND r.o = c.s) "
+RINGS = "WITH RECURSIVE c AS (SELECT a.conv_id AS c, a.turn AS s, b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 UNION SELECT conv_id, max(turn), min(turn) FROM conversations GROUP BY conv_id), r AS (SELECT c, s, o FROM c UNION SELECT r.c, r.s, c.o FROM r JOIN c ON r.c = c.c AND r.o = c.s) "
 
 
 @query(RINGS + "SELECT c, s::bigint AS s, o::bigint AS o FROM r")
@@ -571,8 +571,7 @@ def q39b_cycle_conversations(spark, sf):
     """The last turn of each conversation links to its first one, so that all turns reach all."""
     t = read(spark, sf, "conversations").select("conv_id", "turn")
     first = t.groupBy("conv_id").agg(F.min("turn").alias("low"), F.max("turn").alias("top"))
-    following = t.select("conv_id", F.col("turn").alias("o"))
-    step = t.join(following, (t["conv_id"] == following["conv_id"]) & (following["o"] == t["turn"] + 1)).select(t["conv_id"], "turn", "o")
+    step = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("o")), ["conv_id", "turn"])
     name = lambda c, n: T.iri(F.concat_ws("/", F.col(c).cast("string"), F.col(n).cast("string")))
     e = step.select(name("conv_id", "turn").alias("s"), name("conv_id", "o").alias("o")).unionByName(first.select(name("conv_id", "top").alias("s"), name("conv_id", "low").alias("o")))
     part = lambda c, i: F.split(F.col(c)["lex"], "/")[i].cast("long")
@@ -615,9 +614,10 @@ def q58_in(spark, sf):
 @query("SELECT o_orderkey AS k, (o_orderkey::hugeint * 9007199254740993 + 1)::varchar AS big, o_orderkey::hugeint * 9007199254740993 = o_orderkey::hugeint * 9007199254740993 + 1 AS same FROM orders")
 def q59_exact_integers(spark, sf):
     s = match(mapped(spark, sf, "orders"), "?o", NS + "o_orderkey", "?k").df
-    product = T.arithmetic("*", F.col("k"), T.literal("9007199254740993", T.XSD + "integer"))
-    more = T.arithmetic("+", product, T.literal(1))
-    return s.select(num("k").cast("long").alias("k"), more["lex"].alias("big"), T.equal(product, more).alias("same"))
+    # a step at a time: a term that an expression uses is a column by then
+    s = s.withColumn("product", T.arithmetic("*", F.col("k"), T.literal("9007199254740993", T.XSD + "integer")))
+    s = s.withColumn("more", T.arithmetic("+", F.col("product"), T.literal(1)))
+    return s.select(num("k").cast("long").alias("k"), F.col("more")["lex"].alias("big"), T.equal(F.col("product"), F.col("more")).alias("same"))
 
 
 @query("SELECT p_partkey AS k, rtrim(rtrim((p_size::decimal(18, 1) * 0.1::decimal(18, 1) + 0.2::decimal(18, 1))::varchar, '0'), '.') AS v, rtrim(rtrim((p_size::decimal(18, 2) / 4)::decimal(18, 4)::varchar, '0'), '.') AS q, (-p_size)::varchar AS neg FROM part")
