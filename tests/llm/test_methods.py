@@ -7,7 +7,7 @@ import sys
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, packing
+from graphloom.llm import decontam, html_text, packing
 from graphloom.llm.queries import oracle_sql, queries
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -39,3 +39,33 @@ def test_spans_of_benchmark_windows_go(spark):
     b = spark.createDataFrame([(1, item), (2, "Short, item")], "item_id long, text string")
     got = sorted((r["doc_id"], r["text"]) for r in decontam.without_spans(d, b).collect())
     assert got == [(1, "Before, it: And (after)"), (1, "Before, it: And (after)"), (2, ""), (3, ""), (4, "clean -- text"), (5, "x yes. End")]
+
+
+PAGES = [
+    ("<pre><code>a  b\n  c</code></pre>", "a  b\n  c"),
+    ("<pre>\na\n\n\nb <b>x</b>  y\n</pre>tail", "a\n\n\nb x  y\n\ntail"),
+    ("<div style='white-space:pre'>a  b</div>", "a  b"),
+    ("<div style='visibility:hidden'>no<span style='visibility:visible'>yes</span></div>", "yes"),
+    ("<div style='display:none'>no<span style='visibility:visible'>no</span></div>x", "x"),
+    ("<table><tr><th colspan=2>Wide head<th>C<tr><td>a<td>b<td>c</table>", "Wide head  C\na  b       c"),
+    ("<table><tr><td rowspan=2>R<td>1<tr><td>2<tr><td>x<td>y</table>", "R  1\n   2\nx  y"),
+    ("<table><tr><td>a<br>b<td>c</table>", "a  c\nb"),
+    ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"),
+    ("<ol data-start=9 start=3><li>a</ol>", "3. a"),
+    ("x<br><br>y", "x\n\ny"),
+    ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul>", "- a\n  - b\n  - c\n- d"),
+    ("<table><tr><td>" + "w" * 70 + " " + "ab " * 30 + "<td>c<tr><td>d<td>e</table>", "w" * 70 + "  c\n" + ("ab " * 20).strip() + "\n" + ("ab " * 10).strip() + "\nd" + " " * 60 + "e"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), PAGES)
+def test_layout(page, text):
+    assert html_text.rendered(page) == text
+
+
+def test_deep_pages_are_whole(spark):
+    assert html_text.rendered("<div>" * 30_000 + "deep" + "</div>" * 30_000 + "end") == "deep\nend"
+    assert html_text.rendered("<table><tr><td>" * 800 + "deep").endswith("deep")
+    d = spark.createDataFrame([(1, "u", "<ul><li>" * 500 + "deep", "x", 7), (None, None, "<p>a", "y", 8), (1, "u", "<p>a", "x", 7), (1, "u", "<p>a", "x", 7)], "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((r["n_chars"], r["text"][-4:]) for r in html_text.page_text(d).collect())
+    assert [x[1] for x in got] == ["a", "a", "a", "deep"] and html_text.page_text(d.where("false")).count() == 0
