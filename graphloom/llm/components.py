@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -29,15 +29,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select(F.col("m").alias("a"), F.col("u").alias("b"))).distinct()
 
 
-def stars(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(a, b) with a < b: every node b of a component but its smallest node a."""
+def stars(edges: DataFrame) -> DataFrame:
+    """(a, b) with a < b: every node b of a component but its smallest node a. Rounds go on until none changes anything; their number
+    grows with the logarithm of the longest way in a component."""
     edges, before = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()), None
-    for _ in range(rounds):
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges
+        last = edges
         before, edges = now, cut(_small_star(_large_star(edges)))
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+        drop(last)
 
 
 def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,14 +1,18 @@
 """SimHash near-duplicates: segment popcounts, a grid range join, an exact check, and connected components.
 
-A fingerprint is mapped to the counts of set bits of its sixteen 4-bit segments. Each differing bit changes one count by one,
+A fingerprint is mapped to the counts of set bits of its thirty-two 2-bit segments. Each differing bit changes one count by one,
 so the Manhattan distance of two such vectors is a lower bound of the Hamming distance. The vectors lie on a grid of six
 blocks of segments. Two within distance 3 differ in at most 3 blocks, so they share a cell in at least one of the
-C(6,3) = 20 choices of 3 blocks: an exact cover. Cells are joined with themselves in lists of at most `cell` fingerprints;
-inside, the difference of total popcounts (the coarsest of the bounds) gives the range to compare, the vectors' Manhattan
-distance is tested next, then the bits. Of the links found, a list hands on a spanning forest only.
+C(6,3) = 20 choices of 3 blocks: an exact cover. A cell is named by the counts of 16 segments, of some 24 bits of entropy, so
+that cells stay small as fingerprints grow in number. A cell of more than `cell` fingerprints is covered by a second grid in
+the same way, of segments of bits that lie far apart; what is still too many is dealt to lists, and each two lists of a cell
+meet under a key of their own. Inside a list, the difference of total popcounts (the coarsest of the bounds) gives the
+range to compare, the vectors' Manhattan distance is tested next, then the bits. Of the links found, a list hands on a
+spanning forest only.
 
 Equal fingerprints are one row with their smallest id from the start, so copies never multiply. Null ids form no smallest id:
-a component of null ids alone has a null component_id. Empty and null texts have fingerprint zero. Empty table: no rows.
+a component of null ids alone has a null component_id. Empty and null texts have fingerprint zero. Texts of any length count whole.
+Columns of other names never reach the operator. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -22,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_and_text
+from .common import batches, cut, drop, id_and_text
 from .components import smallest_reachable
 
-#: Widths in 4-bit segments of the six blocks of the grid.
-BLOCKS = (3, 3, 3, 3, 2, 2)
-POP4 = np.array([bin(i).count("1") for i in range(16)], np.uint8)
+#: Widths in 2-bit segments of the six blocks of the grid.
+BLOCKS = (6, 6, 5, 5, 5, 5)
+#: For the second grid, bit i goes to this place.
+FAR = [i * 29 % 64 for i in range(64)]
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -56,24 +61,46 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def segments(fp: np.ndarray) -> np.ndarray:
-    """The popcounts of 16 segments for each fingerprint."""
-    b = fp.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return np.stack([POP4[b >> 4], POP4[b & 15]], 2).reshape(-1, 16)
+    """The popcounts of 32 segments for each fingerprint."""
+    bits = np.unpackbits(fp.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 32, 2)
+    return bits[:, :, 0] + bits[:, :, 1]
 
 
-def cells(fps: DataFrame, bits: int = 3) -> DataFrame:
-    """(cell, fp): the grid cells that each fingerprint lies in, one for each choice of blocks."""
+def apart(fp: np.ndarray) -> np.ndarray:
+    """fp with its bits in places far apart."""
+    bits = np.unpackbits(fp.astype(np.int64).view(np.uint64).astype(">u8").view(np.uint8)).reshape(-1, 64)
+    return np.ascontiguousarray(np.packbits(bits[:, FAR], axis=1)).view(">u8").ravel().astype(np.uint64).view(np.int64)
+
+
+def cell_keys(fp: np.ndarray, bits: int = 3) -> np.ndarray:
+    """A row for each choice of blocks: the keys of the cells that the fingerprints lie in."""
+    pop, at, block = segments(fp).astype(np.int64), 0, []
+    for width in BLOCKS:
+        block.append(sum(pop[:, at + i] * 3**i for i in range(width)))
+        at += width
+    keys = []
+    for j, some in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - bits)):
+        key = np.full(len(fp), j, np.int64)
+        for k in some:
+            key = key * 3 ** BLOCKS[k] + block[k]
+        keys.append(key)
+    return np.stack(keys)
+
+
+def cells(fps: DataFrame, bits: int = 3, again: bool = False) -> DataFrame:
+    """(cell, fp): the grid cells that each fingerprint lies in, one for each choice of blocks. again: fps has cells already, and
+    each of them is covered by the second grid; a cell's name is then a hash of both names."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        pop, at, block = segments(fp).astype(np.int64), 0, []
-        for width in BLOCKS:
-            block.append(sum(pop[:, at + i] * 5**i for i in range(width)))
-            at += width
-        keys = [(((np.int64(j) * 125 + block[a]) * 125 + block[b_]) * 125 + block[c]) for j, (a, b_, c) in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - bits))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(keys)))], names=["cell", "fp"])
+        fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = cell_keys(apart(fp) if again else fp, bits)
+        if again:
+            old = b.column("cell").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            mixed = (old * np.uint64(0x9E3779B97F4A7C15)) ^ (keys.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            keys = (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.tile(fp, len(keys)))], names=["cell", "fp"])
 
-    return fps.select("fp").mapInArrow(batches(run), "cell long, fp long")
+    return fps.select("cell", "fp").mapInArrow(batches(run), "cell long, fp long") if again else fps.select("fp").mapInArrow(batches(run), "cell long, fp long")
 
 
 def forest(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
@@ -102,34 +129,51 @@ def forest(a: np.ndarray, b: np.ndarray, bits: int) -> tuple[list[int], list[int
     return left, right
 
 
+def counted(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, n) of cells with more than one fingerprint, as a table, and the members of these cells with n."""
+    there = cut(members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    return there, members.join(there, "cell")
+
+
 def links(fps: DataFrame, bits: int = 3, cell: int = 1024) -> DataFrame:
     """(a, b): links between distinct fingerprints that span every component; fps has one row for each fingerprint."""
-    there = cut(cells(fps, bits).groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    first, members = counted(cells(fps, bits))
+    members = cut(members)
+    hot = members.where(F.col("n") > cell)
+    second, refined = counted(cells(hot, bits, again=True))
+    every = members.where(F.col("n") <= cell).unionByName(refined)
     part = F.when(F.col("n") > cell, F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / cell))).otherwise(F.lit(0)).alias("part")
-    lists = cells(fps, bits).join(there, "cell").select("cell", "fp", part, (F.col("n") > cell).alias("hot"))
-    lists = cut(lists.groupBy("cell", "part", "hot").agg(F.collect_list("fp").alias("a")))
+    lists = cut(every.select("cell", "fp", "n", part).groupBy("cell", "n", "part").agg(F.collect_list("fp").alias("a")))
+    drop(first, second, members)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch | None:
         left, right = [], []
-        for x, y in zip(b.column(0), b.column(1), strict=True):
-            p = x.values.to_numpy()
-            q = p if y.values is None else y.values.to_numpy()
-            one, two = forest(p, q, bits)
+        for x in b.column(0):
+            own = [v.values.to_numpy() for v in x.values]
+            one, two = forest(own[0], own[-1], bits)
             left += one
             right += two
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    inside = lists.select("a", F.lit(None).cast("array<long>").alias("b"))
-    hot = lists.where("hot")
-    across = hot.join(hot.select("cell", F.col("part").alias("part_b"), F.col("a").alias("b")), "cell").where("part < part_b").select("a", "b")
-    return inside.unionByName(across).mapInArrow(batches(run), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    inside = lists.select(F.array("a").alias("lists"))
+    # a list of a large cell goes to each key (own part, other part), so each two lists meet in a group of two
+    large = lists.where(F.col("n") > cell).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / cell) - 1))).where("part <> other")
+    across = large.groupBy("cell", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y")).agg(F.collect_list("a").alias("lists")).where(F.size("lists") == 2).select("lists")
+    # comparing takes far more time than the bytes tell, so lists are dealt out by number
+    dealt = inside.unionByName(across).repartition(4 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = dealt.mapInArrow(batches(run), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    out = cut(found)
+    drop(lists)
+    return out
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex), component_id for every row of docs."""
     prints = cut(fingerprints(docs, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    members = smallest_reachable(links(classes, bits), classes.select(F.col("fp").alias("node"), "low"))
+    edges = links(classes, bits)
+    members = smallest_reachable(edges, classes.select(F.col("fp").alias("node"), "low"))
+    drop(edges)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     joined = prints.join(members.select(F.col("node").alias("fp"), F.col("low").alias("component_id")), "fp", "left")
     return joined.select("doc_id", hexed, "component_id")
