@@ -1,23 +1,28 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The vocabulary is compiled to a deterministic transducer whose states are the text since the last hard boundary. No piece
-has a word character before a space mark, so a boundary lies before each run of marks; and no piece spans two neighbouring
-characters that no piece has side by side. A walk from boundary to boundary always returns to the start state, so it is kept
-as one transition, annotated with the number of tokens that it emits. A batch's new transitions are built together, by
-running the merges on all their segments at once in numpy; those that later batches do not use are given up first.
-
-Text is cut into chunks at fixed places. Without knowing the state a chunk begins in, its state map is (head, emitted, tail):
-what completes the open segment, what is emitted between the boundaries, what stays open. Maps compose associatively, so
-neighbours are composed pairwise, level by level, as in a parallel prefix scan.
-
-Null text: empty, no tokens. Repeated rows: a row each. Empty table: no rows. Texts of any length: memory is a chunk's.
+The vocabulary is compiled to a deterministic transducer over characters. A sequence of pieces is what the merges make of a text
+exactly if each piece and each two neighbours are left alone by the merges, so the last piece of every prefix of a text is
+unique. A state holds what later pieces can depend on: each place behind it from which a piece may still be open, as the node
+of the vocabulary's trie that has been reached since, the piece that ends at that place, and the tokens counted since then. A
+transition reads a character and is annotated with the tokens that it emits, net: a longer piece takes back the tokens of its
+parts. The trie, the merges and the pairs of characters that pieces have side by side are compiled once; states and
+transitions are made when a text first needs them, and are kept in tables of STATES rows, one column for each of the COLUMNS
+commonest characters. When the tables are full, they start anew with the states that are in use.
+
+Texts are cut into chunks of CHUNK characters, and all chunks of a batch are read side by side, a column of characters a step. A
+chunk's map, state -> (state, tokens), is made for the state that the WARM characters before it lead to. Maps compose
+associatively: a scan over neighbours finds those whose entry was made for another state than the one before ends in, makes
+that entry, and goes on until all fit; then a segmented sum gives each text's count. A worker's tables take STATES * COLUMNS * 5
+bytes at most (170 MB), and as much again for what the states hold.
+
+Null text: empty, no tokens. Repeated rows, and ties: a row each. Empty table: no rows. Columns of other names never reach the
+operator. Texts of any length are counted whole: memory is a group of chunks.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -25,75 +30,55 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .bpe import PairTable, padded
 from .common import batches, id_and_text
 
 MARK = "▁"
-CHUNK = 1 << 16
-#: Transitions that a worker keeps; then those stay that the batch at hand uses.
-KEPT = 500_000
-#: Longer segments are merged one by one, and not kept.
-LONG = 48
-
+CHUNK, WARM = 512, 32
+#: Chunks that are read side by side.
+LANES = 8192
+STATES, COLUMNS = 1 << 18, 128
+#: Fewer chunks than this are read one by one.
+FEW = 24
 
-class Transducer(dict):
-    """Segment -> tokens emitted from boundary to boundary."""
 
-    def __init__(self, path: str):
+class Transducer:
+    def __init__(self, path: str, states: int = STATES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ordinary = (i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)))
         self.score = {model.id_to_piece(i): model.get_score(i) for i in ordinary}
         self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        if any(a != MARK and b == MARK for a, b in self.beside):
-            raise ValueError("a piece of this vocabulary has a character before a space mark")
-        self.segments = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-        piece = {p: i for i, p in enumerate(self.score)}
-        self.of_char = np.full(0x110000, -1, np.int32)
-        for p, i in piece.items():
-            if len(p) == 1:
-                self.of_char[ord(p)] = i
-        self.pairs = PairTable({(piece[p[:i]], piece[p[i:]]): (j, -self.score[p]) for p, j in piece.items() for i in range(1, len(p)) if p[:i] in piece and p[i:] in piece}, len(piece))
-
-    def __missing__(self, segment: str) -> int:
-        return sum(map(self.merged, self.inner(segment)))
-
-    def learn(self, segments: Iterable[str]) -> None:
-        """Builds the transitions of segments."""
-        segments = {s for s in segments if len(s) <= LONG}
-        new = sorted(segments - self.keys(), key=len)
-        if len(self) + len(new) > KEPT:
-            for s in self.keys() - segments:
-                del self[s]
-        for i in range(0, len(new), 16384):
-            part = new[i : i + 16384]
-            self.update(zip(part, self.merged_together(part).tolist(), strict=True))
-
-    def merged_together(self, segments: list[str]) -> np.ndarray:
-        """merged() of many segments of like lengths."""
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
-        code = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-        ids = self.of_char[code]
-        utf8 = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        as_bytes = np.bincount(np.repeat(np.arange(len(size)), size), utf8 * (ids < 0), len(size)).astype(np.int64)
-        return as_bytes + (self.pairs.merged(padded(ids, size)) >= 0).sum(1)
-
-    def inner(self, segment: str):
-        """segment, cut between characters that no piece has side by side."""
-        start = 0
-        for i in range(1, len(segment)):
-            if segment[i - 1 : i + 1] not in self.beside:
-                yield segment[start:i]
-                start = i
-        yield segment[start:]
-
-    def merged(self, s: str) -> int:
+        if lost := {c for p in self.score for c in p} - self.score.keys():
+            raise ValueError(f"characters of pieces are no pieces: {sorted(lost)[:9]}")
+        self.child: list[dict[str, int]] = [{}]
+        self.piece: list[str | None] = [None]
+        for p in self.score:
+            node = 0
+            for c in p:
+                if c not in self.child[node]:
+                    self.child[node][c] = len(self.child)
+                    self.child.append({})
+                    self.piece.append(None)
+                node = self.child[node][c]
+            if self.merged(p) == [p]:
+                self.piece[node] = p
+        self.agree: dict[tuple, bool] = {}
+        self.most = states
+        self.column = np.zeros(0x110000, np.uint8)
+        self.columns = 1  # column 0 is for all other characters
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.state: list[tuple] = []
+        self.to, self.emit = np.full((1024, COLUMNS), -1, np.int32), np.zeros((1024, COLUMNS), np.int8)
+        self.rare: dict[tuple[int, int], tuple[int, int]] = {}
+        self.intern(((0, None, 0),))  # a text's beginning: state 0
+
+    def merged(self, s: str) -> list[str]:
         """Pieces of s: the best neighbours merge first, the left ones of equals."""
-        score = self.score
-        if len(s) == 1:
-            return 1 if s in score else len(s.encode())
-        piece, left, right = list(s), list(range(-1, len(s) - 1)), list(range(1, len(s) + 1))
+        score, piece, left, right = self.score, list(s), list(range(-1, len(s) - 1)), list(range(1, len(s) + 1))
         heap = [(-score[p], i, p) for i in range(len(s) - 1) if (p := s[i : i + 2]) in score]
         heapq.heapify(heap)
         while heap:
@@ -107,45 +92,149 @@ class Transducer(dict):
             for a, b in ((left[i], i), (i, right[i])):
                 if 0 <= a and b < len(s) and (q := piece[a] + piece[b]) in score:
                     heapq.heappush(heap, (-score[q], a, q))
-        return sum(1 if p in score else len(p.encode()) for p in piece if p)
-
-    def emitted(self, s: str) -> int:
-        return sum(map(self.__getitem__, self.segments(s)))
-
-    def state_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, emitted, tail); tail None: no boundary, all of it is head."""
-        found = self.segments(chunk)
-        if len(found) < 2:
-            return chunk, 0, None
-        return found[0], sum(map(self.__getitem__, found[1:-1])), found[-1]
-
-    def compose(self, a: tuple, b: tuple) -> tuple:
-        if a[2] is None:
-            return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.emitted(a[2] + b[0]) + b[1], b[2]
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        return self.count_all([text], chunk)[0]
+        return [p for p in piece if p]
+
+    def stay(self, a: str, b: str) -> bool:
+        """Whether the merges leave these neighbours alone."""
+        if (out := self.agree.get((a, b))) is None:
+            if len(self.agree) > 1_000_000:
+                self.agree.clear()
+            out = self.agree[a, b] = self.merged(a + b) == [a, b]
+        return out
+
+    def intern(self, state: tuple) -> int:
+        if (i := self.number.get(state)) is None:
+            i = self.number[state] = len(self.state)
+            self.state.append(state)
+            if i >= len(self.to):
+                self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
+                self.emit = np.concatenate([self.emit, np.zeros_like(self.emit)])
+        return i
+
+    def step(self, state: int, code: int) -> tuple[int, int]:
+        """The next state and the tokens emitted; kept in the tables."""
+        c, alive, last, n = chr(code), [], None, 0
+        for node, before, since in self.state[state]:
+            if not node and before is not None and before[-1] + c not in self.beside:
+                before = None  # no piece spans this place
+            if (to := self.child[node].get(c)) is None:
+                continue
+            alive.append((to, before, since))
+            p = self.piece[to]
+            if p is not None and (before is None or self.stay(before, p)):
+                last, n = p, 1 - since
+        if c not in self.score:  # its bytes
+            last, n = None, len(c.encode())
+        elif last is None:
+            raise ValueError(f"no piece ends after {c!r} in {self.state[state]}")
+        after = self.intern((*((to, before, since + n) for to, before, since in alive if self.child[to]), (0, last, 0)))
+        if k := int(self.column[code]):
+            self.to[state, k], self.emit[state, k] = after, n
+        else:
+            if len(self.rare) > 4 * self.most:
+                self.rare.clear()
+            self.rare[state, code] = after, n
+        return after, n
+
+    def keep(self, *held: np.ndarray) -> None:
+        """Starts the tables anew with the states in these arrays, which are numbered anew in place."""
+        old = self.state
+        self.forget()
+        for a in held:
+            used, place = np.unique(a, return_inverse=True)
+            a[:] = np.array([self.intern(old[i]) for i in used.tolist()], a.dtype)[place]
+
+    def read(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, states: np.ndarray, *held: np.ndarray) -> np.ndarray:
+        """Reads flat[start : start + size] for each chunk, from its state, which becomes the last one; gives tokens. held: more
+        arrays of states that the caller still needs."""
+        tokens = np.zeros(len(size), np.int64)
+        if len(size) < FEW:
+            for i, (a, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
+                s, total = int(states[i]), 0
+                for code in flat[a : a + n].tolist():
+                    k = self.column[code]
+                    if k and (to := int(self.to[s, k])) >= 0:
+                        total += int(self.emit[s, k])
+                        s = to
+                    else:
+                        s, more = self.rare.get((s, code)) or self.step(s, code)
+                        total += more
+                    if len(self.state) >= self.most:
+                        states[i] = s
+                        self.keep(states, *held)
+                        s = int(states[i])
+                states[i], tokens[i] = s, total
+            return tokens
+        order = np.argsort(-size, kind="stable")
+        now, at, ends, tokens_now = states[order], start[order], size[order], tokens
+        for j in range(int(ends[0])):
+            n = int(np.searchsorted(-ends, -j, "left"))  # chunks that have a character here
+            code = flat[at[:n] + j]
+            k, s = self.column[code], now[:n]
+            to, more = self.to[s, k], self.emit[s, k].astype(np.int64)
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
+                pair, place = np.unique(s[missing].astype(np.int64) << 21 | code[missing], return_inverse=True)
+                made = np.array([self.rare.get((p >> 21, p & 0x1FFFFF)) or self.step(p >> 21, p & 0x1FFFFF) for p in pair.tolist()], np.int64)
+                to[missing], more[missing] = made[place, 0], made[place, 1]
+            tokens_now[:n] += more
+            now[:n] = to
+            if len(self.state) >= self.most:
+                self.keep(now, *held)
+        states[order] = now
+        out = np.empty_like(tokens)
+        out[order] = tokens_now
+        return out
+
+    def group(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, carry: tuple) -> tuple[np.ndarray, tuple]:
+        """Tokens of neighbouring chunks; first: chunks that begin a text. carry: the state (as it is, not its number) that the
+        group before has ended in."""
+        entry, warm = np.zeros(len(size), np.int64), np.flatnonzero(~first)
+        if len(warm) and warm[0] == 0:
+            entry[0], warm = self.intern(carry), warm[1:]
+        guess = np.zeros(len(warm), np.int64)
+        before = np.minimum(WARM, size[warm - 1])
+        self.read(flat, start[warm] - before, before, guess, entry)
+        entry[warm] = guess
+        end = entry.copy()
+        tokens = self.read(flat, start, size, end, entry)
+        while len(wrong := 1 + np.flatnonzero((end[:-1] != entry[1:]) & ~first[1:])):
+            entry[wrong] = end[wrong - 1]
+            some = entry[wrong]
+            tokens[wrong] = self.read(flat, start[wrong], size[wrong], some, entry, end)
+            end[wrong] = some
+        return tokens, self.state[int(end[-1])]
 
     def count_all(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
-        texts = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        chunks = [[t[i : i + chunk] for i in range(0, len(t), chunk)] for t in texts]
-        self.learn(s for cs in chunks for c in cs for s in self.segments(c))
-        return [self.over(cs) for cs in chunks]
-
-    def over(self, chunks: list[str]) -> int:
-        if len(chunks) < 2:
-            return self.emitted(chunks[0]) if chunks else 0
-        maps = list(map(self.state_map, chunks))
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, n, tail = maps[0]
-        return self.emitted(head) + n + (0 if tail is None else self.emitted(tail))
-
-
-_compiled: dict[str, Transducer] = {}
+        flat = np.frombuffer("".join(MARK + t for t in texts if t).encode("utf-32-le"), np.uint32).copy()
+        flat[flat == 0x20] = ord(MARK)
+        self.name(flat)
+        length = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        chunks = -(-length // chunk)
+        text = np.repeat(np.arange(len(texts)), chunks)
+        place = np.arange(len(text)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+        start = (np.cumsum(length) - length)[text] + place * chunk
+        size = np.minimum(chunk, length[text] - place * chunk)
+        tokens, carry = np.zeros(len(text), np.int64), ((0, None, 0),)
+        for i in range(0, len(text), LANES):
+            g = slice(i, i + LANES)
+            tokens[g], carry = self.group(flat, start[g], size[g], place[g] == 0, carry)
+        return np.bincount(text, tokens, len(texts)).astype(np.int64).tolist()
+
+    def name(self, flat: np.ndarray) -> None:
+        """Gives columns to the commonest characters of the first texts, as long as there are some left."""
+        if self.columns < COLUMNS:
+            new, n = np.unique(flat[self.column[flat] == 0], return_counts=True)
+            for code in new[np.argsort(-n, kind="stable")][: COLUMNS - self.columns].tolist():
+                self.column[code] = self.columns
+                self.columns += 1
+                self.rare = {k: v for k, v in self.rare.items() if k[1] != code}
+
+
+@lru_cache(maxsize=2)
+def compiled(path: str) -> Transducer:
+    """A worker's own; its next tasks use it again."""
+    return Transducer(path)
 
 
 def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096) -> DataFrame:
@@ -153,8 +242,7 @@ def token_counts(docs: DataFrame, model: str | None = None, limit: int = 4096) -
     model = model or public_tokenizers.path("piece_bpe_32k.model")
 
     def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = _compiled.get(model) or _compiled.setdefault(model, Transducer(model))
-        n = pa.array(t.count_all(b.column(1).to_pylist()), pa.int64())
+        n = pa.array(compiled(model).count_all(b.column(1).to_pylist()), pa.int64())
         return pa.RecordBatch.from_arrays([b.column(0), pc.binary_length(b.column(1)).cast(pa.int64()), n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return id_and_text(docs).mapInArrow(batches(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

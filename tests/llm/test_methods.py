@@ -7,7 +7,7 @@ import sys
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, html_text, packing
+from graphloom.llm import decontam, html_text, packing, token_counts
 from graphloom.llm.queries import oracle_sql, queries
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -69,3 +69,30 @@ def test_deep_pages_are_whole(spark):
     d = spark.createDataFrame([(1, "u", "<ul><li>" * 500 + "deep", "x", 7), (None, None, "<p>a", "y", 8), (1, "u", "<p>a", "x", 7), (1, "u", "<p>a", "x", 7)], "page_id long, url string, html string, text string, n_chars long")
     got = sorted((r["n_chars"], r["text"][-4:]) for r in html_text.page_text(d).collect())
     assert [x[1] for x in got] == ["a", "a", "a", "deep"] and html_text.page_text(d.where("false")).count() == 0
+
+
+def test_transducer_equals_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, r = sentencepiece.SentencePieceProcessor(model_file=path), random.Random(3)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["", " ", "  a ", "hello world", "a" * 5000, "ab" * 3000, "漢字" * 1500, "=" * 3000 + " " * 3000, some(letters.upper() + letters + "0123456789+/", 4000)]
+    texts += [some(map_, r.randrange(1, 200)) for map_ in ("etaoinsr", letters + "    ", letters + "   éüñ\n\t👍🏽漢ß\x00") for _ in range(300)]
+    texts += [some([chr(c) for c in range(0x4E00, 0x9FFF)], 3000)]
+    want = [len(x) for x in model.encode(texts)]
+    t = token_counts.Transducer(path)
+    assert t.count_all(texts) == want and t.count_all(texts) == want
+    assert all(t.to[0, t.column[ord(c)]] > 0 for c in "▁a")  # transitions of single characters, kept in the table
+    for chunk in (1, 7, 40):
+        assert t.count_all(texts[:40], chunk) == want[:40]
+    small = token_counts.Transducer(path, states=300)  # tables that start anew all the time
+    assert small.count_all(texts) == want and len(small.state) < 20_000
+
+
+def test_chunk_maps_compose():
+    t = token_counts.Transducer(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "a" * 1000 + " the" * 50 + "x" * 999
+    whole, cut = t.count_all([text], 10_000), t.count_all([text], 64)
+    assert whole == cut
