@@ -4,10 +4,11 @@ import os
 import random
 import sys
 
+import numpy as np
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, html_text, packing, token_counts
+from graphloom.llm import decontam, html_text, lm_scoring, packing, token_counts
 from graphloom.llm.queries import oracle_sql, queries
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -96,3 +97,44 @@ def test_chunk_maps_compose():
     text = "a" * 1000 + " the" * 50 + "x" * 999
     whole, cut = t.count_all([text], 10_000), t.count_all([text], 64)
     assert whole == cut
+
+
+def small_model(words=30, hot=24):
+    r = np.random.default_rng(4)
+    counts = np.sort(r.integers(1, 50, words))[::-1]
+    return lm_scoring.Model(["", *(f"w{i}" for i in range(1, hot))], counts[:hot], int(counts.sum()), words, 4, 5, 16, 8), counts
+
+
+def test_language_model_sums_to_one():
+    m, counts = small_model()
+    r = np.random.default_rng(5)
+    m.of_class += r.normal(0, 1, m.of_class.shape).astype(np.float32)
+    m.of_word += r.normal(0, 1, m.of_word.shape).astype(np.float32)
+    _, size, _, context = m.read(["w1 w7 w2 nobody w3"])
+    rows, fine = m.features(context, size)
+    for t in range(len(context)):
+        classes = np.exp(m.class_logs(rows[:, t : t + 1]))[0]
+        inside = [np.exp(m.word_logs(fine[:, t : t + 1], np.array([k]))).sum() for k in range(m.classes)]
+        rare = (sum(c + 1 for c in counts[m.vocabulary :]) + 1) / (m.rare + m.rare_words + 1)  # the rest is for unknown words
+        assert np.isclose(classes[: m.classes] @ inside + classes[-1] * rare, 1, atol=1e-4)
+
+
+def test_language_model_learns_contexts(spark):
+    """The word after a word is certain here, which unigrams do not know; and gradients agree with differences."""
+    r = random.Random(2)
+    texts = [(i, " ".join(f"a{k} b{k}" for k in r.choices(range(20), k=30))) for i in range(400)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = lm_scoring.lm_scores(d, classes=8, inside=6, hot=100).where("held_out").collect()
+    gain = sum(x["score"] - x["base_score"] for x in got) / sum(x["n_tokens"] for x in got)
+    assert gain > 0.3  # of at most log10(20) / 2 = 0.65
+    m, _ = small_model()
+    texts = ["w1 w7 w2 nobody w3 w1 w7", "w4 w4 w5"]
+    g = np.zeros(m.size)
+    m.gradient(texts, g)
+    loss = lambda: sum(m.score(texts)[3]) * np.log(10)
+    at = loss()
+    for i in np.argsort(-np.abs(g))[:6].tolist():
+        table, k = (m.of_class, i) if i < m.of_class.size else (m.of_word, i - m.of_class.size)
+        table.ravel()[k] += 1e-2
+        assert np.isclose((loss() - at) / 1e-2, g[i], atol=0.05)
+        table.ravel()[k] -= 1e-2

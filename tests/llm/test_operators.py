@@ -168,7 +168,7 @@ def test_lm_scores(docs, none):
     c = Counter(x for w, h in zip(words, held, strict=True) if not h for x in w)
     n, v = sum(c.values()), len(c)
     want = sorted([(r[0], h, len(w), sum(c[x] > 0 for x in w), n) for r, w, h in zip(ROWS, words, held, strict=True)], key=repr)
-    got = lm_scoring.lm_scores(docs, vocabulary=40, hot=60).collect()
+    got = lm_scoring.lm_scores(docs, classes=8, inside=5, hot=60).collect()
     assert sorted([tuple(r)[:5] for r in got], key=repr) == want
     base = sorted(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w) for w in words)
     assert np.allclose(sorted(r["base_score"] for r in got), base) and all(r["score"] <= 0 for r in got)
