@@ -1,16 +1,19 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-A text's tokens are its words, or, if those have more than `piece` characters on average, pieces of that size; its k-mers are windows of `k` tokens (one
-shorter window if there are fewer), numbered by occurrence, so that repeats count. For each of `m` signature parts, `l` hash
-functions each select the k-mer occurrence with the smallest hash; the selected ones are put back in text order and hashed
-together. Two texts agree in a part if they share the selected k-mers and also their order: likeness falls with edit distance.
+A text's tokens are its words, longer ones cut to pieces of `piece` characters; its k-mers are windows of `k` tokens (one shorter
+window if there are fewer), numbered by occurrence, so that repeats count. For each of `m` signature parts, `l` hash functions,
+each an order of its own on the k-mer occurrences, select one smallest occurrence each; the selected ones are put back in text
+order and hashed together. Two texts agree in a part if they share the selected k-mers and also their order: likeness falls
+with edit distance. (One order's l smallest would do as well; but a minimum is an aggregate that needs no buffers.)
 
 The text of a row and the head of the next document's meet by one shuffle: rows are dealt to ranges of ids whose bounds are
 ids of the table (a quantile sketch), and the row at a bound is copied to the range before, where it stands last.
 The k-mers are made, numbered and reduced inside that same partitioning.
 
 Null texts are empty; an empty text has no k-mers and the empty text's own fingerprint, alike only to another such.
-Rows are ordered by falling id, null ids last, then by text; repeated rows follow each other. Empty table: no rows.
+Rows are ordered by falling id, null ids last, then by text; repeated rows follow each other. Texts of any length count whole: a place
+in a text has 31 bits, as many as any text has characters. Columns of other names never reach the operator. Rows of one id stay in
+one range, so ids should be as good as unique. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import id_and_text, parts
 
-POS_BITS = 24
+POS_BITS = 31
 LOWEST = -(2**63)
 
 
 def tokens(text: Column, piece: int = 16) -> Column:
     between, any_but = "\t\n\x0b\f\r ", r"([^\x20\x09-\x0D]{%d})" % piece
     ts = parts(text, between, lower=False)
-    return F.when(F.length(text) > (piece + 1) * F.size(ts), parts(F.regexp_replace(text, any_but, "$1 "), between, lower=False)).otherwise(ts)
+    # without a long word, cutting changes nothing
+    return F.when(F.exists(ts, lambda w: F.length(w) > piece), parts(F.regexp_replace(text, any_but, "$1 "), between, lower=False)).otherwise(ts)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, k: int = 5, m: int = 32, l: int = 2) -> DataFrame:  # noqa: E741
@@ -63,10 +67,14 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     if found["top"] is None:
         return rows.select(F.lit(0).alias("part"), F.lit(1).alias("n"), "doc_id", "text", F.lit("").alias("next_text"), F.lit(True).alias("real"))
     bounds = sorted({*found["q"], found["top"]})  # range i: ids over bounds[i - 1], up to bounds[i]; `ranges` numbers at most
-    at = F.array(*(F.lit(b) for b in bounds))
-    part = F.size(F.filter(at, lambda b: b < F.col("id")))
+    # the number of bounds below an id, by two short lists in place of one long one
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    coarse = F.size(F.filter(F.array(*(F.lit(g[-1]) for g in groups)), lambda b: b < F.col("id")))
+    own = F.array(*(F.array(*map(F.lit, g)) for g in groups))[coarse]
+    part = coarse * step + F.size(F.filter(own, lambda b: b < F.col("id")))
     top = F.struct(part.alias("part"), F.lit(0).alias("turn"))
-    before = F.when(F.array_contains(at, F.col("id")), F.when(part == len(bounds) - 1, F.struct(F.lit(0).alias("part"), F.lit(2).alias("turn"))).otherwise(F.struct((part + 1).alias("part"), F.lit(1).alias("turn"))))
+    before = F.when(F.array_contains(own, F.col("id")), F.when(part == len(bounds) - 1, F.struct(F.lit(0).alias("part"), F.lit(2).alias("turn"))).otherwise(F.struct((part + 1).alias("part"), F.lit(1).alias("turn"))))
     dealt = rows.select("doc_id", "text", "id", F.inline(F.filter(F.array(top, before), lambda x: x.isNotNull()))).repartition(ranges, "part")
     order = Window.partitionBy("part").orderBy("turn", F.desc("id"), "text")
     return dealt.select("part", F.row_number().over(order).alias("n"), "doc_id", "text", F.lead("text").over(order).alias("next_text"), (F.col("turn") == 0).alias("real"))
