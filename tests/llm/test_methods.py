@@ -1,14 +1,16 @@
 """The methods of the operators beside libraries, SQL and brute force."""
 
+import hashlib
 import os
 import random
+import re
 import sys
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, html_text, lm_scoring, packing, token_counts
+from graphloom.llm import decontam, html_text, lm_scoring, order_minhash, packing, pii, token_counts, toxicity
 from graphloom.llm.queries import oracle_sql, queries
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -138,3 +140,99 @@ def test_language_model_learns_contexts(spark):
         table.ravel()[k] += 1e-2
         assert np.isclose((loss() - at) / 1e-2, g[i], atol=0.05)
         table.ravel()[k] -= 1e-2
+
+
+def plain_base(text):
+    """The contract's patterns as they stand."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 12 <= len(d) <= 19 and (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return sorted(out)
+
+
+def test_base_spans_are_the_contracts(spark):
+    r = random.Random(6)
+    for _ in range(4000):
+        pool = r.choice(["0123456789 -", "+0123456789 ().-", "ab@.-_%+1", "0123456789.", "a1@. -+()\u0660é"])
+        text = "".join(r.choice(pool) for _ in range(r.randrange(60)))
+        assert pii.base_spans(text) == plain_base(text), text
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in pii.personal_data(docs).collect():
+        base = plain_base(texts[r["doc_id"]])
+        shown = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest() and {*shown} <= {*filter(None, r["spans"].split(","))}
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == i for x in base) for i in range(4)]
+
+
+def planted(r):
+    """(text, kind or None for numbers that are no personal data, start, end)"""
+    name = lambda: "".join(r.choice("abcdefghiklmnoprst") for _ in range(r.randrange(3, 9)))
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    kind = r.choice([0, 3, None])
+    span = {
+        0: lambda: name() + r.choice(["", "." + name(), n(2)]) + r.choice([" [at] ", "(at)", " (AT) "]) + name() + r.choice([".com", " [dot] org", ".co.uk"]),
+        3: lambda: r.choice([f"0{n(2)} {n(4)} {n(4)}", f"(0{n(2)}) {n(6)}", f"01{n(2)}-{n(7)}"]),
+        None: lambda: r.choice([f"20{r.randrange(10, 26)}-0{r.randrange(1, 10)}-1{n(1)} 20{r.randrange(10, 26)}-0{r.randrange(1, 10)}-1{n(1)}", " ".join(str(r.randrange(1, 99)) for _ in range(5)), f"{r.randrange(1, 9)}{n(8)}", f"0{r.randrange(1, 10)}/1{n(1)}/19{n(2)}"]),
+    }[kind]()
+    before = " ".join(name() for _ in range(r.randrange(1, 30))) + r.choice([" ", {0: " write to ", 3: " call ", None: " on "}[kind]])
+    return before + span + " " + name(), kind, len(before), len(before) + len(span)
+
+
+def test_field_finds_planted_spans(spark):
+    weights, r = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")), random.Random(12)
+    found = wanted = false = none = 0
+    for _ in range(600):
+        text, kind, a, b = planted(r)
+        base, spans = pii.all_spans(text, weights)
+        added = [x for x in spans if x not in base]
+        assert not any(x[0] < y[2] and y[0] < x[2] for x in added for y in base)  # what is added lies beside base spans
+        if kind is None:
+            none, false = none + 1, false + bool(added)
+        else:
+            wanted, found = wanted + 1, found + ((a, kind, b) in spans)
+    assert found > 0.8 * wanted and false < 0.05 * none, (found, wanted, false, none)
+
+
+def test_order_minhash_likeness(spark):
+    """Likeness falls with edits and with order, and tokens don't depend on the rest of the text."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    base = [r.choice(words) for _ in range(300)]
+    near, far = list(base), list(base)
+    near[150] = "other"
+    for i in range(0, 300, 12):
+        far[i] = "x"
+    blocks = [base[i : i + 10] for i in range(0, 300, 10)]
+    moved = [w for b in blocks[::-1] for w in b]
+    texts = {1: base, 2: near, 3: far, 4: moved, 5: [*base, "y" * 200], 6: [r.choice(words) for _ in range(300)]}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    s = {x["doc_id"]: x["signature"] for x in order_minhash.signatures(d, ["doc_id"], "text").collect()}
+    like = {k: sum(a == b for a, b in zip(s[1], v, strict=False)) / len(s[1]) for k, v in s.items()}
+    assert like[1] == 1 and like[2] > 0.8 and 0.05 < like[3] < like[2] and like[4] < like[2] and like[6] < 0.1 and like[5] > 0.6
+
+
+def test_toxicity_sample_is_bounded(spark):
+    texts = [(i % 150, "vile word here" if i % 150 % 3 == 0 else "kind word there", "en", f"x{i}") for i in range(600)]
+    d = spark.createDataFrame([*texts, (None, None, None, None)], "doc_id long, text string, lang string, score string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)] * 2, "doc_id long, toxic int")
+    assert toxicity.train(d, labels, words=120) is not None
+    left = [x["text"] for x in toxicity.without_toxic(d, labels).collect() if x["text"]]
+    assert {*left} == {"kind word there"} and len(left) == 400
+
+
+def test_pooled_maxima_are_those_of_all_windows():
+    m = toxicity.Model(seed=3)
+    r = np.random.default_rng(1)
+    hashes = [r.integers(0, toxicity.BUCKETS, n) << 20 | r.integers(0, toxicity.BUCKETS, n) for n in (0, 1, 2, 7, 300)]
+    for h, logit in zip(hashes, m.logits(hashes, block=50), strict=True):
+        best = []
+        padded = np.concatenate([h, np.full(2, toxicity.PAD << 20 | toxicity.PAD)])
+        x = np.concatenate([m.embed[0][padded >> 20], m.embed[1][padded & 0xFFFFF]], 1)
+        for w, f in zip(toxicity.WIDTHS, m.filter, strict=True):
+            best += [max(0, *(float(x[i : i + w].ravel() @ f[: x[i : i + w].size, j]) for i in range(len(padded)))) for j in range(m.filters)]
+        assert np.isclose(logit, np.array(best) @ m.out[:-1] + m.out[-1] + m.shift, atol=1e-4)
