@@ -624,7 +624,8 @@ def q59_exact_integers(spark, sf):
 def q60_exact_decimals(spark, sf):
     s = bgp(mapped(spark, sf, "part"), ("?x", NS + "p_partkey", "?k"), ("?x", NS + "p_size", "?z")).df
     decimal = lambda x: T.literal(x, T.XSD + "decimal")
-    v = T.arithmetic("+", T.arithmetic("*", F.col("z"), decimal("0.1")), decimal("0.2"))
+    s = s.withColumn("tenth", T.arithmetic("*", F.col("z"), decimal("0.1")))
+    v = T.arithmetic("+", F.col("tenth"), decimal("0.2"))
     return s.select(num("k").cast("long").alias("k"), v["lex"].alias("v"), T.arithmetic("/", F.col("z"), T.literal(4))["lex"].alias("q"), T.negative(F.col("z"))["lex"].alias("neg"))
 
 
