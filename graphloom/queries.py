@@ -71,8 +71,8 @@ def q02_filter(spark, sf):
 @query("SELECT p_partkey AS k, round(p_retailprice * p_size + 1, 4) AS v FROM part")
 def q03_bind(spark, sf):
     s = bgp(mapped(spark, sf, "part"), ("?x", NS + "p_partkey", "?k"), ("?x", NS + "p_retailprice", "?p"), ("?x", NS + "p_size", "?z"))
-    v = T.arithmetic("+", T.arithmetic("*", F.col("p"), F.col("z")), T.literal(1))
-    return s.bind("v", v).df.select(num("k").cast("long").alias("k"), F.round(num("v"), 4).alias("v"))
+    s = s.bind("product", T.arithmetic("*", F.col("p"), F.col("z")))
+    return s.bind("v", T.arithmetic("+", F.col("product"), T.literal(1))).df.select(num("k").cast("long").alias("k"), F.round(num("v"), 4).alias("v"))
 
 
 @query("SELECT DISTINCT c_mktsegment AS seg FROM customer")
