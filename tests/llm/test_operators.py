@@ -274,7 +274,7 @@ def test_near_copies_of_the_pipeline(spark):
     assert len({g for g in group if group.count(g) > 1}) > 8 and len(set(group)) > 15
     # no centres: lists of few texts find all, in several waves
     classes = near_copies.classed(d, near_copies.class_of)
-    edges = near_copies.links(d, classes, first=0, few=1, weight=4000, texts=16, moved=60)
+    edges = near_copies.links(d, classes, first=0, few=1, weight=4000, texts=16, moved=60, least=1)
     assert near_copies.survivors(d, classes, edges).count() == len(got)
     assert corpus_pipeline.simhash(spark, d.where("false"), "").count() == 0
 
