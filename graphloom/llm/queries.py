@@ -13,6 +13,7 @@ from .lm_scoring import lm_scores
 from .order_minhash import fingerprints as order_fingerprints
 from .packing import pack
 from .pii import personal_data
+from .resampling import resampled
 from .simhash import near_duplicates
 from .substring_dedup import without_repeats
 from .token_counts import token_counts
@@ -59,6 +60,10 @@ def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -84,7 +89,25 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(c
 """
 
 
+#: CRC-32 over a list of bytes, by a table that its rule gives.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT b, 0 AS k, b::bigint AS c FROM range(256) r(b) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS MATERIALIZED (SELECT list(c ORDER BY b) AS l FROM t WHERE k = 8),
+x AS (SELECT row_number() OVER () AS r, doc_id AS id, text, false AS target FROM documents UNION ALL SELECT -row_number() OVER (), item_id, text, true FROM benchmark),
+w AS (SELECT r, target, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x),
+f AS (SELECT r, target, unnest(ws) AS f FROM w UNION ALL SELECT r, target, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w),
+n AS (SELECT r, target, f, count(*) AS n FROM f GROUP BY ALL),
+b AS MATERIALIZED (SELECT f, xor(list_reduce(list_transform(range(1, len(hex(f)), 2), lambda i: ('0x' || substr(hex(f), i, 2))::bigint), lambda c, y: xor(c >> 8, l[(xor(c, y) & 255) + 1]), 4294967295::bigint), 4294967295) % 10000 AS b FROM (SELECT DISTINCT f FROM n), tab),
+c AS (SELECT b, sum(n) FILTER (NOT target) AS s, sum(n) FILTER (target) AS t FROM n JOIN b USING (f) GROUP BY b),
+g AS (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((SELECT sum(s) FROM c) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((SELECT sum(t) FROM c) + 10000)::double)))::bigint AS gain FROM c),
+m AS (SELECT r, sum(n)::bigint AS n_features, floor(sum(n * gain)::double / sum(n))::bigint AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE NOT target GROUP BY r),
+d AS (SELECT x.r, x.id AS doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(x.id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS score FROM x JOIN w USING (r) LEFT JOIN m USING (r) WHERE NOT x.target),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM d WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM k) THEN rank END AS rank FROM d LEFT JOIN k USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators depend on tokenizers, XXH64 or trained models, which SQL does not have; tests/llm holds them against
     brute force."""
-    return {"op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_resampling": OP11_SQL}

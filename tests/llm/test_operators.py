@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from graphloom.llm import decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, simhash, substring_dedup, token_counts, toxicity
+from graphloom.llm import decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, resampling, simhash, substring_dedup, token_counts, toxicity
 
 R = random.Random(5)
 VOCAB = [f"w{i}é" if i % 7 == 0 else f"Word{i}" for i in range(300)]
@@ -316,3 +316,81 @@ def test_html_visibility_by_parsed_attributes():
     for a in gone:
         assert html_text.rendered(f"<p>a<div {a}>seen</div>") == "a", a
         assert html_text.rendered(f"<body {a}>seen</body>") == "", a
+
+
+def plain_resampling(rows, items, percent, least, buckets):
+    """By dictionaries: (doc_id, n_features, weight, score) of each row, and how many are drawn."""
+    import math
+    import re
+
+    tr = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(tr))
+    grams = lambda ws: ws + [" ".join(x) for x in zip(ws, ws[1:], strict=False)]
+    bucket = lambda g: zlib.crc32(g.encode()) % buckets
+    raw, target = (Counter(bucket(g) for t in x for g in grams(words(t))) for x in ([r[1] for r in rows], items))
+    s, t = sum(raw.values()), sum(target.values())
+    gain = lambda b: math.floor(1000 * math.log((target[b] + 1.0) * (s + buckets) / ((raw[b] + 1.0) * (t + buckets))))
+    out, fit = [], 0
+    for i, text in ((r[0], r[1]) for r in rows):
+        ws = words(text)
+        g = grams(ws)
+        weight = sum(gain(bucket(x)) for x in g) // len(g) if g else 0
+        h = int(hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        out.append((i, len(g), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(ws) >= least))
+        fit += len(ws) >= least
+    return out, percent * fit // 100
+
+
+@pytest.mark.parametrize("percent", [0, 25, 100])
+def test_resampling(spark, docs, none, percent):
+    items = [PASSAGE, None, "", "word1 WORD2-word3", "x" * 70]
+    target = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    want, draw = plain_resampling(ROWS, items, percent, 20, 10_000)
+    got = resampling.resampled(docs, target, percent=percent).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == sorted((r[:4] for r in want), key=repr)
+    ranked = sorted((r for r in got if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == [*range(1, draw + 1)]
+    order = sorted((r[:4] for r in want if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    assert [tuple(r)[:4] for r in ranked] == order[:draw]
+    assert resampling.resampled(none, target).collect() == []
+    assert {r["weight"] for r in resampling.resampled(docs, none.select("doc_id", "text")).collect() if r["n_features"] == 0} == {0}
+
+
+def test_resampling_ranks_many_rows_of_one_id(spark):
+    """A third of the rows have no id and the same text; ranks stay whole, over many ranges."""
+    rows = [(None, PASSAGE)] * 400 + [(i, sentence(25)) for i in range(800)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = [r for r in resampling.resampled(d, d, percent=50).collect() if r["rank"] is not None]
+    got.sort(key=lambda r: r["rank"])
+    assert [r["rank"] for r in got] == [*range(1, 601)]
+    assert [(-r["score"], r["doc_id"] is None) for r in got] == sorted((-r["score"], r["doc_id"] is None) for r in got)
+
+
+def test_interned_features_are_told_apart_by_their_bytes(monkeypatch):
+    """With a hash that nearly all features share, slots still hold one feature each."""
+    import pyarrow as pa
+
+    texts = [sentence(200) for _ in range(5)] + ["", "y" * 90 + " " + "y" * 91]
+    flat, start, length, of, words = resampling.features(pa.array(texts), 2)
+    plain = [bytes(flat[a : a + n]) for a, n in zip(start, length, strict=True)]
+    assert words.tolist() == [200] * 5 + [0, 2] and len(plain) == sum(2 * n - 1 for n in words if n)
+    monkeypatch.setattr(resampling, "xxh64", lambda flat, lanes, start, length: (length % 2).astype(np.uint64))
+    t = resampling.Table(flat, start, length, 10_000)
+    slots = {}
+    assert all(slots.setdefault(int(s), p) == p for s, p in zip(t.slot, plain, strict=True)) and len(slots) == len({*plain})
+    assert sorted(t.count.tolist()) == sorted(Counter(plain).values())
+    assert all(int(t.bucket[s]) == zlib.crc32(p) % 10_000 for s, p in slots.items())
+
+
+def test_hashes_of_pieces_equal_the_libraries():
+    import xxhash
+
+    from graphloom.llm.hashes import crc32, words_at, xxh64
+
+    flat = np.frombuffer(R.randbytes(3000), np.uint8)
+    length = np.array([R.randrange(100) for _ in range(2000)])
+    start = np.array([R.randrange(2900) for _ in length])
+    own = [flat[a : a + n].tobytes() for a, n in zip(start, length, strict=True)]
+    for seed in (0, 42):
+        assert xxh64(flat, words_at(flat), start, length, seed).tolist() == [xxhash.xxh64_intdigest(x, seed) for x in own]
+    assert crc32(flat, start, length).tolist() == [zlib.crc32(x) for x in own]
