@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, resampling, simhash, substring_dedup, token_counts, toxicity
+from graphloom.llm import byte_bpe, decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, resampling, simhash, substring_dedup, token_counts, toxicity
 
 R = random.Random(5)
 VOCAB = [f"w{i}é" if i % 7 == 0 else f"Word{i}" for i in range(300)]
@@ -394,3 +395,79 @@ def test_hashes_of_pieces_equal_the_libraries():
     for seed in (0, 42):
         assert xxh64(flat, words_at(flat), start, length, seed).tolist() == [xxhash.xxh64_intdigest(x, seed) for x in own]
     assert crc32(flat, start, length).tolist() == [zlib.crc32(x) for x in own]
+
+
+HOSTILE = ["", " ", "  ", "\n\n  x", "it's 'tis we'll'd ''s 's's", "a" * 5000, " " * 700 + "a" + "\t" * 90, "é" * 300 + "漢字" * 400, "👍🏽👩‍👩‍👧" * 50, "\x00\x01 \x1c\x1d \x85\xa0\u2028 ½²", "<|endoftext|> 12345678901234567890", "".join(map(chr, range(0x20, 0x700))), "".join(map(chr, range(0xFFF0, 0x10010))), "=" * 3000 + "-=" * 900]
+
+
+def library():
+    import tiktoken
+
+    ranks = byte_bpe.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(spark, docs, none):
+    _, enc = library()
+    texts = [(r[0], r[1]) for r in ROWS] + [(100 + i, t) for i, t in enumerate(HOSTILE)]
+    given = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts[len(ROWS) :], "doc_id long, text string")).withColumn("ids", F.lit(1))
+    want = []
+    for i, t in texts:
+        ids, raw = enc.encode_ordinary(t or ""), (t or "").encode()
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), len(t or "")))
+    assert rows(byte_bpe.round_trip(given, block=7)) == sorted(want, key=repr)
+    assert rows(byte_bpe.round_trip(none)) == rows(byte_bpe.decoded(byte_bpe.encoded(none))) == []
+    some = byte_bpe.encoded(given)
+    assert {(r[0], tuple(r[1])) for r in some.collect()} == {(i, tuple(enc.encode_ordinary(t or ""))) for i, t in texts}
+    assert rows(byte_bpe.decoded(some, block=5)) == sorted(((i, t or "") for i, t in texts), key=repr)
+    assert rows(byte_bpe.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"))) == [(1, "")]
+
+
+def test_transducer_starts_anew_and_reads_long_texts_in_blocks(monkeypatch):
+    ranks, enc = library()
+    t = byte_bpe.Transducer(ranks, states=300)
+    texts = [sentence(200), "abc " * 3000, *HOSTILE]
+    assert [x.tolist() for x in byte_bpe.ids_of(t, texts, public_tokenizers.PATTERN)] == list(map(enc.encode_ordinary, texts))
+    monkeypatch.setattr(byte_bpe, "BLOCK", 100)
+    for text in texts:
+        assert byte_bpe.ids_of(t, [text], public_tokenizers.PATTERN)[0].tolist() == enc.encode_ordinary(text)
+
+
+def test_transducer_of_other_ranks():
+    """Vocabularies of random merges; one with a token that no merges make is refused."""
+    import tiktoken
+
+    for _ in range(12):
+        ranks, made = {bytes([b]): b for b in range(256)}, [b"a", b"b", b"c", b" "]
+        while len(made) < 14:
+            x = R.choice(made) + R.choice(made)
+            if x not in ranks and len(x) < 9:
+                ranks[x] = len(ranks)
+                made.append(x)
+        enc = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = ["".join(R.choice("abc ") for _ in range(R.randrange(60))) for _ in range(100)]
+        t = byte_bpe.Transducer(ranks)
+        assert [x.tolist() for x in byte_bpe.ids_of(t, texts, public_tokenizers.PATTERN)] == list(map(enc.encode_ordinary, texts))
+    with pytest.raises(ValueError):
+        byte_bpe.Transducer(ranks | {b"xyz": len(ranks)})
+
+
+def test_neighbours_that_merges_leave_alone():
+    ranks, _ = library()
+    t = byte_bpe.compiled(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pairs = [(R.randrange(len(ranks)), R.randrange(len(ranks))) for _ in range(3000)]
+    words = [t.merged(w.encode()) for w in sentence(300).split()]
+    pairs += [p for w in words for p in zip(w, w[1:], strict=False)] + [(w[0], v[-1]) for w, v in zip(words, words[1:], strict=False)]
+    assert all(t.stay(a, b) == (t.merged(t.bytes_of[a] + t.bytes_of[b]) == [a, b]) for a, b in pairs)
+
+
+def test_utf8_stream_equals_the_codec():
+    alphabet = [b"a", "é".encode(), "漢".encode(), "👍".encode(), b"\x80", b"\xc0", b"\xe0", b"\xed\xa0", b"\xf4\x90", b"\xf0\x9f", b"\xff", b"\xe2\x82"]
+    for _ in range(400):
+        raw = b"".join(R.choice(alphabet) for _ in range(R.randrange(12)))
+        stream, out, i = byte_bpe.Utf8Stream(), "", 0
+        while i < len(raw):
+            n = R.randrange(1, 4)
+            out += byte_bpe.text_of(stream.feed(np.frombuffer(raw[i : i + n], np.uint8)))
+            i += n
+        assert out + byte_bpe.text_of(stream.finish()) == raw.decode("utf-8", "replace")
