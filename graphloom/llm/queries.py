@@ -10,6 +10,7 @@ from .byte_bpe import round_trip
 from .common import table
 from .decontam import contamination
 from .html_text import page_text
+from .lexical import ranked
 from .lm_scoring import lm_scores
 from .order_minhash import fingerprints as order_fingerprints
 from .packing import pack
@@ -69,6 +70,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -112,7 +117,22 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*
 """
 
 
+OP13_SQL = r"""
+WITH x AS (SELECT row_number() OVER () AS r, doc_id AS id, text, false AS item FROM documents UNION ALL SELECT -row_number() OVER (), item_id, text, true FROM benchmark),
+w AS (SELECT r, id, item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x),
+q AS (SELECT r AS i, t, count(*) AS k FROM (SELECT r, unnest(ws) AS t FROM w WHERE item) GROUP BY ALL),
+d AS (SELECT r, id AS doc_id, len(ws) AS n FROM w WHERE NOT item AND len(ws) > 0),
+c AS (SELECT count(*) AS nn, sum(n) AS l FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM w WHERE NOT item) SEMI JOIN q USING (t) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)::double))::bigint AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), c),
+im AS (SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // l)::bigint))) AS s FROM tf JOIN d USING (r) JOIN wt USING (t), c),
+s AS (SELECT i, r, doc_id, sum(k * s)::bigint AS score FROM q JOIN im USING (t) GROUP BY ALL),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT w.id AS item_id, rank::int AS rank, doc_id, score FROM k JOIN w ON w.r = i WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators depend on tokenizers, XXH64 or trained models, which SQL does not have; tests/llm holds them against
     brute force."""
-    return {"op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_resampling": OP11_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op11_resampling": OP11_SQL, "op13_lexical_search": OP13_SQL}

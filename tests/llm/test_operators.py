@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import byte_bpe, decontam, html_text, lm_scoring, near_copies, order_minhash, packing, pii, resampling, simhash, substring_dedup, token_counts, toxicity
+from graphloom.llm import byte_bpe, decontam, html_text, lexical, lm_scoring, near_copies, order_minhash, packing, pii, resampling, simhash, substring_dedup, token_counts, toxicity
 
 R = random.Random(5)
 VOCAB = [f"w{i}é" if i % 7 == 0 else f"Word{i}" for i in range(300)]
@@ -471,3 +471,65 @@ def test_utf8_stream_equals_the_codec():
             out += byte_bpe.text_of(stream.feed(np.frombuffer(raw[i : i + n], np.uint8)))
             i += n
         assert out + byte_bpe.text_of(stream.finish()) == raw.decode("utf-8", "replace")
+
+
+def plain_search(rows_, items, k):
+    """By dictionaries: (item_id, rank, doc_id, score) for each item."""
+    import math
+    import re
+
+    tr = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: [w.translate(tr) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
+    docs_ = [(r[0], Counter(words(r[1]))) for r in rows_ if words(r[1])]
+    n_docs, n_terms = len(docs_), sum(sum(c.values()) for _, c in docs_)
+    df = Counter(t for _, c in docs_ for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for i, c in docs_:
+            m = 100 - 75 + 75 * sum(c.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2.0 * n_docs + 2) / (2.0 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 8 * m)) for t in words(text) if t in c)
+            if score > 0:
+                found.append((score, i))
+        found.sort(key=lambda x: (-x[0], x[1] is None, x[1] or 0))
+        out += [(item, rank, i, score) for rank, (score, i) in enumerate(found[:k], 1)]
+    return out
+
+
+def test_lexical_search(spark, docs, none):
+    items = [(1, PASSAGE), (2, sentence(30)), (2, sentence(5)), (3, None), (4, "!!"), (5, "nowhere"), (None, "same WORD3, word3 <|endoftext|>"), (7, PASSAGE)]
+    given = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    want = sorted(plain_search(ROWS, items, 10), key=repr)
+    assert rows(lexical.ranked(docs, given)) == want
+    assert rows(lexical.ranked(docs, given, block_bytes=300)) == want  # several blocks
+    assert rows(lexical.ranked(docs, given, k=1)) == sorted(plain_search(ROWS, items, 1), key=repr)
+    assert rows(lexical.ranked(none, given)) == rows(lexical.ranked(docs, given.where("false"))) == []
+
+
+def test_lexical_search_prunes_nothing_that_counts(spark, monkeypatch):
+    """Many buckets, copies that tie at the threshold, and light coordinates of every share."""
+    texts = [sentence(R.randrange(1, 60)) for _ in range(700)] + [PASSAGE] * 30 + [PASSAGE + " " + sentence(5) for _ in range(40)]
+    data = [(i, t) for i, t in enumerate(R.sample(texts, len(texts)))]
+    items = [(i, sentence(R.randrange(1, 40))) for i in range(30)] + [(99, PASSAGE)]
+    want = sorted(plain_search(data, items, 10), key=repr)
+    d, q = spark.createDataFrame(data, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    assert rows(lexical.ranked(d, q)) == want
+    vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in data for w in lexical.terms(t)}))}
+    table = sorted(lexical.vectors(d, vocabulary).collect(), key=lambda r: r["doc_id"])
+    doc = np.repeat(np.arange(len(table)), [len(r["terms"]) for r in table])
+    term, count = (np.array([x for r in table for x in r[c]]) for c in ("terms", "counts"))
+    weight = np.array([R.randrange(1, 5000) for _ in vocabulary])
+    impact = count * 1000 // (count + np.array([r["n"] for r in table])[doc])
+    ids = np.array([r["doc_id"] for r in table])
+    asked = [[vocabulary[w] for w in lexical.terms(t)] for _, t in items]
+    dense = np.zeros((len(table), len(vocabulary)), np.int64)
+    dense[doc, term] = impact
+    for light in (0, 0.05, 0.5, 1):
+        monkeypatch.setattr(lexical, "LIGHT", light)
+        best = lexical.Best(len(items), 10)
+        scored = lexical.search(lexical.Items.of(asked, weight), best, ids, doc, term, impact, len(vocabulary))
+        assert scored < len(items) * len(table) or light == 1
+        for i, own in enumerate(asked):
+            score = dense[:, own] @ weight[own]
+            first = sorted(zip(-score, ids, strict=True))[:10]
+            assert [(s, d) for s, d in zip(best.score[i].tolist(), best.id[i].tolist(), strict=True) if s] == [(-s, d) for s, d in first if s]
