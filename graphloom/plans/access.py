@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import IRI, RDF_TYPE
+from ..shared import cut, once
 from ..sources.quads import IDENTITY, NS
+from ..sources.store import BROADCAST_BYTES, Store, bytes_of
 
 APPLICATION_GRAPH = NS + "graphs/application"
 READ, WRITE, READ_FOR_WRITE = "read", "write", "read_for_write"
@@ -180,22 +182,32 @@ def dataset(quads: DataFrame, default: list[str] = (), named: list[str] = ()) ->
     return read_view(quads, [*default]), quads.where(F.col("g").isin(*named)) if named else quads.where(F.lit(False))
 
 
-def resource_types(changes: DataFrame, stored: DataFrame) -> DataFrame:
-    """(resource, types): the last type that the update itself gives a resource, else all stored ones, from any graph."""
+def resource_types(changes: DataFrame, stored: DataFrame | Store) -> DataFrame:
+    """(resource, types) of the changes' subjects and objects: the last type that the update itself gives a resource, else all stored
+    ones, from any graph. Only these resources are looked for: in the store's own table of types, or by a semi-join with the quads,
+    which are not shuffled while the resources are few."""
     is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
     new = changes.where(is_type & (F.col("op") == "insert")).groupBy(F.col("s").alias("resource")).agg(F.array(F.max_by("o", "seq")).alias("types"))
-    old = stored.where(is_type).groupBy(F.col("s").alias("resource")).agg(F.collect_set("o").alias("types"))
-    return new.unionByName(old.join(new, "resource", "left_anti"))
+    asked = changes.select(F.explode(F.array("s", F.when(F.col("o_kind") == IRI, F.col("o")))).alias("resource")).where("resource is not null").distinct()
+    asked = cut(asked.join(new, "resource", "left_anti"))
+    if isinstance(stored, Store):
+        found = stored.types(asked)
+    else:
+        quads = stored.where(is_type).select(F.col("s").alias("resource"), F.col("o").alias("type"))
+        found = quads.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked, "resource", "left_semi")
+    return new.unionByName(found.groupBy("resource").agg(F.collect_set("type").alias("types")))
 
 
-def route(changes: DataFrame, stored: DataFrame, specs: list, allowed: Allowed | None) -> DataFrame:
+def route(changes: DataFrame, stored: DataFrame | Store, specs: list, allowed: Allowed | None) -> DataFrame:
     """changes (seq, op, quads) with copies in the graph of each matching spec. The caller's graph is replaced by the
     application graph first; each spec sees what those before it have written. allowed None: sudo, unchanged. The types of
     subject and object are looked up once; all specs are then conditions of one row, whose graphs are an array."""
     if allowed is None:
         return changes
-    now, chosen = changes.drop("g").distinct(), active(specs, allowed, WRITE)
+    chosen = active(specs, allowed, WRITE)
     by_type = [g.constraint for spec, _ in chosen if isinstance(spec, Group) for g in spec.graphs if isinstance(g.constraint, ByType)]
+    changes = once(changes) if by_type else changes
+    now = changes.drop("g").distinct()
     none = F.array().cast("array<string>")
     types = resource_types(changes, stored) if by_type else None
     now = now.join(types.select(F.col("resource").alias("s"), F.col("types").alias("s_types")), "s", "left") if by_type else now.withColumn("s_types", none)
@@ -213,8 +225,10 @@ def route(changes: DataFrame, stored: DataFrame, specs: list, allowed: Allowed |
     return now.select(*(c for c in changes.columns if c != "g"), F.explode(graphs).alias("g")).select(*changes.columns)
 
 
-def unwritten(changes: DataFrame, routed: DataFrame) -> DataFrame:
-    """Triples that were asked for and that no group writes; not empty: access is denied."""
+def unwritten(changes: DataFrame, routed: DataFrame, allowed: Allowed | None = ()) -> DataFrame:
+    """Triples that were asked for and that no group writes; not empty: access is denied. allowed None: sudo, to which nothing is denied."""
+    if allowed is None:
+        return changes.select(*(c for c in IDENTITY if c != "g")).where(F.lit(False))
     triple = [c for c in IDENTITY if c != "g"]
     kept = routed.where(F.col("g") != APPLICATION_GRAPH).select(*(F.col(c).alias(f"{c}__r") for c in triple)).distinct()
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in triple])

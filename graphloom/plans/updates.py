@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import IRI
-from ..operators.patterns import Solutions
-from ..shared import cut
+from ..operators.patterns import Solutions, term_columns  # noqa: F401
+from ..shared import cut, drop, once
 from ..sources.quads import IDENTITY
+from ..sources.store import BROADCAST_BYTES, Store, bytes_of, last_of, overlay
 from .access import READ_FOR_WRITE, read_view, readable_graphs, route, unwritten
 
 COLUMNS = [*IDENTITY, "o_num"]
@@ -56,30 +57,46 @@ def fold(changes: DataFrame) -> DataFrame:
     return changes.groupBy(*IDENTITY).agg(F.max_by("op", "seq").alias("op"), F.first("o_num").alias("o_num"))
 
 
-def commit(quads: DataFrame, folded: DataFrame, few: int = 100_000) -> DataFrame:
-    """The next state. The folded changes are written once and counted. Up to `few` rows, they are sent to the tasks that read the
-    store, which is not shuffled then; beyond, both sides are shuffled by a hash of the quad. The store is a set of quads."""
-    changes = cut(folded.select(*COLUMNS, "op"))
-    small = changes.limit(few + 1).count() <= few
-    keys = changes.select(F.xxhash64(*IDENTITY).alias("h__"), *(F.col(c).alias(f"{c}__r") for c in IDENTITY))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in IDENTITY], F.xxhash64(*IDENTITY) == F.col("h__"))
-    kept = quads.join(F.broadcast(keys) if small else keys, same, "left_anti")
-    return kept.select(*COLUMNS).unionByName(changes.where("op = 'insert'").select(*COLUMNS))
+def commit(quads: DataFrame, folded: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The next state. The folded changes are written once and measured. Up to `broadcast_bytes`, they are sent to the tasks that read
+    the store, which is not shuffled then; beyond, both sides are shuffled by a hash of the quad. The store is a set of quads."""
+    changes = once(folded)
+    return overlay(quads.select(*COLUMNS), changes, IDENTITY, bytes_of(changes) <= broadcast_bytes)
+
+
+def _changes(view: DataFrame, solve: Callable[[DataFrame], Solutions], delete: list[tuple], insert: list[tuple], seq: int) -> DataFrame:
+    """Written once, so that terms made anew (UUID, BNODE, RAND) are the same in the state, in the feed and in what is denied, whatever is
+    run again."""
+    return cut(modify(solve(view), delete, insert, seq))
 
 
 def update(quads: DataFrame, specs: list, allowed: list | None, solve: Callable[[DataFrame], Solutions], delete: list[tuple], insert: list[tuple], seq: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """DELETE / INSERT / WHERE of a caller, end to end: WHERE is solved on what the caller's groups may read for writing, the
     changes are routed to the graphs that they may write. Gives the next state, the routed changes, and the triples that no group
-    of theirs writes (not empty: access is denied)."""
-    view = read_view(quads, None if allowed is None else readable_graphs(specs, allowed, READ_FOR_WRITE))
-    changes = modify(solve(view), delete, insert, seq)
-    routed = route(changes, quads, specs, allowed)
-    return commit(quads, fold(routed)), routed, unwritten(changes, routed)
+    of theirs writes (not empty: access is denied; with sudo nothing is)."""
+    changes = _changes(read_view(quads, None if allowed is None else readable_graphs(specs, allowed, READ_FOR_WRITE)), solve, delete, insert, seq)
+    routed = once(route(changes, quads, specs, allowed))
+    return commit(quads, fold(routed)), routed, unwritten(changes, routed, allowed)
+
+
+def update_store(store: Store, specs: list, allowed: list | None, solve: Callable[[DataFrame], Solutions], delete: list[tuple], insert: list[tuple], seq: int = 0, how: str = "rewrite") -> tuple[int, DataFrame, DataFrame]:
+    """update() of a stored version: the caller's graphs name the parts that WHERE reads, the types come from the store's own table,
+    and the new version holds the parts that the changes touch. Gives its number in place of the state."""
+    graphs = None if allowed is None else readable_graphs(specs, allowed, READ_FOR_WRITE)
+    changes = _changes(read_view(store.read(graphs=graphs), graphs), solve, delete, insert, seq)
+    routed = once(route(changes, store, specs, allowed))
+    return store.commit(fold(routed), how), routed, unwritten(changes, routed, allowed)
 
 
 def sequential(quads: DataFrame, statements: list) -> DataFrame:
     """The other reading of an update of several statements: each sees what the one before has written. A statement is a
-    function of the quads that gives changes."""
-    for statement in statements:
-        quads = commit(quads, fold(statement(quads)))
-    return quads
+    function of the quads that gives changes. The store is never copied: a state is the store with the changes up to then folded over
+    it, and these are all that is written."""
+    changed = None
+    for turn, statement in enumerate(statements):
+        new = fold(statement(quads if changed is None else commit(quads, changed))).withColumn("turn", F.lit(turn))
+        both = new if changed is None else new.unionByName(changed.withColumn("turn", F.lit(-1)))
+        before, changed = changed, cut(last_of(both, IDENTITY, "turn").select(*COLUMNS, "op"))
+        if before is not None:
+            drop(before)
+    return quads if changed is None else commit(quads, changed)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,9 @@ from .operators.patterns import Solutions, ask, bgp, collection, construct, exis
 from .plans import access as acl
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
+from .shared import cut, delete, fresh
 from .sources.quads import BASE_GRAPH, NS, mapped, star, table_quads, tables
+from .sources.store import Store
 from .streaming.deltas import change_rows, change_sets, decoded, encoded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -735,3 +738,85 @@ def q71_product(spark, sf):
     """Patterns without a shared variable; here of fixed size. EBV: FILTER(?n) keeps what is no empty text."""
     q = mapped(spark, sf, "nation", "region")
     return bgp(q, ("?x", NS + "n_name", "?n"), ("?y", NS + "r_name", "?r")).where(F.col("n")).df.select(lex("n"), lex("r"))
+
+
+def in_a_store(spark, quads: DataFrame, work: Callable[[Store], DataFrame]) -> DataFrame:
+    """What work makes of a store of these quads; the store is deleted once that is written."""
+    store = Store(spark, fresh(spark, "store"), slots=2, buckets=8)
+    store.create(quads)
+    out = cut(work(store))
+    delete(spark, store.folder)
+    return out
+
+
+def set_status(store: Store, at_least: float, status: str, how: str) -> int:
+    """Gives orders of at least this total price a status, in one update of the store."""
+    p = NS + "o_orderstatus"
+    s = bgp(store.read(), ("?o", NS + "o_totalprice", "?t"), ("?o", p, "?st")).where(num("t") >= at_least)
+    return store.commit(U.fold(U.modify(s, [(BASE_GRAPH, "?o", p, "?st")], [(BASE_GRAPH, "?o", p, T.literal(status))])), how)
+
+
+def statuses(store: Store, version: int, step: str) -> DataFrame:
+    s = match(store.read(version), "?o", NS + "o_orderstatus", "?st").df
+    return s.groupBy("st").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), lex("st"), "n")
+
+
+ORDER_COLUMNS = ["o_orderstatus", "o_totalprice"]
+
+
+@query("SELECT 'old' AS step, o_orderstatus AS st, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'new', CASE WHEN o_totalprice >= 400000 THEN 'large' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2")
+def q72_store_versions(spark, sf):
+    """An update of stored quads writes the parts that it touches; the version before stays as it was."""
+
+    def work(store: Store) -> DataFrame:
+        new = set_status(store, 400000, "large", "rewrite")
+        return statuses(store, 0, "old").unionByName(statuses(store, new, "new"))
+
+    return in_a_store(spark, table_quads(read(spark, sf, "orders"), "orders", columns=ORDER_COLUMNS), work)
+
+
+STEPS = "CASE WHEN o_totalprice >= 300000 THEN 'c' WHEN o_totalprice >= 200000 THEN 'b' WHEN o_totalprice >= 100000 THEN 'a' ELSE o_orderstatus END"
+
+
+@query(f"SELECT step, {STEPS} AS st, count(*) AS n FROM orders CROSS JOIN (VALUES ('folded'), ('compacted')) v(step) GROUP BY 1, 2 UNION ALL SELECT 'first', CASE WHEN o_totalprice >= 100000 THEN 'a' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2")
+def q73_merge_on_read(spark, sf):
+    """Three updates that only add their changes; a read folds them over the store, and so does a version that is written whole again."""
+
+    def work(store: Store) -> DataFrame:
+        first, *_, last = [set_status(store, 100000 * i, st, "append") for i, st in ((1, "a"), (2, "b"), (3, "c"))]
+        return reduce(DataFrame.unionByName, [statuses(store, first, "first"), statuses(store, last, "folded"), statuses(store, store.compact(0), "compacted")])
+
+    return in_a_store(spark, table_quads(read(spark, sf, "orders"), "orders", columns=ORDER_COLUMNS), work)
+
+
+DEBT = "(SELECT count(*) FROM customer WHERE c_acctbal < 0) + (SELECT count(*) FROM supplier WHERE s_acctbal < 0)"
+
+
+@query(f"SELECT 'routed' AS what, '{NS}graphs/people' AS g, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'routed', '{NS}graphs/firms', (SELECT count(*) FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'stored', '{NS}graphs/people', (SELECT count(*) FROM customer WHERE c_acctbal < 0) UNION ALL SELECT 'stored', '{NS}graphs/firms', (SELECT count(*) FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'denied', '', 0")
+def q74_route_by_stored_types(spark, sf):
+    """Flags customers and suppliers in debt. The update states no types: they come from the store's table of types, of the resources that
+    it names, and each flag goes to its type's graph."""
+    graphs = acl.Group("all", (acl.GraphSpec(BASE_GRAPH),), usage=frozenset({acl.READ_FOR_WRITE}))
+    people, firms = (acl.Group(n, (acl.GraphSpec(f"{NS}graphs/{n}", acl.ByType((NS + t,))),)) for n, t in (("people", "customer"), ("firms", "supplier")))
+    allowed = [(n, ()) for n in ("all", "people", "firms", "clean")]
+
+    def in_debt(view: DataFrame) -> Solutions:
+        return union(*(match(view, "?x", NS + p, "?b").where(num("b") < 0).select("x") for p in ("c_acctbal", "s_acctbal")))
+
+    def work(store: Store) -> DataFrame:
+        version, routed_, denied = U.update_store(store, [graphs, people, firms, acl.Cleanup("clean")], allowed, in_debt, [], [(acl.APPLICATION_GRAPH, "?x", NS + "debt", T.literal(True))], how="append")
+        count = lambda df, what: df.groupBy("g").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "g", "n")
+        stored = store.read(version, graphs=[NS + "graphs/people", NS + "graphs/firms"])
+        return reduce(DataFrame.unionByName, [count(routed_, "routed"), count(stored, "stored"), denied.agg(F.lit("denied").alias("what"), F.lit("").alias("g"), F.count("*").alias("n"))])
+
+    return in_a_store(spark, tables(spark, sf, "customer", "supplier"), work)
+
+
+@query("SELECT 'left' AS what, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'denied', 0")
+def q75_sudo_update(spark, sf):
+    """With sudo nothing is routed, and nothing is denied, in the application graph either."""
+    q = table_quads(read(spark, sf, "customer"), "customer", columns=["c_acctbal"])
+    debt = lambda view: match(view, "?c", NS + "c_acctbal", "?b").where(num("b") < 0)
+    after, _, denied = U.update(q, [], None, debt, [], [(acl.APPLICATION_GRAPH, "?c", NS + "debt", T.literal(True))])
+    n = lambda df, what: df.agg(F.lit(what).alias("what"), F.count("*").alias("n"))
+    return n(after.where(F.col("p") == NS + "debt"), "left").unionByName(n(denied, "denied"))

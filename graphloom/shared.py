@@ -30,13 +30,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 OWN: dict[str, str] = {}
 
 
-def write(df: DataFrame, folder: str) -> DataFrame:
-    """df as Parquet in folder, read again. What the query has shuffled is deleted with its end."""
+def write(df: DataFrame, folder: str, *by: str) -> DataFrame:
+    """df as Parquet in folder, read again; by: columns whose values are folders. What the query has shuffled is deleted with its end."""
     spark = df.sparkSession
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(folder)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(*by) if by else out).parquet(folder)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
@@ -62,6 +63,42 @@ def drop(*tables: DataFrame) -> None:
             delete(t.sparkSession, folder)
 
 
-def delete(spark: SparkSession, folder: str) -> None:
+def once(df: DataFrame) -> DataFrame:
+    """df itself if cut() has written it, else cut(df)."""
+    return df if df in FOLDERS else cut(df)
+
+
+def _path(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """What is in a folder; nothing, if there is none."""
+    path, files = _path(spark, folder)
+    return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+
+
+def size(spark: SparkSession, folder: str) -> int:
+    path, files = _path(spark, folder)
+    return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
+
+def publish(spark: SparkSession, file: str, text: str) -> None:
+    """A small file of its own, as a whole: raises if it is there already, whoever has written it."""
+    path, files = _path(spark, file)
+    out = files.create(path, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A folder name of its own in the shared folder."""
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
