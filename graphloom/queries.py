@@ -749,67 +749,69 @@ def in_a_store(spark, quads: DataFrame, work: Callable[[Store], DataFrame]) -> D
     return out
 
 
-def set_status(store: Store, at_least: float, status: str, how: str) -> int:
-    """Gives orders of at least this total price a status, in one update of the store."""
-    p = NS + "o_orderstatus"
-    s = bgp(store.read(), ("?o", NS + "o_totalprice", "?t"), ("?o", p, "?st")).where(num("t") >= at_least)
-    return store.commit(U.fold(U.modify(s, [(BASE_GRAPH, "?o", p, "?st")], [(BASE_GRAPH, "?o", p, T.literal(status))])), how)
+def set_source(store: Store, at_least: int, source: str, how: str) -> int:
+    """Gives documents of at least so many characters a source, in one update of the store."""
+    p = NS + "source"
+    s = bgp(store.read(), ("?d", NS + "n_chars", "?n"), ("?d", p, "?s")).where(num("n") >= at_least)
+    return store.commit(U.fold(U.modify(s, [(BASE_GRAPH, "?d", p, "?s")], [(BASE_GRAPH, "?d", p, T.literal(source))])), how)
 
 
-def statuses(store: Store, version: int, step: str) -> DataFrame:
-    s = match(store.read(version), "?o", NS + "o_orderstatus", "?st").df
-    return s.groupBy("st").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), lex("st"), "n")
+def sources(store: Store, version: int, step: str) -> DataFrame:
+    s = match(store.read(version), "?d", NS + "source", "?s").df
+    return s.groupBy("s").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), lex("s"), "n")
 
 
-ORDER_COLUMNS = ["o_orderstatus", "o_totalprice"]
+def document_quads(spark, sf, *columns: str) -> DataFrame:
+    return table_quads(read(spark, sf, "documents"), "documents", columns=[*columns])
 
 
-@query("SELECT 'old' AS step, o_orderstatus AS st, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'new', CASE WHEN o_totalprice >= 400000 THEN 'large' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2")
+@query("SELECT 'old' AS step, source AS s, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 2 UNION ALL SELECT 'new', CASE WHEN n_chars >= 5000 THEN 'long' ELSE source END, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
 def q72_store_versions(spark, sf):
     """An update of stored quads writes the parts that it touches; the version before stays as it was."""
 
     def work(store: Store) -> DataFrame:
-        new = set_status(store, 400000, "large", "rewrite")
-        return statuses(store, 0, "old").unionByName(statuses(store, new, "new"))
+        new = set_source(store, 5000, "long", "rewrite")
+        return sources(store, 0, "old").unionByName(sources(store, new, "new"))
 
-    return in_a_store(spark, table_quads(read(spark, sf, "orders"), "orders", columns=ORDER_COLUMNS), work)
+    return in_a_store(spark, document_quads(spark, sf, "source", "n_chars"), work)
 
 
-STEPS = "CASE WHEN o_totalprice >= 300000 THEN 'c' WHEN o_totalprice >= 200000 THEN 'b' WHEN o_totalprice >= 100000 THEN 'a' ELSE o_orderstatus END"
+STEPS = "CASE WHEN n_chars >= 9000 THEN 'c' WHEN n_chars >= 3000 THEN 'b' WHEN n_chars >= 1000 THEN 'a' ELSE source END"
 
 
-@query(f"SELECT step, {STEPS} AS st, count(*) AS n FROM orders CROSS JOIN (VALUES ('folded'), ('compacted')) v(step) GROUP BY 1, 2 UNION ALL SELECT 'first', CASE WHEN o_totalprice >= 100000 THEN 'a' ELSE o_orderstatus END, count(*) FROM orders GROUP BY 2")
+@query(f"SELECT step, {STEPS} AS s, count(*) AS n FROM documents CROSS JOIN (VALUES ('folded'), ('compacted')) v(step) WHERE source IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'first', CASE WHEN n_chars >= 1000 THEN 'a' ELSE source END, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
 def q73_merge_on_read(spark, sf):
     """Three updates that only add their changes; a read folds them over the store, and so does a version that is written whole again."""
 
     def work(store: Store) -> DataFrame:
-        first, *_, last = [set_status(store, 100000 * i, st, "append") for i, st in ((1, "a"), (2, "b"), (3, "c"))]
-        return reduce(DataFrame.unionByName, [statuses(store, first, "first"), statuses(store, last, "folded"), statuses(store, store.compact(0), "compacted")])
+        first, _, last = [set_source(store, n, s, "append") for n, s in ((1000, "a"), (3000, "b"), (9000, "c"))]
+        return reduce(DataFrame.unionByName, [sources(store, first, "first"), sources(store, last, "folded"), sources(store, store.compact(0), "compacted")])
 
-    return in_a_store(spark, table_quads(read(spark, sf, "orders"), "orders", columns=ORDER_COLUMNS), work)
+    return in_a_store(spark, document_quads(spark, sf, "source", "n_chars"), work)
 
 
-DEBT = "(SELECT count(*) FROM customer WHERE c_acctbal < 0) + (SELECT count(*) FROM supplier WHERE s_acctbal < 0)"
+MARKED = f"(SELECT 'texts' AS k, count(*) AS n FROM documents WHERE n_chars >= 5000 UNION ALL SELECT 'marks', count(*) FROM labels WHERE toxic = 1)"
 
 
-@query(f"SELECT 'routed' AS what, '{NS}graphs/people' AS g, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'routed', '{NS}graphs/firms', (SELECT count(*) FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'stored', '{NS}graphs/people', (SELECT count(*) FROM customer WHERE c_acctbal < 0) UNION ALL SELECT 'stored', '{NS}graphs/firms', (SELECT count(*) FROM supplier WHERE s_acctbal < 0) UNION ALL SELECT 'denied', '', 0")
+@query(f"SELECT what, '{NS}graphs/' || k AS g, n FROM {MARKED} CROSS JOIN (VALUES ('routed'), ('stored')) v(what) UNION ALL SELECT 'denied', '', 0")
 def q74_route_by_stored_types(spark, sf):
-    """Flags customers and suppliers in debt. The update states no types: they come from the store's table of types, of the resources that
+    """Flags long documents and toxic labels. The update states no types: they come from the store's table of types, of the resources that
     it names, and each flag goes to its type's graph."""
-    graphs = acl.Group("all", (acl.GraphSpec(BASE_GRAPH),), usage=frozenset({acl.READ_FOR_WRITE}))
-    people, firms = (acl.Group(n, (acl.GraphSpec(f"{NS}graphs/{n}", acl.ByType((NS + t,))),)) for n, t in (("people", "customer"), ("firms", "supplier")))
-    allowed = [(n, ()) for n in ("all", "people", "firms", "clean")]
+    every = acl.Group("all", (acl.GraphSpec(BASE_GRAPH),), usage=frozenset({acl.READ_FOR_WRITE}))
+    texts, marks = (acl.Group(n, (acl.GraphSpec(f"{NS}graphs/{n}", acl.ByType((NS + t,))),)) for n, t in (("texts", "documents"), ("marks", "labels")))
+    allowed = [(n, ()) for n in ("all", "texts", "marks", "clean")]
 
-    def in_debt(view: DataFrame) -> Solutions:
-        return union(*(match(view, "?x", NS + p, "?b").where(num("b") < 0).select("x") for p in ("c_acctbal", "s_acctbal")))
+    def found(view: DataFrame) -> Solutions:
+        return union(match(view, "?x", NS + "n_chars", "?n").where(num("n") >= 5000).select("x"), match(view, "?x", NS + "toxic", T.literal(1)).select("x"))
 
     def work(store: Store) -> DataFrame:
-        version, routed_, denied = U.update_store(store, [graphs, people, firms, acl.Cleanup("clean")], allowed, in_debt, [], [(acl.APPLICATION_GRAPH, "?x", NS + "debt", T.literal(True))], how="append")
+        version, routed_, denied = U.update_store(store, [every, texts, marks, acl.Cleanup("clean")], allowed, found, [], [(acl.APPLICATION_GRAPH, "?x", NS + "flag", T.literal(True))], how="append")
         count = lambda df, what: df.groupBy("g").agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "g", "n")
-        stored = store.read(version, graphs=[NS + "graphs/people", NS + "graphs/firms"])
+        stored = store.read(version, graphs=[NS + "graphs/texts", NS + "graphs/marks"])
         return reduce(DataFrame.unionByName, [count(routed_, "routed"), count(stored, "stored"), denied.agg(F.lit("denied").alias("what"), F.lit("").alias("g"), F.count("*").alias("n"))])
 
-    return in_a_store(spark, tables(spark, sf, "customer", "supplier"), work)
+    quads = document_quads(spark, sf, "n_chars").unionByName(table_quads(read(spark, sf, "labels"), "labels", columns=["toxic"]))
+    return in_a_store(spark, quads, work)
 
 
 @query("SELECT 'left' AS what, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'denied', 0")
