@@ -139,11 +139,45 @@ def moment(t: Column) -> Column:
     return F.when(is_literal(t) & t["dt"].isin(XSD + "dateTime", XSD + "date"), F.try_to_timestamp(t["lex"]))
 
 
+def _digits(sign: Column, whole: Column, fraction: Column, shift: Column) -> Column:
+    """A text in the order of the numbers that sign, digits before and after the point, and a power of ten denote: the sign, the place of
+    the first digit, the digits; below zero in reverse."""
+    lead = F.regexp_replace(whole, "^0+", "")
+    zeros = F.length(fraction) - F.length(F.regexp_replace(fraction, "^0+", ""))
+    place = F.when(lead != "", F.length(lead)).otherwise(-zeros) + shift + 500_000_000
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+|0+$", "")
+    up = F.concat(F.lpad(place.cast("string"), 9, "0"), digits)
+    down = F.concat(F.lpad((999_999_999 - place).cast("string"), 9, "0"), F.translate(digits, "0123456789", "9876543210"), F.lit("~"))
+    return F.when(digits == "", F.lit("3")).when(sign == "-", F.concat(F.lit("2"), down)).otherwise(F.concat(F.lit("4"), up))
+
+
+_PLAIN = r"^([+-]?)([0-9]*)(?:\.([0-9]*))?$"
+_SHORTEST = r"^(-?)([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
+
+
+def number_key(t: Column) -> Column:
+    """A text in the order of numbers of any type: integers and decimals of any length by their digits, doubles and floats by the shortest
+    digits that denote them, -INF before and INF after all, then NaN. Equal numbers have equal keys. NULL for what is no number."""
+    part = lambda p, x, i: F.regexp_extract(x, p, i)
+    plain_ = F.when(t["lex"].rlike(r"^[+-]?(?:[0-9]+\.?|[0-9]*\.[0-9]+)$"), _digits(part(_PLAIN, t["lex"], 1), part(_PLAIN, t["lex"], 2), part(_PLAIN, t["lex"], 3), F.lit(0)))
+    value = F.when(t["dt"] == XSD + "float", t["lex"].try_cast("float").cast("string")).otherwise(t["lex"].try_cast("double").cast("string"))
+    shown = _digits(part(_SHORTEST, value, 1), part(_SHORTEST, value, 2), part(_SHORTEST, value, 3), F.coalesce(part(_SHORTEST, value, 4).try_cast("int"), F.lit(0)))
+    rough = F.when(value == "NaN", F.lit("6")).when(value == "Infinity", F.lit("5")).when(value == "-Infinity", F.lit("1")).otherwise(shown)
+    return F.when(number(t).isNotNull(), F.when(_double_type(t), rough).otherwise(plain_))
+
+
+def _size(t: Column) -> Column:
+    """In the order of the absolute values of integers and decimals of any length."""
+    whole = F.regexp_extract(t["lex"], r"^[+-]?0*([0-9]*)", 1)
+    return F.struct(F.length(whole), whole, F.regexp_extract(t["lex"], r"\.([0-9]*?)0*$", 1))
+
+
 def _numbers(a: Column, b: Column, compare: Callable[[Column, Column], Column]) -> Column:
-    """compare on two numbers: exactly for integers and decimals, as doubles if one is a double or beyond the exact range."""
-    whole, some, double = (integer(a), integer(b)), (exact(a), exact(b)), (number(a), number(b))
-    both = lambda x: x[0].isNotNull() & x[1].isNotNull()
-    return F.when(both(whole), compare(*whole)).when(both(some), compare(*some)).when(both(double), compare(*double))
+    """compare on two numbers: as doubles, and by their digits where these are equal and both numbers are integers or decimals. Nothing
+    holds of NaN."""
+    x, y = number(a), number(b)
+    fine = F.when(x < 0, compare(_size(b), _size(a))).otherwise(compare(_size(a), _size(b)))
+    return F.when((x == y) & _exact_type(a) & _exact_type(b), fine).otherwise(compare(x, y) & ~F.isnan(x) & ~F.isnan(y))
 
 
 def _moments(a: Column, b: Column, compare: Callable[[Column, Column], Column]) -> Column:
@@ -155,32 +189,64 @@ def _known(t: Column) -> Column:
     return t["dt"].isin(*NUMBERS, XSD + "string", XSD + "boolean", XSD + "dateTime", XSD + "date", LANG_STRING)
 
 
+def _ill_formed(t: Column) -> Column:
+    """A literal whose text is not of its type, for types that have values here."""
+    numeric = _numeric_type(t) & number(t).isNull()
+    times = t["dt"].isin(XSD + "dateTime", XSD + "date") & moment(t).isNull()
+    return F.coalesce(numeric | times | ((t["dt"] == XSD + "boolean") & ~t["lex"].isin("true", "false", "1", "0")), F.lit(False))
+
+
 def equal(a: Column, b: Column) -> Column:
-    """`=`: by value where both have one; unlike literals of unknown types, and of unlike types of time, are an error."""
+    """`=`: by value where both have one; unlike literals of unknown types, of unlike types of time, and ill-formed ones are an error."""
     boolean = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean")
     times = moment(a).isNotNull() & moment(b).isNotNull()
     return (
         F.when(number(a).isNotNull() & number(b).isNotNull(), _numbers(a, b, lambda x, y: x == y))
         .when(times, _moments(a, b, lambda x, y: x == y))
-        .when(boolean, truth(a) == truth(b))
+        .when(boolean & ~_ill_formed(a) & ~_ill_formed(b), truth(a) == truth(b))
         .when(same_term(a, b), F.lit(True))
-        .when(is_literal(a) & is_literal(b) & ~(_known(a) & _known(b)), F.lit(None).cast("boolean"))
+        .when(is_literal(a) & is_literal(b) & (~(_known(a) & _known(b)) | _ill_formed(a) | _ill_formed(b)), F.lit(None).cast("boolean"))
         .when(a.isNotNull() & b.isNotNull(), F.lit(False))
     )
 
 
-def less(a: Column, b: Column) -> Column:
-    """`<`: of two numbers, strings, times of one type or booleans; an error otherwise."""
+def _ordered(a: Column, b: Column, compare: Callable[[Column, Column], Column]) -> Column:
+    """compare on two numbers, strings, times of one type or booleans; an error otherwise."""
     simple = (a["dt"] == XSD + "string") & (b["dt"] == XSD + "string")
-    boolean = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean")
+    boolean = (a["dt"] == XSD + "boolean") & (b["dt"] == XSD + "boolean") & ~_ill_formed(a) & ~_ill_formed(b)
     return (
-        F.when(number(a).isNotNull() & number(b).isNotNull(), _numbers(a, b, lambda x, y: x < y))
-        .when(moment(a).isNotNull() & moment(b).isNotNull(), _moments(a, b, lambda x, y: x < y))
-        .when(simple, a["lex"] < b["lex"])
-        .when(boolean, truth(a).cast("int") < truth(b).cast("int"))
+        F.when(number(a).isNotNull() & number(b).isNotNull(), _numbers(a, b, compare))
+        .when(moment(a).isNotNull() & moment(b).isNotNull(), _moments(a, b, compare))
+        .when(simple, compare(a["lex"], b["lex"]))
+        .when(boolean, compare(truth(a).cast("int"), truth(b).cast("int")))
     )
 
 
+def unequal(a: Column, b: Column) -> Column:
+    """`!=`."""
+    return ~equal(a, b)
+
+
+def less(a: Column, b: Column) -> Column:
+    """`<`."""
+    return _ordered(a, b, lambda x, y: x < y)
+
+
+def greater(a: Column, b: Column) -> Column:
+    """`>`."""
+    return _ordered(a, b, lambda x, y: x > y)
+
+
+def at_most(a: Column, b: Column) -> Column:
+    """`<=`: not the negation of `>`, as neither holds of NaN."""
+    return _ordered(a, b, lambda x, y: x <= y)
+
+
+def at_least(a: Column, b: Column) -> Column:
+    """`>=`."""
+    return _ordered(a, b, lambda x, y: x >= y)
+
+
 def in_(t: Column, *terms: Column) -> Column:
     """IN: true if one is equal; else an error if one comparison is. NOT IN is its negation."""
     out = F.lit(False)
@@ -190,8 +256,8 @@ def in_(t: Column, *terms: Column) -> Column:
 
 
 def sort_key(t: Column) -> Column:
-    """Unbound, blank nodes, IRIs, literals; numbers by value, then times, then text."""
-    return F.struct(F.coalesce(t["kind"], F.lit(0).cast("tinyint")).alias("rank"), number(t).alias("n"), moment(t).alias("d"), t["lex"].alias("lex"), t["dt"].alias("dt"), t["lang"].alias("lang"))
+    """Unbound, blank nodes, IRIs, literals; numbers by value, exactly, then times, then text."""
+    return F.struct(F.coalesce(t["kind"], F.lit(0).cast("tinyint")).alias("rank"), number_key(t).alias("n"), moment(t).alias("d"), t["lex"].alias("lex"), t["dt"].alias("dt"), t["lang"].alias("lang"))
 
 
 def wrap(value: Column, like: Column) -> Column:

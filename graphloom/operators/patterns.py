@@ -1,8 +1,8 @@
 """Graph patterns as DataFrames of solutions: a term column for each variable, NULL where unbound.
 
 Solutions know which variables may be unbound. A join on variables that are always bound is an equi-join. Where one may be
-unbound, the two sides are split by boundness and each part is an equi-join on what is bound there, so no nested loop is needed
-unless two parts share nothing at all.
+unbound, a row has a key for each set of variables that the other side may have bound: the join is one equi-join still, and no
+nested loop is needed. Rows that share no bound variable at all meet under one key, as they are all compatible.
 """
 
 from __future__ import annotations
@@ -143,35 +143,62 @@ def collection(source: DataFrame | Mapped, head: str, *items: str | Column) -> S
     return found.select(*(n for n in found.names if n not in {c[1:] for c in cells[1:]}))
 
 
-def _parts(side: Solutions, names: list[str]) -> list[tuple[frozenset, DataFrame]]:
-    """side, split by which of names are bound."""
-    out = [(frozenset(), side.df)]
-    for n in names:
-        if n in side.maybe:
-            out = [(b | {n}, d.where(F.col(n).isNotNull())) for b, d in out] + [(b, d.where(F.col(n).isNull())) for b, d in out]
-        else:
-            out = [(b | {n}, d) for b, d in out]
-    return out
+def _masks(names: list[str], maybe: frozenset) -> list[int]:
+    """Which of names can be bound together: a bit for each; those that can't be unbound always are."""
+    sure = sum(1 << i for i, n in enumerate(names) if n not in maybe)
+    return reduce(lambda out, i: out + [m | 1 << i for m in out], [i for i, n in enumerate(names) if n in maybe], [sure])
+
+
+def _keys(side: Solutions, names: list[str], others: list[int], first: bool, least: int = 0) -> Column:
+    """For each set of variables that a row of the other side may have bound: the two sets, and the values of what both have. Two
+    rows are compatible exactly if one of their keys is equal, and just one can be. least: how many variables both have at least."""
+    bits = lambda n: F.col(n).isNotNull().cast("int")
+    mine = reduce(Column.__add__, [bits(n) * (1 << i) if n in side.maybe else F.lit(1 << i) for i, n in enumerate(names)])
 
+    def key(other: int) -> Column:
+        pair = (mine, F.lit(other)) if first else (F.lit(other), mine)
+        values = [(F.col(n) if other >> i & 1 else F.lit(None).cast(TERM)).alias(f"v{i}") for i, n in enumerate(names)]
+        out = F.struct(pair[0].alias("a"), pair[1].alias("b"), *values)
+        return F.when(F.bit_count(mine.bitwiseAND(other)) >= least, out) if least else out
 
-def _pairs(a: Solutions, b: Solutions, shared: list[str]):
-    for bound_a, x in _parts(a, shared):
-        for bound_b, y in _parts(b, shared):
-            yield x, y.select(*(F.col(n).alias(f"{n}__r") if n in shared else F.col(n) for n in y.columns)), sorted(bound_a & bound_b)
+    return F.array_compact(F.array(*map(key, others))) if least else F.array(*map(key, others))
+
+
+def _keyed(a: Solutions, b: Solutions, least: int = 0) -> tuple[list[str], Column, Column]:
+    """The shared variables, and the keys of either side's rows."""
+    shared = [n for n in a.names if n in b.names]
+    return shared, _keys(a, shared, _masks(shared, b.maybe), True, least), _keys(b, shared, _masks(shared, a.maybe), False, least)
 
 
 def join(a: Solutions, b: Solutions) -> Solutions:
-    """All compatible pairs."""
+    """All compatible pairs. Where a shared variable may be unbound on a side, a row has a key for each set of variables that the
+    other side may have bound, so this is one equi-join, which scans each side once."""
     shared = [n for n in a.names if n in b.names]
     if not {*shared} & (a.maybe | b.maybe):
         df = a.df.join(b.df, shared) if shared else a.df.crossJoin(b.df)
         return Solutions(df, a.maybe | b.maybe)
-    out = []
     rest = [n for n in b.names if n not in shared]
-    for x, y, on in _pairs(a, b, shared):
-        both = x.join(y, reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in on])) if on else x.crossJoin(y)
-        out.append(both.select(*(F.coalesce(n, f"{n}__r").alias(n) if n in shared else F.col(n) for n in a.names), *rest))
-    return Solutions(reduce(DataFrame.unionByName, out), frozenset(n for n in {*a.names, *b.names} if n in a.maybe and n in b.maybe or n in (a.maybe | b.maybe) and not (n in a.names and n in b.names)))
+    _, of_a, of_b = _keyed(a, b)
+    y = b.df.select(F.explode(of_b).alias("k__"), *(F.col(n).alias(f"{n}__r") if n in shared else F.col(n) for n in b.names))
+    both = a.df.select("*", F.explode(of_a).alias("k__")).join(y, "k__")
+    df = both.select(*(F.coalesce(n, f"{n}__r").alias(n) if n in shared else F.col(n) for n in a.names), *rest)
+    return Solutions(df, frozenset(n for n in {*a.names, *b.names} if n in a.maybe and n in b.maybe or n in (a.maybe | b.maybe) and not (n in a.names and n in b.names)))
+
+
+def _met(a: Solutions, b: Solutions, least: int = 0) -> tuple[list[str], DataFrame]:
+    """The shared variables, and their values in those rows of a that are compatible with a row of b (and share at least `least` bound
+    variables with it), each once."""
+    shared, of_a, of_b = _keyed(a, b, least)
+    asked = a.df.select(*shared).distinct().select("*", F.explode(of_a).alias("k__"))
+    return shared, asked.join(b.df.select(F.explode(of_b).alias("k__")).distinct(), "k__", "left_semi").select(*shared).distinct()
+
+
+def _same(names: list[str], mark: str = "__r") -> Column:
+    return reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"{n}{mark}")) for n in names])
+
+
+def _beside(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col(n).alias(f"{n}__r") for n in names))
 
 
 def optional(a: Solutions, b: Solutions, condition: Column | None = None) -> Solutions:
@@ -202,53 +229,52 @@ def minus(a: Solutions, b: Solutions) -> Solutions:
     shared = [n for n in a.names if n in b.names]
     if not shared:
         return a
-    out = a.df
-    for bound, y in _parts(b, shared):
-        if not bound:
-            continue
-        y = y.select(*(F.col(n).alias(f"{n}__r") for n in sorted(bound))).distinct()
-        if not bound & a.maybe:
-            out = out.join(y, reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in sorted(bound)]), "left_anti")
-            continue
-        parts = []
-        for own, x in _parts(Solutions(out, a.maybe), sorted(bound)):
-            parts.append(x.join(y, reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in sorted(own)]), "left_anti") if own else x)
-        out = reduce(DataFrame.unionByName, parts)
-    return Solutions(out, a.maybe)
+    if not {*shared} & (a.maybe | b.maybe):
+        return Solutions(a.df.join(b.df.select(*shared), shared, "left_anti"), a.maybe)
+    shared, met = _met(a, b, least=1)
+    return Solutions(a.df.join(_beside(met, shared), _same(shared), "left_anti"), a.maybe)
+
+
+def _correlated(a: Solutions, b: Solutions, condition: Column, how: str) -> DataFrame:
+    """Rows of a with (left_semi) or without (left_anti) a compatible row of b for which the condition, over variables of both, holds; a
+    shared variable is a's where it is bound there. What both sides always bind are the join's keys."""
+    shared = [n for n in a.names if n in b.names]
+    y = b.df.select(*(F.col(n).alias(f"{n}__r") if n in shared else F.col(n) for n in b.names))
+    if not {*shared} & (a.maybe | b.maybe):
+        return a.df.join(y, reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in shared], condition), how)
+    # one equi-join on the keys of compatible rows; rows of a are told apart by all their values
+    found = join(Solutions(a.df.select("*", F.struct(*a.names).alias("a__")).distinct(), a.maybe), b).where(condition).df.select("a__").distinct()
+    return a.df.join(found, F.struct(*a.names).eqNullSafe(F.col("a__")), how)
 
 
-def with_exists(a: Solutions, b: Solutions, name: str) -> Solutions:
+def with_exists(a: Solutions, b: Solutions, name: str, condition: Column | None = None) -> Solutions:
     """a with a boolean column that says whether b has a compatible solution, for use inside expressions. What is unbound in a row
-    of either side is compatible with anything."""
-    shared, df, flags = [n for n in a.names if n in b.names], a.df, []
-    own = [n for n in shared if n in a.maybe]
-    for i, (bound, y) in enumerate(_parts(b, shared)):
-        # a variable that a row of a has unbound is not compared, so y is asked for each set of variables that a may have bound
-        for j, free in enumerate(_subsets([n for n in own if n in bound])):
-            on, flag = sorted(bound - free), f"{name}__{i}_{j}"
-            keys = y.select(*(F.col(n).alias(f"{n}__r") for n in on)).distinct() if on else y.limit(1).select()
-            keys = keys.withColumn(flag, F.lit(True))
-            here = reduce(Column.__and__, [F.col(n) == F.col(f"{n}__r") for n in on] + [F.col(n).isNull() for n in free] + [F.col(n).isNotNull() for n in own if n in on], F.lit(True))
-            df = (df.join(keys, here, "left") if on else df.join(F.broadcast(keys), here, "left")).drop(*(f"{n}__r" for n in on))
-            flags.append(flag)
-    found = reduce(Column.__or__, [F.coalesce(F.col(f), F.lit(False)) for f in flags])
-    return Solutions(df.withColumn(name, found).drop(*flags), a.maybe)
-
-
-def _subsets(names: list[str]) -> list[set[str]]:
-    return reduce(lambda out, n: out + [x | {n} for x in out], names, [set()])
-
-
-def exists(a: Solutions, b: Solutions, negated: bool = False) -> Solutions:
-    """(NOT) EXISTS on the shared variables."""
+    of either side is compatible with anything. condition: a filter inside, which may use variables of a."""
     shared = [n for n in a.names if n in b.names]
-    if {*shared} & (a.maybe | b.maybe):
-        found = with_exists(a, b, "exists__")
-        return Solutions(found.df.where(~F.col("exists__") if negated else F.col("exists__")).drop("exists__"), a.maybe)
+    if condition is not None:
+        own = a.df.distinct()
+        met = _beside(_correlated(Solutions(own, a.maybe), b, condition, "left_semi"), a.names).withColumn(name, F.lit(True))
+        df = a.df.join(met, _same(a.names), "left")
+    elif not shared:
+        df = a.df.join(F.broadcast(b.df.limit(1).select(F.lit(True).alias(name))), F.lit(True), "left")
+    else:
+        shared, met = _met(a, b) if {*shared} & (a.maybe | b.maybe) else (shared, b.df.select(*shared).distinct())
+        df = a.df.join(_beside(met, shared).withColumn(name, F.lit(True)), _same(shared), "left")
+    return Solutions(df.select(*a.names, F.coalesce(F.col(name), F.lit(False)).alias(name)), a.maybe)
+
+
+def exists(a: Solutions, b: Solutions, negated: bool = False, condition: Column | None = None) -> Solutions:
+    """(NOT) EXISTS on the shared variables. condition: a filter inside, which may use variables of a."""
+    shared, how = [n for n in a.names if n in b.names], "left_anti" if negated else "left_semi"
+    if condition is not None:
+        return Solutions(_correlated(a, b, condition, how), a.maybe)
     if not shared:
         there = b.df.limit(1).select(F.lit(1).alias("there__"))
-        return Solutions(a.df.join(F.broadcast(there), F.lit(True), "left_anti" if negated else "left_semi"), a.maybe)
-    return Solutions(a.df.join(b.df.select(*shared), shared, "left_anti" if negated else "left_semi"), a.maybe)
+        return Solutions(a.df.join(F.broadcast(there), F.lit(True), how), a.maybe)
+    if {*shared} & (a.maybe | b.maybe):
+        shared, met = _met(a, b)
+        return Solutions(a.df.join(_beside(met, shared), _same(shared), how), a.maybe)
+    return Solutions(a.df.join(b.df.select(*shared), shared, how), a.maybe)
 
 
 def values(spark, names: list[str], rows: list[tuple]) -> Solutions:
