@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import cut, drop
+from ..shared import cut, delete, drop, fresh, names, once, write
 from .patterns import term_columns
 
 
@@ -70,3 +71,86 @@ def one_or_more(path: DataFrame) -> DataFrame:
 
 def zero_or_more(path: DataFrame, quads: DataFrame) -> DataFrame:
     return one_or_more(path).unionByName(identity(quads)).distinct()
+
+
+#: Rounds of a search before chains are looked for.
+PLAIN = 32
+
+
+class Parts:
+    """A table in folders by a hash of one column, which grows by additions; a round reads the folders of the nodes it asks for only."""
+
+    def __init__(self, df: DataFrame, by: str, parts: int):
+        self.spark, self.by, self.parts, self.schema, self.folders = df.sparkSession, by, parts, df.schema, []
+
+    def add(self, df: DataFrame) -> set[int]:
+        """The numbers of the parts that have got rows."""
+        folder = fresh(self.spark, "parts")
+        rows = df.select(*self.schema.names, F.pmod(F.xxhash64(self.by), F.lit(self.parts)).cast("int").alias("part"))
+        write(rows.hint("rebalance", "part"), folder, "part")
+        there = {int(x.removeprefix("part=")) for x in names(self.spark, folder) if x.startswith("part=")}
+        self.folders.append((folder, there))
+        return there
+
+    def read(self, asked: set[int] | None = None, last: bool = False) -> DataFrame:
+        """The rows of these parts; last: of the last addition."""
+        paths = [f"{folder}/part={p}" for folder, there in self.folders[-1:] * last or self.folders for p in sorted(there if asked is None else there & asked)]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def drop(self) -> None:
+        for folder, _ in self.folders:
+            delete(self.spark, folder)
+        self.folders = []
+
+
+#: Edges in a part of a search, about, and parts at most.
+PART_ROWS, MOST_PARTS = 1_000_000, 256
+
+
+def reach(path: DataFrame, starts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(s, o): what walks of one edge or more from the bound ends `starts` (one column, n) reach, as a set. All starts are searched
+    together, a round an edge further, and a round reads the edges and what is reached by now for the nodes of its front alone, by
+    parts of about `part_rows` edges. A search of more than PLAIN rounds gets shortcuts along chains first, so its rounds are few on long walks
+    too. To bind the other end, give inverse(path) and turn the result around. Null nodes have no edges."""
+    path, first = once(path), starts.select(F.col("n").alias("s"), F.col("n").alias("o")).where("s is not null").distinct()
+    parts = min(MOST_PARTS, 1 + path.count() // part_rows)
+    edges = Parts(path.select("s", "o"), "s", parts)
+    edges.add(path.select("s", "o").where("s is not null and o is not null").distinct())
+    found, met, begin = (Parts(first, "o", parts) for _ in range(3))
+    asked, front, turn = begin.add(first), begin.read(last=True), 0
+    while asked:
+        step = edges.read(asked).select(F.col("s").alias("via"), F.col("o").alias("to")).join(front.select("s", F.col("o").alias("via")), "via")
+        step, reached = step.select("s", F.col("to").alias("o")).distinct(), {0}
+        if parts > 1:  # its parts tell which of those found by now are to be read
+            reached = met.add(step)
+            step = met.read()
+        asked = found.add(step.join(found.read(reached), ["s", "o"], "left_anti"))
+        met.drop()
+        front, turn = found.read(last=True), turn + 1
+        if turn == PLAIN and asked:
+            edges.add(_shortcuts(edges.read(), found.read().select("o").distinct()))
+    out = cut(found.read())
+    for p in (edges, found, begin):
+        p.drop()
+    return out
+
+
+def _shortcuts(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(s, o) from the head of each chain to its nodes: a chain goes on while a node has one edge in, its edge's source one out. No
+    chain goes on into what is reached, so a ring that is reached has a head; rings that are not can't be reached."""
+    one = lambda by: edges.groupBy(by).agg(F.count("*").alias("n")).where("n = 1").select(by)
+    links = edges.where("s <> o").join(one("s"), "s", "left_semi").join(one("o"), "o", "left_semi")
+    links = cut(links.join(reached, "o", "left_anti").select(F.col("s").alias("head"), F.col("o").alias("node"), F.lit(False).alias("done")))
+    for _ in range(max(1, math.ceil(math.log2(links.count() + 2)))):
+        # a node whose head has no head of its own is done
+        above = links.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("done").alias("above"))
+        more = links.where("not done").join(above, "head", "left").select(F.coalesce("next", "head").alias("head"), "node", (F.col("next").isNull() | F.col("above")).alias("done"))
+        both = cut(links.where("done").unionByName(more))
+        drop(links)
+        links = both
+    return links.where("done").select(F.col("head").alias("s"), F.col("node").alias("o"))
+
+
+def reach_or_self(path: DataFrame, starts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """reach(), and each start with itself."""
+    return reach(path, starts, part_rows).unionByName(starts.select(F.col("n").alias("s"), F.col("n").alias("o")).where("s is not null")).distinct()

@@ -340,6 +340,20 @@ def q39_cycle(spark, sf):
     return P.one_or_more(e).select(key("s"), key("o"))
 
 
+@query("WITH RECURSIVE e AS (SELECT a.conv_id AS c, a.turn AS s, b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), f AS (SELECT conv_id AS c, min(turn) AS t FROM conversations GROUP BY conv_id), r AS (SELECT e.c, s, o FROM e JOIN f ON e.c = f.c AND s = t UNION SELECT r.c, r.s, e.o FROM r JOIN e ON r.c = e.c AND r.o = e.s) SELECT r.c AS c, r.o AS t, 'after' AS what FROM r UNION ALL SELECT e.c, e.s, 'before' FROM e JOIN conversations v ON v.conv_id = e.c AND v.turn = e.o WHERE v.turn = (SELECT min(turn) + 1 FROM conversations m WHERE m.conv_id = e.c)")
+def q79_reach_from_bound_ends(spark, sf):
+    """What follows each conversation's first turn, and what goes before its second: searches that start at bound ends."""
+    c = read(spark, sf, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("t"))
+    name = lambda t: T.iri(F.concat(F.lit(NS + "conversations/"), F.concat_ws("/", F.col("conv_id").cast("string"), t.cast("string")))).alias("n")
+    edges = cut(turns(spark, sf))
+    after = P.reach(edges, first.select(name(F.col("t"))))
+    before = P.inverse(P.reach(P.inverse(edges), first.select(name(F.col("t") + 1))))
+    part = lambda x, i: F.split(F.col(x)["lex"], "/")[i].cast("long")
+    shown = lambda df, x, what: df.select(part(x, 4).alias("c"), part(x, 5).alias("t"), F.lit(what).alias("what"))
+    return shown(after, "o", "after").unionByName(shown(before, "s", "before"))
+
+
 def segments() -> list:
     return [acl.Group("segment", (acl.GraphSpec(NS + "graphs/segment/"),)), acl.Group("shared", (acl.GraphSpec(BASE_GRAPH),), usage=frozenset({acl.READ}))]
 
