@@ -128,27 +128,38 @@ def reach(path: DataFrame, starts: DataFrame, part_rows: int = PART_ROWS) -> Dat
         met.drop()
         front, turn = found.read(last=True), turn + 1
         if turn == PLAIN and asked:
-            edges.add(_shortcuts(edges.read(), found.read().select("o").distinct()))
+            edges.add(_shortcuts(edges.read(), first.select(F.col("o").alias("n"))))
+            asked, front = {*range(parts)}, found.read().unionByName(begin.read())  # shortcuts may begin at any node met by now
     out = cut(found.read())
     for p in (edges, found, begin):
         p.drop()
     return out
 
 
-def _shortcuts(edges: DataFrame, reached: DataFrame) -> DataFrame:
-    """(s, o) from the head of each chain to its nodes: a chain goes on while a node has one edge in, its edge's source one out. No
-    chain goes on into what is reached, so a ring that is reached has a head; rings that are not can't be reached."""
-    one = lambda by: edges.groupBy(by).agg(F.count("*").alias("n")).where("n = 1").select(by)
-    links = edges.where("s <> o").join(one("s"), "s", "left_semi").join(one("o"), "o", "left_semi")
-    links = cut(links.join(reached, "o", "left_anti").select(F.col("s").alias("head"), F.col("o").alias("node"), F.lit(False).alias("done")))
-    for _ in range(max(1, math.ceil(math.log2(links.count() + 2)))):
-        # a node whose head has no head of its own is done
-        above = links.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("done").alias("above"))
-        more = links.where("not done").join(above, "head", "left").select(F.coalesce("next", "head").alias("head"), "node", (F.col("next").isNull() | F.col("above")).alias("done"))
-        both = cut(links.where("done").unionByName(more))
+def _jump(links: DataFrame) -> DataFrame:
+    """Links (pred, node) of chains and rings to rows (node, pred, head, d, low, done): the head of the chain that node is on, and how far it
+    is; what is not done is on a ring, of which low is the least node. A round doubles how far each row sees."""
+    links = cut(links.select("node", "pred", F.col("pred").alias("head"), F.lit(1).cast("long").alias("d"), F.least("node", "pred").alias("low"), F.lit(False).alias("done")))
+    for _ in range(1 + math.ceil(math.log2(links.count() + 2))):
+        above = links.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("d").alias("more"), F.col("low").alias("lower"), F.col("done").alias("above"))
+        seen = links.where("not done").join(above, "head", "left").select("node", "pred", F.coalesce("next", "head").alias("head"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"), F.least("low", "lower").alias("low"), (F.col("next").isNull() | F.col("above")).alias("done"))
+        both = cut(links.where("done").unionByName(seen))
         drop(links)
         links = both
-    return links.where("done").select(F.col("head").alias("s"), F.col("node").alias("o"))
+    return links
+
+
+def _shortcuts(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(s, o) from the head of each chain to its nodes, and from a start (n) on a chain to those behind it, which are results. A chain
+    goes on while a node has one edge in, and its edge's source one out; a ring is cut before its least node."""
+    one = lambda by: edges.groupBy(by).agg(F.count("*").alias("n")).where("n = 1").select(by)
+    links = edges.where("s <> o").join(one("s"), "s", "left_semi").join(one("o"), "o", "left_semi").select(F.col("s").alias("pred"), F.col("o").alias("node"))
+    first = _jump(links)
+    rings = _jump(first.where("not done and node <> low").select("pred", "node"))
+    chains = first.where("done").unionByName(rings.where("done")).select("head", "node", "d")
+    on = chains.join(starts.select(F.col("n").alias("node")), "node").select("head", F.col("node").alias("start"), F.col("d").alias("from"))
+    behind = chains.join(on, "head").where(F.col("d") > F.col("from")).select(F.col("start").alias("s"), F.col("node").alias("o"))
+    return chains.select(F.col("head").alias("s"), F.col("node").alias("o")).unionByName(behind)
 
 
 def reach_or_self(path: DataFrame, starts: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
