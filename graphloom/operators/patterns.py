@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.terms import IRI, RDF_NS, truth
+from ..functions.terms import BNODE, IRI, RDF_NS, truth
 from ..sources.quads import Mapped, subject, table_terms
 
 TERM = "struct<kind:tinyint,lex:string,dt:string,lang:string>"
@@ -286,11 +286,31 @@ def values(spark, names: list[str], rows: list[tuple]) -> Solutions:
     return Solutions(df, frozenset(n for i, n in enumerate(names) if any(r[i] is None for r in rows)))
 
 
-def construct(a: Solutions, *templates: tuple) -> DataFrame:
-    """Triples (s, p, o terms) of each template, as a set; incomplete and illegal ones (a literal subject, no IRI predicate) go."""
-    value = lambda v: F.col(v[1:]) if isinstance(v, str) else v
-    out = reduce(DataFrame.unionByName, [a.df.select(*(value(v).alias(n) for n, v in zip("spo", t, strict=True))) for t in templates])
-    return out.where("s is not null and p is not null and o is not null and s.kind <> 3 and p.kind = 2").distinct()
+def numbered(a: Solutions) -> DataFrame:
+    """Each solution with a number (nth__) among those that are equal to it, so that every one has an identity that is the same
+    whenever it is worked out again."""
+    counts = a.df.groupBy(*a.names).agg(F.count("*").alias("n__"))
+    return counts.select(*a.names, F.explode(F.sequence(F.lit(1), F.col("n__").cast("int"))).alias("nth__"))
+
+
+def blank(a: Solutions, label: str, salt: str) -> Column:
+    """The blank node that a template's label stands for in a solution of numbered()."""
+    own = F.to_json(F.struct(*sorted(a.names))) if a.names else F.lit("")
+    name = F.concat(F.lit("b"), F.substring(F.sha2(F.concat_ws(" ", F.lit(f"{salt} {label}"), F.col("nth__").cast("string"), own).cast("binary"), 256), 1, 32))
+    return F.struct(F.lit(BNODE).cast("tinyint").alias("kind"), name.alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang"))
+
+
+def has_blanks(templates) -> bool:
+    return any(isinstance(x, str) and x.startswith("_:") for t in templates for x in t)
+
+
+def construct(a: Solutions, *templates: tuple, salt: str = "") -> DataFrame:
+    """Triples (s, p, o terms) of each template, as a set; incomplete and illegal ones (a literal subject, no IRI predicate) go. "_:x" is a
+    blank node of its own for each solution, the same one in all templates."""
+    value = lambda v: blank(a, v[2:], salt) if isinstance(v, str) and v.startswith("_:") else F.col(v[1:]) if isinstance(v, str) else v
+    df = numbered(a) if has_blanks(templates) else a.df
+    triples = F.array(*(F.struct(*(value(v).alias(n) for n, v in zip("spo", t, strict=True))) for t in templates))
+    return df.select(F.inline(triples)).where("s is not null and p is not null and o is not null and s.kind <> 3 and p.kind = 2").distinct()
 
 
 def ask(a: Solutions) -> DataFrame:

@@ -5,6 +5,7 @@ A change is (seq, op, quad). All statements of an update are solved against one
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,33 +13,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import IRI
-from ..operators.patterns import Solutions, term_columns  # noqa: F401
+from ..operators.patterns import Solutions, blank, has_blanks, numbered
 from ..shared import cut, drop, once
 from ..sources.quads import IDENTITY
 from ..sources.store import BROADCAST_BYTES, Store, bytes_of, last_of, overlay
-from .access import READ_FOR_WRITE, read_view, readable_graphs, route, unwritten
+from .access import APPLICATION_GRAPH, READ_FOR_WRITE, read_view, readable_graphs, route, unwritten
 
 COLUMNS = [*IDENTITY, "o_num"]
 
 
-def _term(value: str | Column) -> Column:
-    return F.col(value[1:]) if isinstance(value, str) and value.startswith("?") else F.struct(F.lit(IRI).cast("tinyint").alias("kind"), F.lit(value).alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang")) if isinstance(value, str) else value
+def _term(value: str | Column, a: Solutions, salt: str) -> Column:
+    if isinstance(value, str) and value.startswith("_:"):
+        return blank(a, value[2:], salt)
+    if isinstance(value, str) and value.startswith("?"):
+        return F.col(value[1:])
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit(IRI).cast("tinyint").alias("kind"), F.lit(value).alias("lex"), null.alias("dt"), null.alias("lang")) if isinstance(value, str) else value
 
 
-def instantiate(solutions: Solutions, templates: list[tuple], op: str, seq: int) -> DataFrame:
-    """(g, s, p, o) templates filled from each solution, in one pass; incomplete and illegal quads go; each quad once."""
+def instantiate(solutions: Solutions, templates: list[tuple], op: str, seq: int, graph: str = APPLICATION_GRAPH, salt: str | None = None) -> DataFrame:
+    """(g, s, p, o) templates, or (s, p, o) ones in `graph`, which WITH sets, filled from each solution, in one pass; incomplete and
+    illegal quads go; each quad once. "_:x" is a new blank node for each solution, which is the same one whenever this is worked
+    out again; salt, by default another one for each call, tells updates apart."""
+    salt = uuid.uuid4().hex if salt is None else salt
+    if op == "delete" and has_blanks(templates):
+        raise ValueError("what is deleted can't be a new blank node")
+
     def quad(t: tuple) -> Column:
-        g, s, p, o = map(_term, t)
+        g, s, p, o = (_term(x, solutions, salt) for x in ((graph, *t) if len(t) == 3 else t))
         legal = g.isNotNull() & s.isNotNull() & p.isNotNull() & o.isNotNull() & (s["kind"] != 3) & (p["kind"] == IRI)
         return F.when(legal, F.struct(g["lex"].alias("g"), s["lex"].alias("s"), s["kind"].alias("s_kind"), p["lex"].alias("p"), o["lex"].alias("o"), o["kind"].alias("o_kind"), o["dt"].alias("o_dt"), o["lang"].alias("o_lang"), o["lex"].try_cast("double").alias("o_num")))
 
-    quads = solutions.df.select(F.explode(F.array(*map(quad, templates))).alias("q")).where("q is not null").select("q.*").distinct()
+    rows = numbered(solutions) if has_blanks(templates) else solutions.df
+    quads = rows.select(F.explode(F.array(*map(quad, templates))).alias("q")).where("q is not null").select("q.*").distinct()
     return quads.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), *COLUMNS)
 
 
-def modify(solutions: Solutions, delete: list[tuple], insert: list[tuple], seq: int = 0) -> DataFrame:
-    """DELETE / INSERT / WHERE: deletions first."""
-    parts = [instantiate(solutions, t, op, seq + i) for i, (op, t) in enumerate((("delete", delete), ("insert", insert))) if t]
+def modify(solutions: Solutions, delete: list[tuple], insert: list[tuple], seq: int = 0, graph: str = APPLICATION_GRAPH) -> DataFrame:
+    """DELETE / INSERT / WHERE: deletions first. graph: that of templates which name none (WITH)."""
+    parts = [instantiate(solutions, t, op, seq + i, graph) for i, (op, t) in enumerate((("delete", delete), ("insert", insert))) if t]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -16,6 +16,7 @@ from .plans import access as acl
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
 from .shared import cut, delete, fresh
+from .sources.nquads import bad_lines, nquads, read_nquads
 from .sources.quads import BASE_GRAPH, NS, mapped, star, table_quads, tables
 from .sources.store import Store
 from .streaming.deltas import change_rows, change_sets, decoded, encoded
@@ -887,3 +888,31 @@ def q78_number_order(spark, sf):
     v = F.col("v")
     out = s.groupBy("g").agg(A.greatest(v).alias("hi"), n(T.at_most(v, limit), "le"), n(T.greater(v, limit), "gt"), n(T.equal(nan, nan) | T.at_least(v, nan) | T.at_most(v, nan), "same"), n(T.unequal(nan, v), "unlike"))
     return out.select("g", lex("hi"), "le", "gt", "same", "unlike")
+
+
+@query("SELECT doc_id AS d, sha256(text) AS text, lang AS tag, 0::bigint AS bad FROM documents WHERE text IS NOT NULL")
+def q80_nquads_round_trip(spark, sf):
+    """Whole texts as lines of N-Quads, with every other line in disorder (blanks, a comment), read again."""
+    folder = fresh(spark, "lines")
+    lines = nquads(table_quads(read(spark, sf, "documents"), "documents", columns=["text"], predicate=NS + "text"))
+    odd = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    lines.select(F.when(odd, F.concat(F.lit("\t "), F.regexp_replace("value", "^(<[^>]*>) (<[^>]*>) ", "$1$2"), F.lit("# <a> <b> <c> ."))).otherwise(F.col("value"))).write.option("compression", "gzip").text(folder)
+    bad = bad_lines(spark, folder).agg(F.count("*").alias("bad"))
+    key = F.regexp_extract("s", "[0-9]+$", 0).cast("long").alias("d")
+    out = cut(read_nquads(spark, folder).select(key, F.sha2(F.col("o").cast("binary"), 256).alias("text"), F.col("o_lang").alias("tag")).join(F.broadcast(bad)))  # a row
+    delete(spark, folder)
+    return out
+
+
+@query("SELECT doc_id AS d, lang AS l, n_chars::bigint AS n, 1 AS times FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL")
+def q81_template_blank_nodes(spark, sf):
+    """CONSTRUCT with a blank node in three triples, and INSERT with one in two: each document has its own, and its triples meet."""
+    s = bgp(mapped(spark, sf, "documents"), ("?d", NS + "doc_id", "?id"), ("?d", NS + "lang", "?l"), ("?d", NS + "n_chars", "?n"))
+    p = lambda x: T.iri(NS + x)
+    triples = construct(s, ("?d", p("about"), "_:a"), ("_:a", p("l"), "?l"), ("_:a", p("n"), "?n"))
+    part = lambda name, a, b: triples.where(F.col("p")["lex"] == NS + name).select(F.col("s").alias(a), F.col("o").alias(b))
+    built = part("about", "d", "a").join(part("l", "a", "l"), "a").join(part("n", "a", "n"), "a")
+    seen = built.groupBy("a").agg(F.count("*").cast("int").alias("times"))  # no node is shared
+    changes = cut(U.instantiate(s.select("d", "n"), [("?d", NS + "about", "_:x"), ("_:x", NS + "n", "?n")], "insert", 0))
+    stored = bgp(changes, ("?d", NS + "about", "?x"), ("?x", NS + "n", "?n")).df.select("d", F.col("n").alias("again"))
+    return built.join(seen, "a").join(stored, "d").where(F.col("n") == F.col("again")).select(F.regexp_extract(F.col("d")["lex"], "[0-9]+$", 0).cast("long").alias("d"), lex("l"), num("n").cast("long").alias("n"), "times")

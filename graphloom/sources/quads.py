@@ -1,4 +1,4 @@
-"""Quads: relational tables mapped to RDF, N-Quads files, and versions of a quad store in Parquet.
+"""Quads: relational tables mapped to RDF, and versions of a quad store in Parquet, each written whole (sources/store.py has parts).
 
 quads: g, s, s_kind, p, o, o_kind, o_dt, o_lang, and o_num, a numeric shadow of the object for push-down only.
 """
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.terms import BNODE, IRI, LANG_STRING, LITERAL, RDF_TYPE, XSD
+from ..functions.terms import IRI, LANG_STRING, LITERAL, RDF_TYPE, XSD
 
 NS = "http://ex.org/"
 BASE_GRAPH = NS + "graphs/base"
@@ -100,30 +100,6 @@ def star(df: DataFrame, table: str, **columns: str) -> DataFrame:
     return df.select(subject(df, table).alias("s"), *(value(c).alias(v) for v, c in columns.items()))
 
 
-_LINE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<([^>]*)>)?\s*\.\s*$'
-
-
-def read_nquads(spark: SparkSession, path: str, graph: str = BASE_GRAPH) -> DataFrame:
-    """N-Triples and N-Quads. Lines that are neither, but for empty ones and comments, are in bad_lines()."""
-    part = lambda i: F.regexp_extract("value", _LINE, i)
-    rows = spark.read.text(path).where(F.col("value").rlike(_LINE)).select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"), part(4).alias("g"))
-    bare = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.expr(f"substring({c}, 3)"))
-    kind = lambda c: F.when(F.col(c).startswith("<"), IRI).when(F.col(c).startswith("_:"), BNODE).otherwise(LITERAL).cast("tinyint")
-    quoted = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    for escape, plain in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        quoted = F.replace(quoted, F.lit(escape), F.lit(plain))
-    lang = F.nullif(F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))
-    dt = F.nullif(F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1), F.lit(""))
-    literal = kind("o") == LITERAL
-    dt = F.when(literal, F.coalesce(dt, F.when(lang.isNotNull(), F.lit(LANG_STRING)), F.lit(XSD + "string")))
-    return rows.select(F.when(F.col("g") == "", graph).otherwise(F.col("g")).alias("g"), bare("s").alias("s"), kind("s").alias("s_kind"), "p", F.when(literal, quoted).otherwise(bare("o")).alias("o"), kind("o").alias("o_kind"), dt.alias("o_dt"), F.when(literal, lang).alias("o_lang"), F.when(literal, quoted.try_cast("double")).alias("o_num"))
-
-
-def bad_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of these files that read_nquads() can't take."""
-    return spark.read.text(path).where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
-
-
 def write_version(quads: DataFrame, folder: str, version: int) -> None:
     """A new version's folder, a part for each graph, sorted so that scans can skip by predicate and subject."""
     quads.repartition("g", F.pmod(F.xxhash64("s"), F.lit(64))).sortWithinPartitions("g", "p", "s").write.partitionBy("g").parquet(f"{folder}/v={version}")

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from graphloom.functions import terms as T
+from graphloom.operators.patterns import Solutions, term_columns
 from graphloom.plans import access as acl
 from graphloom.plans import updates as U
 from graphloom.sources import store as S
@@ -149,7 +150,7 @@ def test_update_of_a_store_by_groups(spark, data, tmp_path):
     store.create(data)
     everyone = acl.Group("all", tuple(acl.GraphSpec(X + f"g{i}") for i in range(3)), usage=frozenset({acl.READ_FOR_WRITE}))
     people = acl.Group("people", (acl.GraphSpec(X + "people", acl.ByType((X + "Person",))),))
-    solve = lambda view: U.Solutions(view.where(F.col("p") == X + "p").select(U.term_columns("s").alias("x")).distinct())
+    solve = lambda view: Solutions(view.where(F.col("p") == X + "p").select(term_columns("s").alias("x")).distinct())
     flag = [(acl.APPLICATION_GRAPH, "?x", X + "flag", T.literal(True))]
     version, routed, denied = U.update_store(store, [everyone, people, acl.Cleanup("clean")], [("all", ()), ("people", ()), ("clean", ())], solve, [], flag)
     assert routed.count() == store.read(version, graphs=[X + "people"]).count() == 100 and denied.count() == 100
