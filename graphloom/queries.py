@@ -16,6 +16,7 @@ from .plans import access as acl
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
 from .shared import cut, delete, fresh
+from .sources.ids import encode
 from .sources.nquads import bad_lines, nquads, read_nquads
 from .sources.quads import BASE_GRAPH, NS, mapped, star, table_quads, tables
 from .sources.store import Store
@@ -342,7 +343,7 @@ def q39_cycle(spark, sf):
 
 
 @query("WITH RECURSIVE e AS (SELECT a.conv_id AS c, a.turn AS s, b.turn AS o FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1), f AS (SELECT conv_id AS c, min(turn) AS t FROM conversations GROUP BY conv_id), r AS (SELECT e.c, s, o FROM e JOIN f ON e.c = f.c AND s = t UNION SELECT r.c, r.s, e.o FROM r JOIN e ON r.c = e.c AND r.o = e.s) SELECT r.c AS c, r.o AS t, 'after' AS what FROM r UNION ALL SELECT e.c, e.s, 'before' FROM e JOIN conversations v ON v.conv_id = e.c AND v.turn = e.o WHERE v.turn = (SELECT min(turn) + 1 FROM conversations m WHERE m.conv_id = e.c)")
-def q79_reach_from_bound_ends(spark, sf):
+def q107_reach_from_bound_ends(spark, sf):
     """What follows each conversation's first turn, and what goes before its second: searches that start at bound ends."""
     c = read(spark, sf, "conversations")
     first = c.groupBy("conv_id").agg(F.min("turn").alias("t"))
@@ -780,7 +781,7 @@ def document_quads(spark, sf, *columns: str) -> DataFrame:
 
 
 @query("SELECT 'old' AS step, source AS s, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 2 UNION ALL SELECT 'new', CASE WHEN n_chars >= 5000 THEN 'long' ELSE source END, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
-def q72_store_versions(spark, sf):
+def q100_store_versions(spark, sf):
     """An update of stored quads writes the parts that it touches; the version before stays as it was."""
 
     def work(store: Store) -> DataFrame:
@@ -794,7 +795,7 @@ STEPS = "CASE WHEN n_chars >= 9000 THEN 'c' WHEN n_chars >= 3000 THEN 'b' WHEN n
 
 
 @query(f"SELECT step, {STEPS} AS s, count(*) AS n FROM documents CROSS JOIN (VALUES ('folded'), ('compacted')) v(step) WHERE source IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT 'first', CASE WHEN n_chars >= 1000 THEN 'a' ELSE source END, count(*) FROM documents WHERE source IS NOT NULL GROUP BY 2")
-def q73_merge_on_read(spark, sf):
+def q101_merge_on_read(spark, sf):
     """Three updates that only add their changes; a read folds them over the store, and so does a version that is written whole again."""
 
     def work(store: Store) -> DataFrame:
@@ -808,7 +809,7 @@ MARKED = f"(SELECT 'texts' AS k, count(*) AS n FROM documents WHERE n_chars >= 5
 
 
 @query(f"SELECT what, '{NS}graphs/' || k AS g, n FROM {MARKED} CROSS JOIN (VALUES ('routed'), ('stored')) v(what) UNION ALL SELECT 'denied', '', 0")
-def q74_route_by_stored_types(spark, sf):
+def q102_route_by_stored_types(spark, sf):
     """Flags long documents and toxic labels. The update states no types: they come from the store's table of types, of the resources that
     it names, and each flag goes to its type's graph."""
     every = acl.Group("all", (acl.GraphSpec(BASE_GRAPH),), usage=frozenset({acl.READ_FOR_WRITE}))
@@ -829,7 +830,7 @@ def q74_route_by_stored_types(spark, sf):
 
 
 @query("SELECT 'left' AS what, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS n UNION ALL SELECT 'denied', 0")
-def q75_sudo_update(spark, sf):
+def q103_sudo_update(spark, sf):
     """With sudo nothing is routed, and nothing is denied, in the application graph either."""
     q = table_quads(read(spark, sf, "customer"), "customer", columns=["c_acctbal"])
     debt = lambda view: match(view, "?c", NS + "c_acctbal", "?b").where(num("b") < 0)
@@ -839,7 +840,7 @@ def q75_sudo_update(spark, sf):
 
 
 @query("SELECT a.conv_id AS c, a.turn AS t, EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.role <> a.role) AS answered FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = a.role AND b.turn < a.turn)")
-def q76_correlated_exists(spark, sf):
+def q104_correlated_exists(spark, sf):
     """The first turn of each role in a conversation, and whether a later one of another role follows: filters inside EXISTS compare
     with variables outside."""
     q = mapped(spark, sf, "conversations")
@@ -857,7 +858,7 @@ SHARES = "(r.l = d.l OR r.s = d.s OR r.k = d.k OR r.t = d.t)"
 
 
 @query(f"SELECT d.doc_id AS d, tag AS what FROM {LOOSE} JOIN {RULES} ON {FITS} UNION ALL SELECT d.doc_id, 'minus' FROM {LOOSE} WHERE NOT EXISTS (SELECT 1 FROM {RULES} WHERE {FITS} AND {SHARES}) UNION ALL SELECT d.doc_id, 'exists' FROM {LOOSE} WHERE EXISTS (SELECT 1 FROM {RULES} WHERE tag < 'd' AND {FITS})")
-def q77_four_unbound(spark, sf):
+def q105_four_unbound(spark, sf):
     """Documents of which language, source, size and label may be unbound meet rules with UNDEF in the same four places."""
     d = bgp(mapped(spark, sf, "documents"), ("?d", NS + "doc_id", "?id"), ("?d", NS + "n_chars", "?n"), ("?d", NS + "lang", "?lang"), ("?d", NS + "source", "?source"))
     d = d.bind("l", F.when(num("n") >= 500, F.col("lang"))).bind("s", F.when(num("n") < 4000, F.col("source")))
@@ -876,7 +877,7 @@ BIG = "100000000000000000000"
 
 
 @query(f"SELECT g, CASE WHEN hi * 10 % 10 = 5 THEN hi::varchar ELSE hi::hugeint::varchar END AS hi, le, gt, same, unlike FROM (SELECT doc_id // 10 AS g, max(v) AS hi, count(*) FILTER (v <= {BIG}.0::decimal(38, 1) + 100.5) AS le, count(*) FILTER (v > {BIG}.0::decimal(38, 1) + 100.5) AS gt, 0::bigint AS same, count(*) AS unlike FROM (SELECT doc_id, {BIG}.0::decimal(38, 1) + CASE doc_id % 3 WHEN 2 THEN 0 ELSE doc_id + (doc_id % 3) * 0.5::decimal(2, 1) END AS v FROM documents) GROUP BY 1)")
-def q78_number_order(spark, sf):
+def q106_number_order(spark, sf):
     """Integers, decimals and doubles that a double can't tell apart, in one exact order; NaN is equal to nothing."""
     s = match(mapped(spark, sf, "documents"), "?d", NS + "doc_id", "?k").df
     k = num("k").cast("decimal(38,0)")
@@ -891,7 +892,7 @@ def q78_number_order(spark, sf):
 
 
 @query("SELECT doc_id AS d, sha256(text) AS text, lang AS tag, 0::bigint AS bad FROM documents WHERE text IS NOT NULL")
-def q80_nquads_round_trip(spark, sf):
+def q108_nquads_round_trip(spark, sf):
     """Whole texts as lines of N-Quads, with every other line in disorder (blanks, a comment), read again."""
     folder = fresh(spark, "lines")
     lines = nquads(table_quads(read(spark, sf, "documents"), "documents", columns=["text"], predicate=NS + "text"))
@@ -905,7 +906,7 @@ def q80_nquads_round_trip(spark, sf):
 
 
 @query("SELECT doc_id AS d, lang AS l, n_chars::bigint AS n, 1 AS times FROM documents WHERE lang IS NOT NULL AND n_chars IS NOT NULL")
-def q81_template_blank_nodes(spark, sf):
+def q109_template_blank_nodes(spark, sf):
     """CONSTRUCT with a blank node in three triples, and INSERT with one in two: each document has its own, and its triples meet."""
     s = bgp(mapped(spark, sf, "documents"), ("?d", NS + "doc_id", "?id"), ("?d", NS + "lang", "?l"), ("?d", NS + "n_chars", "?n"))
     p = lambda x: T.iri(NS + x)
@@ -916,3 +917,17 @@ def q81_template_blank_nodes(spark, sf):
     changes = cut(U.instantiate(s.select("d", "n"), [("?d", NS + "about", "_:x"), ("_:x", NS + "n", "?n")], "insert", 0))
     stored = bgp(changes, ("?d", NS + "about", "?x"), ("?x", NS + "n", "?n")).df.select("d", F.col("n").alias("again"))
     return built.join(seen, "a").join(stored, "d").where(F.col("n") == F.col("again")).select(F.regexp_extract(F.col("d")["lex"], "[0-9]+$", 0).cast("long").alias("d"), lex("l"), num("n").cast("long").alias("n"), "times")
+
+
+@query("SELECT d.doc_id AS d, lang AS l, source AS s, toxic AS t FROM documents d JOIN labels USING (doc_id) WHERE lang IS NOT NULL AND source IS NOT NULL AND toxic IS NOT NULL")
+def q120_ids(spark, sf):
+    """Patterns over 8-byte ids: documents' stars, whose joins by subject need no exchange, met by labels through equal numbers."""
+    quads = document_quads(spark, sf, "doc_id", "lang", "source").unionByName(table_quads(read(spark, sf, "labels"), "labels", columns=["doc_id", "toxic"]))
+    ids = encode(quads)
+    star_ = lambda s, *patterns: reduce(join, [ids.match(s, NS + p, o) for p, o in patterns])
+    documents = exists(star_("?d", ("doc_id", "?k"), ("lang", "?l"), ("source", "?s")), ids.match("?d", T.RDF_TYPE, NS + "documents"))
+    labels = exists(star_("?x", ("doc_id", "?k"), ("toxic", "?t")), ids.match("?x", T.RDF_TYPE, NS + "labels")).select("k", "t")
+    found = ids.decoded(Solutions(join(documents, labels).df.select("k", "l", "s", "t"))).df
+    out = cut(found.select(num("k").cast("long").alias("d"), lex("l"), lex("s"), num("t").cast("int").alias("t")))
+    ids.drop()
+    return out
