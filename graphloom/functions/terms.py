@@ -378,6 +378,18 @@ def ends(a: Column, b: Column) -> Column:
     return F.when(compatible(a, b), F.endswith(text(a), text(b)))
 
 
+def strbefore(a: Column, b: Column) -> Column:
+    """STRBEFORE: what stands before b, with a's type and tag; a simple empty text where b is not in a; an error if they don't fit."""
+    at = F.position(text(b), text(a))
+    return F.when(compatible(a, b), F.when(at > 0, wrap(F.substring(text(a), F.lit(1), at - 1), a)).otherwise(literal("")))
+
+
+def strafter(a: Column, b: Column) -> Column:
+    """STRAFTER: what stands after b; else as strbefore()."""
+    at, found = F.position(text(b), text(a)), wrap(F.substring(text(a), F.position(text(b), text(a)) + F.length(text(b)), F.length(text(a))), a)
+    return F.when(compatible(a, b), F.when(at > 0, found).otherwise(literal("")))
+
+
 def hashed(t: Column, how: str) -> Column:
     """MD5, SHA1, SHA256, SHA384 and SHA512 of a simple text; an error for other terms."""
     s = F.when(is_literal(t) & (t["dt"] == XSD + "string"), t["lex"]).cast("binary")
@@ -422,9 +434,29 @@ def rand() -> Column:
 
 
 def resolved(t: Column, base: str) -> Column:
-    """IRI() of a text or an IRI; what has no scheme is set behind the base."""
+    """IRI() of a text or an IRI under BASE: what has no scheme is set behind the base's scheme (//...), host (/...), text up to the fragment
+    (#...), path (?...), or folder; steps . and .. are taken."""
+    import re
+
+    scheme, host, path, query = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?", base).groups(default="")
+    folder = path[: path.rfind("/") + 1] or ("/" if host else "")
     s = F.coalesce(F.when(is_iri(t), t["lex"]), text(t))
-    return iri(F.when(s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), s).otherwise(F.concat(F.lit(base), s)))
+    absolute = s.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    full = (
+        F.when(absolute, s)
+        .when(s.startswith("//"), F.concat(F.lit(scheme), s))
+        .when(s.startswith("/"), F.concat(F.lit(scheme + host), s))
+        .when(s.startswith("#") | (s == ""), F.concat(F.lit(scheme + host + path + query), s))
+        .when(s.startswith("?"), F.concat(F.lit(scheme + host + path), s))
+        .otherwise(F.concat(F.lit(scheme + host + folder), s))
+    )
+    head, tail = F.regexp_extract(full, r"^([^?#]*)", 1), F.regexp_extract(full, r"^[^?#]*(.*)$", 1)
+    root, steps = F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)", 1), F.split(F.regexp_extract(head, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?(.*)$", 1), "/")
+    # a step back takes the one before, never the empty one that the path begins with
+    back = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))
+    taken = F.aggregate(steps, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", back(out)).otherwise(F.concat(out, F.array(x))))
+    whole = F.concat(root, F.array_join(taken, "/"), F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")), tail)
+    return iri(F.when(~absolute & head.rlike(r"/\.\.?(/|$)"), whole).otherwise(full))
 
 
 def encode_for_uri(s: Column) -> Column:

@@ -10,7 +10,7 @@ from graphloom.plans import access as acl
 from graphloom.plans import updates as U
 from graphloom.sources.nquads import read_nquads
 from graphloom.sources.quads import SCHEMA, read_version, write_version
-from graphloom.streaming.deltas import publish, since, subscribe
+from graphloom.streaming.deltas import folder_target, publish, since, subscribe, to_all
 
 X = "http://x/"
 
@@ -114,3 +114,59 @@ def test_one_or_more_has_no_longest_walk(spark):
     got = [tuple(r) for r in P.one_or_more(d).collect()]
     assert len(got) == len(want) and set(got) == want
     assert P.one_or_more(d.where("false")).isEmpty()
+
+
+def test_strings_before_and_after_keep_their_tags(spark):
+    a, bare = T.literal("abcabc", lang="en"), T.literal("abc")
+    shown = lambda c: (lambda v: v and (v["lex"], v["lang"]))(value(spark, c))
+    assert shown(T.strbefore(a, T.literal("c"))) == ("ab", "en") and shown(T.strafter(a, T.literal("b", lang="en"))) == ("cabc", "en")
+    assert shown(T.strbefore(a, T.literal("z"))) == ("", None) == shown(T.strafter(a, T.literal("z")))
+    assert shown(T.strbefore(a, T.literal(""))) == ("", "en") and shown(T.strafter(a, T.literal(""))) == ("abcabc", "en")
+    assert shown(T.strbefore(a, T.literal("c", lang="fr"))) is None and shown(T.strafter(bare, T.literal("c", lang="en"))) is None
+    assert shown(T.strbefore(T.literal(5), bare)) is None and shown(T.strafter(bare, bare)) == ("", None)
+
+
+def test_iris_under_a_base(spark):
+    base = "http://a/b/c/d;p?q"
+    want = {"g:h": "g:h", "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", "": "http://a/b/c/d;p?q", ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x"}
+    got = spark.createDataFrame([(k,) for k in want], "k string").select("k", T.resolved(T.literal(F.col("k")), base)["lex"].alias("v")).collect()
+    assert {r["k"]: r["v"] for r in got} == want
+    assert value(spark, T.resolved(T.literal(5), base)) is None and value(spark, T.resolved(T.iri("x"), base))["lex"] == "http://a/b/c/x"
+
+
+def test_positive(spark):
+    assert value(spark, T.positive(T.literal(-5)))["lex"] == "-5" and value(spark, T.positive(T.literal("x"))) is None
+
+
+def test_groups_of_a_request(spark):
+    own = lambda session: spark.createDataFrame([("1",), ("2",), (None,), ("1",)] if session == "me" else [], "v string")
+    specs = [acl.Group("public", (acl.GraphSpec(X + "p"),), usage=frozenset({acl.READ})), acl.Group("own", (acl.GraphSpec(X + "own/"),), access=own), acl.Cleanup("clean")]
+    mine = acl.resolve(specs, "me")
+    assert mine[0] == ("public", ()) and sorted(mine[1:3]) == [("own", ("1",)), ("own", ("2",))] and mine[3] == ("clean", ())
+    assert acl.resolve(specs, "me", sudo=True) is None and acl.resolve(specs) == [("public", ()), ("clean", ())]
+    text = acl.encode_groups([*mine, mine[0]])
+    assert acl.decode_groups(text) == mine == acl.resolve(specs, None, stated=text) and acl.decode_groups(None) is None and acl.decode_groups("[]") == []
+    assert acl.used_groups(specs, mine, acl.READ) == mine[:3] and ("public", ()) not in acl.used_groups(specs, mine, acl.WRITE) and acl.used_groups(specs, mine, acl.WRITE)[-1] == ("clean", ())
+    assert {r["g"] for r in acl.graph_names(spark, specs, "me").collect()} == {*acl.readable_graphs(specs, mine)} == {X + "p", X + "own/1", X + "own/2"}
+
+
+def test_excluded_types(spark):
+    """A resource of an excluded type alone does not match; another type of its own does."""
+    changes = U.data(quads(spark, q("any", "a", "name", "A"), q("any", "b", "name", "B"), q("any", "c", "name", "C")), "insert", 0)
+    stored = quads(spark, q("g", "a", T.RDF_TYPE, "Draft"), q("g", "b", T.RDF_TYPE, "Draft"), q("h", "b", T.RDF_TYPE, "Page"))
+    specs = [acl.Group("pages", (acl.GraphSpec(X + "pages", acl.ByType(without=(X + "Draft",))),)), acl.Cleanup("clean")]
+    out = acl.route(changes, stored, specs, [("pages", ()), ("clean", ())])
+    assert {(r["s"], r["g"]) for r in out.collect()} == {(X + "b", X + "pages")}
+
+
+def test_delta_targets(spark, tmp_path):
+    """Each target gets each batch; a batch that is delivered again replaces itself."""
+    rows = U.data(quads(spark, *(q("g", f"s{i}", "p", "o") for i in range(25))), "insert", 3)
+    publish(rows, "call", str(tmp_path / "feed"))
+    seen = []
+    target = to_all(lambda df, n: seen.append((n, df.count())), folder_target(str(tmp_path / "sets"), size=10))
+    subscribe(spark, str(tmp_path / "feed"), target, str(tmp_path / "cp")).awaitTermination(60)
+    assert [n for _, n in seen] == [25]
+    target(spark.read.parquet(str(tmp_path / "feed")), seen[0][0])
+    bodies = [r["body"] for r in spark.read.json(str(tmp_path / "sets")).collect()]
+    assert len(bodies) == 3 and sum(b.count('"graph":') for b in bodies) == 25 and all(b.startswith('{"changeSets":[{"insert":[') for b in bodies)
