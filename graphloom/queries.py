@@ -15,7 +15,7 @@ from .operators.patterns import Solutions, ask, bgp, collection, construct, exis
 from .plans import access as acl
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
-from .shared import cut, delete, fresh
+from .shared import cut, delete, fresh, released
 from .sources.ids import encode
 from .sources.nquads import bad_lines, nquads, read_nquads
 from .sources.quads import BASE_GRAPH, NS, mapped, star, table_quads, tables
@@ -759,7 +759,7 @@ def in_a_store(spark, quads: DataFrame, work: Callable[[Store], DataFrame]) -> D
     """What work makes of a store of these quads; the store is deleted once that is written."""
     store = Store(spark, fresh(spark, "store"), slots=2, buckets=8)
     store.create(quads)
-    out = cut(work(store))
+    out = released(spark, lambda: work(store))
     delete(spark, store.folder)
     return out
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +48,9 @@ def write(df: DataFrame, folder: str, *by: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there, so a lost executor costs nothing upstream. Columns compress
     well in such a table, and later reads take only those that they need."""
-    folder = os.path.join(checkpoint_dir(df.sparkSession), f"cut-{uuid.uuid4().hex}")
+    folder = fresh(df.sparkSession, "cut")
+    if (made := MADE.get()) is not None:
+        made.append(folder)
     out = write(df, folder)
     FOLDERS[out] = folder
     return out
@@ -56,6 +60,25 @@ def cut(df: DataFrame) -> DataFrame:
 FOLDERS: WeakKeyDictionary = WeakKeyDictionary()
 
 
+#: The tables that released() is to delete.
+MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+def released(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() gives, as a table of its own; all other tables that cut() has written meanwhile are deleted, so that nothing of a lazy
+    result stays in the shared folder but itself."""
+    token = MADE.set([])
+    try:
+        out = write(make(), folder := fresh(spark, "cut"))
+        FOLDERS[out] = folder
+        return out
+    finally:
+        made = MADE.get()
+        MADE.reset(token)
+        for f in made:
+            delete(spark, f)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables that cut() has written, once what is made from them has been written too."""
     for t in tables:

@@ -170,3 +170,16 @@ def test_delta_targets(spark, tmp_path):
     target(spark.read.parquet(str(tmp_path / "feed")), seen[0][0])
     bodies = [r["body"] for r in spark.read.json(str(tmp_path / "sets")).collect()]
     assert len(bodies) == 3 and sum(b.count('"graph":') for b in bodies) == 25 and all(b.startswith('{"changeSets":[{"insert":[') for b in bodies)
+
+
+def test_released_results_leave_nothing_else(spark):
+    from graphloom import shared
+
+    folder = shared.checkpoint_dir(spark)
+    before = {*shared.names(spark, folder)}
+    old = quads(spark, *(q("g", f"s{i}", "p", "o") for i in range(9)))
+    gone = U.fold(U.data(old.where(F.col("s") == X + "s1"), "delete", 0))
+    out = shared.released(spark, lambda: U.commit(old, gone))
+    assert out.count() == 8 and len({*shared.names(spark, folder)} - before) == 1
+    shared.drop(out)
+    assert {*shared.names(spark, folder)} == before
