@@ -13,6 +13,7 @@ from .operators import aggregates as A
 from .operators import paths as P
 from .operators.patterns import Solutions, ask, bgp, collection, construct, exists, join, match, minus, optional, union, values, with_exists
 from .plans import access as acl
+from .plans import example
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
 from .shared import cut, delete, fresh, released
@@ -931,3 +932,14 @@ def q120_ids(spark, sf):
     out = cut(found.select(num("k").cast("long").alias("d"), lex("l"), lex("s"), num("t").cast("int").alias("t")))
     ids.drop()
     return out
+
+
+@query(f"SELECT '{NS}graphs/dump' AS g, {iri_sql('documents', 'doc_id')} AS s, 1 + (n_chars IS NOT NULL)::bigint + (source IS NOT NULL)::bigint AS n FROM documents UNION ALL SELECT '{NS}graphs/dump', {iri_sql('labels', 'doc_id')}, 1 + (toxic IS NOT NULL)::bigint + (quality IS NOT NULL)::bigint FROM labels UNION ALL SELECT '{NS}graphs/users/' || (SELECT source FROM documents WHERE doc_id = 0), {iri_sql('labels', 'doc_id')}, 1 FROM labels WHERE toxic IS NOT NULL")
+def q121_example_configuration(spark, sf):
+    """Documents and labels, written by the session of document 0, whose source is its user."""
+    quads = document_quads(spark, sf, "n_chars", "source").unionByName(table_quads(read(spark, sf, "labels"), "labels", columns=["toxic", "quality"]))
+    d = mapped(spark, sf, "documents")
+    user_of = lambda session: match(d, session or NS + "none", NS + "source", "?u").df.select(F.col("u")["lex"].alias("u"))
+    specs = example.groups(user_of)
+    routed_ = acl.route(U.data(quads, "insert", 0), quads.where(F.lit(False)), specs, acl.resolve(specs, NS + "documents/0"))
+    return routed_.groupBy("g", "s").agg(F.count("*").alias("n"))
