@@ -573,10 +573,10 @@ def q34b_sequence_orders(spark, sf):
     return walk.groupBy(F.col("o")["lex"].alias("a")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) AS n, count(o_custkey) + count(o_orderstatus) + count(o_totalprice) AS back FROM orders")
+@query("SELECT count(o_orderkey) + count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS n, count(o_custkey) + count(o_orderstatus) + count(o_totalprice) + count(o_orderdate) + count(o_orderpriority) AS back FROM orders")
 def q38b_negated_orders(spark, sf):
-    """!(a | o_cust), and its inverse !^(a | o_cust | o_orderkey), over four columns of the orders."""
-    q = table_quads(read(spark, sf, "orders"), "orders", columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    """!(a | o_cust), and its inverse !^(a | o_cust | o_orderkey), over all columns of the orders."""
+    q = table_quads(read(spark, sf, "orders"), "orders", columns=["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     forward = P.negated(q, T.RDF_TYPE, NS + "o_cust").agg(F.count("*").alias("n"))
     back = P.negated(q, inverse_predicates=(T.RDF_TYPE, NS + "o_cust", NS + "o_orderkey")).agg(F.count("*").alias("back"))
     return forward.join(F.broadcast(back))  # a row each
