@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import IRI, RDF_TYPE
-from ..shared import cut, once
+from ..shared import cut, once, spread
 from ..sources.quads import IDENTITY, NS
 from ..sources.store import BROADCAST_BYTES, Store, bytes_of
 
@@ -187,14 +187,14 @@ def resource_types(changes: DataFrame, stored: DataFrame | Store) -> DataFrame:
     ones, from any graph. Only these resources are looked for: in the store's own table of types, or by a semi-join with the quads,
     which are not shuffled while the resources are few."""
     is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
-    new = changes.where(is_type & (F.col("op") == "insert")).groupBy(F.col("s").alias("resource")).agg(F.array(F.max_by("o", "seq")).alias("types"))
+    new = spread(changes.where(is_type & (F.col("op") == "insert")), "s").groupBy(F.col("s").alias("resource")).agg(F.array(F.max_by("o", "seq")).alias("types"))
     asked = changes.select(F.explode(F.array("s", F.when(F.col("o_kind") == IRI, F.col("o")))).alias("resource")).where("resource is not null").distinct()
-    asked = cut(asked.join(new, "resource", "left_anti"))
+    asked = cut(asked.join(new.hint("merge"), "resource", "left_anti"))
     if isinstance(stored, Store):
         found = stored.types(asked)
     else:
         quads = stored.where(is_type).select(F.col("s").alias("resource"), F.col("o").alias("type"))
-        found = quads.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked, "resource", "left_semi")
+        found = quads.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked.hint("merge"), "resource", "left_semi")
     return new.unionByName(found.groupBy("resource").agg(F.collect_set("type").alias("types")))
 
 
@@ -207,12 +207,12 @@ def route(changes: DataFrame, stored: DataFrame | Store, specs: list, allowed: A
     chosen = active(specs, allowed, WRITE)
     by_type = [g.constraint for spec, _ in chosen if isinstance(spec, Group) for g in spec.graphs if isinstance(g.constraint, ByType)]
     changes = once(changes) if by_type else changes
-    now = changes.drop("g").distinct()
+    now = spread(changes.drop("g"), "s", "p", "o").distinct()
     none = F.array().cast("array<string>")
     types = resource_types(changes, stored) if by_type else None
-    now = now.join(types.select(F.col("resource").alias("s"), F.col("types").alias("s_types")), "s", "left") if by_type else now.withColumn("s_types", none)
+    now = now.join(types.select(F.col("resource").alias("s"), F.col("types").alias("s_types")).hint("merge"), "s", "left") if by_type else now.withColumn("s_types", none)
     if any(c.inverse.names or c.inverse.others for c in by_type):
-        now = now.join(types.select(F.col("resource").alias("o"), F.col("types").alias("o_types")), "o", "left")
+        now = now.join(types.select(F.col("resource").alias("o"), F.col("types").alias("o_types")).hint("merge"), "o", "left")
     else:
         now = now.withColumn("o_types", none)
     graphs = F.array(F.lit(APPLICATION_GRAPH))
@@ -230,6 +230,7 @@ def unwritten(changes: DataFrame, routed: DataFrame, allowed: Allowed | None = (
     if allowed is None:
         return changes.select(*(c for c in IDENTITY if c != "g")).where(F.lit(False))
     triple = [c for c in IDENTITY if c != "g"]
-    kept = routed.where(F.col("g") != APPLICATION_GRAPH).select(*(F.col(c).alias(f"{c}__r") for c in triple)).distinct()
+    kept = routed.where(F.col("g") != APPLICATION_GRAPH).select(*(F.col(c).alias(f"{c}__r") for c in triple))
+    kept = spread(kept, "s__r", "p__r", "o__r").distinct()
     on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in triple])
-    return changes.select(*triple).distinct().join(kept, on, "left_anti")
+    return spread(changes.select(*triple), "s", "p", "o").distinct().join(kept, on, "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import IRI
 from ..operators.patterns import Solutions, blank, has_blanks, numbered
-from ..shared import cut, drop, once
+from ..shared import cut, drop, once, spread
 from ..sources.quads import IDENTITY
 from ..sources.store import BROADCAST_BYTES, Store, bytes_of, last_of, overlay
 from .access import APPLICATION_GRAPH, READ_FOR_WRITE, read_view, readable_graphs, route, unwritten
@@ -45,7 +45,8 @@ def instantiate(solutions: Solutions, templates: list[tuple], op: str, seq: int,
         return F.when(legal, F.struct(g["lex"].alias("g"), s["lex"].alias("s"), s["kind"].alias("s_kind"), p["lex"].alias("p"), o["lex"].alias("o"), o["kind"].alias("o_kind"), o["dt"].alias("o_dt"), o["lang"].alias("o_lang"), o["lex"].try_cast("double").alias("o_num")))
 
     rows = numbered(solutions) if has_blanks(templates) else solutions.df
-    quads = rows.select(F.explode(F.array(*map(quad, templates))).alias("q")).where("q is not null").select("q.*").distinct()
+    quads = rows.select(F.explode(F.array(*map(quad, templates))).alias("q")).where("q is not null").select("q.*")
+    quads = spread(quads, "s", "p", "o").distinct()
     return quads.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), *COLUMNS)
 
 
@@ -56,7 +57,7 @@ def modify(solutions: Solutions, delete: list[tuple], insert: list[tuple], seq:
 
 
 def data(quads: DataFrame, op: str, seq: int) -> DataFrame:
-    return quads.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), *COLUMNS).distinct()
+    return spread(quads, "s", "p", "o").select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), *COLUMNS).distinct()
 
 
 def add_graph(quads: DataFrame, a: str, b: str, seq: int = 0) -> DataFrame:
@@ -67,7 +68,7 @@ def add_graph(quads: DataFrame, a: str, b: str, seq: int = 0) -> DataFrame:
 
 def fold(changes: DataFrame) -> DataFrame:
     """The last operation on each quad."""
-    return changes.groupBy(*IDENTITY).agg(F.max_by("op", "seq").alias("op"), F.first("o_num").alias("o_num"))
+    return spread(changes, "s", "p", "o").groupBy(*IDENTITY).agg(F.max_by("op", "seq").alias("op"), F.first("o_num").alias("o_num"))
 
 
 def commit(quads: DataFrame, folded: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -16,7 +16,7 @@ from .plans import access as acl
 from .plans import example
 from .plans import updates as U
 from .plans.pruning import Class, graphs_for, subject_types
-from .shared import cut, delete, fresh, released
+from .shared import cut, delete, fresh, released, spread
 from .sources.ids import encode
 from .sources.nquads import bad_lines, nquads, read_nquads
 from .sources.quads import BASE_GRAPH, NS, mapped, star, table_quads, tables
@@ -652,7 +652,7 @@ def q60_exact_decimals(spark, sf):
 def q61_typed_aggregates(spark, sf):
     """Sums are terms: they go into the next expression as they are."""
     s = bgp(mapped(spark, sf, "customer"), ("?c", NS + "c_nationkey", "?k"), ("?c", NS + "c_custkey", "?x"), ("?c", NS + "c_mktsegment", "?m"))
-    out = s.df.groupBy("k").agg(A.total(F.col("x")).alias("s"), A.total(T.strlen(F.col("m")), distinct=True).alias("d"), A.average(F.col("x"), distinct=True).alias("a"), A.count_solutions("m", distinct=True).alias("n"))
+    out = spread(s.df, "x").groupBy("k").agg(A.total(F.col("x")).alias("s"), A.total(T.strlen(F.col("m")), distinct=True).alias("d"), A.average(F.col("x"), distinct=True).alias("a"), A.count_solutions("m", distinct=True).alias("n"))
     zero = T.arithmetic("+", F.col("s"), T.literal(0))
     return out.select(num("k").cast("int").alias("k"), zero["lex"].alias("s"), lex("d"), F.round(num("a"), 4).alias("a"), "n")
 

@@ -86,6 +86,16 @@ def drop(*tables: DataFrame) -> None:
             delete(t.sparkSession, folder)
 
 
+#: Up to so many parts, Spark writes each row of a shuffle straight to its part's file and keeps none in memory.
+MOST_PARTS = 200
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to tasks by a hash of columns. A table of one row group is read by one task, however many rows it makes of it: if they hardly
+    repeat, what groups them before the shuffle holds all of them there. Dealt first, a task holds its part only."""
+    return df.repartition(min(MOST_PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
 def once(df: DataFrame) -> DataFrame:
     """df itself if cut() has written it, else cut(df)."""
     return df if df in FOLDERS else cut(df)

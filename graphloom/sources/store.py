@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import IRI, RDF_TYPE
-from ..shared import cut, drop, names, publish, size, write
+from ..shared import cut, drop, names, publish, size, spread, write
 from .quads import IDENTITY, SCHEMA
 
 #: Changes of up to so many bytes are sent to the tasks that read what they change; beyond, both sides are shuffled.
@@ -42,16 +42,18 @@ def bytes_of(df: DataFrame) -> int:
 def last_of(changes: DataFrame, identity: list[str], by: str) -> DataFrame:
     """The last operation on each row, with what the row carries besides."""
     rest = [c for c in changes.columns if c not in (*identity, by)]
-    return changes.groupBy(*identity).agg(F.max_by(F.struct(*rest), by).alias("last__")).select(*identity, "last__.*")
+    return spread(changes, *[c for c in identity if c != "g"]).groupBy(*identity).agg(F.max_by(F.struct(*rest), by).alias("last__")).select(*identity, "last__.*")
 
 
 def overlay(rows: DataFrame, folded: DataFrame, identity: list[str], small: bool) -> DataFrame:
     """rows, a set, without those that `folded` names, and with those that it inserts. small: folded is sent to the tasks that read
-    rows, which are not shuffled then. Equal hashes are looked at field by field."""
+    rows, which are not shuffled then; else never, however few bytes its files have, since rows are far larger in memory. Equal hashes are
+    looked at field by field."""
     columns = rows.columns
-    keys = folded.select(F.xxhash64(*identity).alias("h__"), *(F.col(c).alias(f"{c}__r") for c in identity))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in identity], F.xxhash64(*identity) == F.col("h__"))
-    kept = rows.join(F.broadcast(keys) if small else keys, same, "left_anti")
+    keys = folded.select(F.xxhash64(*identity).alias("h__r"), *(F.col(c).alias(f"{c}__r") for c in identity))
+    rows = rows.withColumn("h__", F.xxhash64(*identity))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in identity], F.col("h__") == F.col("h__r"))
+    kept = rows.join(F.broadcast(keys), same, "left_anti") if small else spread(rows, "h__").join(spread(keys, "h__r").hint("merge"), same, "left_anti")
     return kept.select(*columns).unionByName(folded.where("op = 'insert'").select(*columns))
 
 
@@ -145,7 +147,7 @@ class Store:
         asked = {r[0] for r in resources.select(self.typed.part.alias("part")).distinct().collect()}  # numbers of parts
         rows = self._rows(self.typed, {p: x for p, x in parts.items() if p in asked})
         wanted = resources.select("resource").distinct()
-        return rows.join(F.broadcast(wanted) if bytes_of(wanted) <= BROADCAST_BYTES else wanted, "resource", "left_semi").select("resource", "type").distinct()
+        return rows.join(F.broadcast(wanted) if bytes_of(wanted) <= BROADCAST_BYTES else wanted.hint("merge"), "resource", "left_semi").select("resource", "type").distinct()
 
     # writing
 
@@ -178,7 +180,7 @@ class Store:
 
     def create(self, quads: DataFrame) -> int:
         """Version 0."""
-        return self._commit(quads.select(*self.quads.columns).dropDuplicates(IDENTITY).withColumn("op", F.lit("insert")), 0, {"quads": {}, "types": {}}, "rewrite")
+        return self._commit(spread(quads.select(*self.quads.columns), "s", "p", "o").dropDuplicates(IDENTITY).withColumn("op", F.lit("insert")), 0, {"quads": {}, "types": {}}, "rewrite")
 
     def commit(self, changes: DataFrame, how: str = "rewrite") -> int:
         """changes: folded ones, a last operation (op) for each quad. Gives the new version."""

@@ -1,7 +1,11 @@
 """Queries do their whole job, and no task holds more than its share."""
 
+import pytest
 
+from graphloom.plans import access as acl
+from graphloom.plans import updates as U
 from graphloom.queries import QUERIES, SQL
+from graphloom.sources.quads import NS, table_quads
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +15,34 @@ def test_negated_sets_see_all_columns(spark):
     n, back = QUERIES["q38b_negated_orders"](spark, SF).select("n", "back").first()
     assert (n, back) == (6 * orders.count(), 5 * orders.count())
     assert all(f"count({c})" in SQL["q38b_negated_orders"] for c in orders.columns)
+
+
+def plan(df) -> list[str]:
+    return df._jdf.queryExecution().executedPlan().toString().split("\n")
+
+
+def customers(spark):
+    return table_quads(spark.read.parquet(f"{SF}/customer.parquet"), "customer")
+
+
+@pytest.mark.parametrize("name", ["distinct", "fold", "route", "typed"])
+def test_rows_are_dealt_before_they_are_grouped(spark, name):
+    """The task that reads a file of one row group groups none of the rows that it makes."""
+    q = customers(spark)
+    changes = U.data(q, "insert", 0)
+    made = {
+        "distinct": lambda: changes,
+        "fold": lambda: U.fold(changes),
+        "route": lambda: acl.route(changes, q.where("false"), [acl.Group("g", (acl.GraphSpec(NS + "g", acl.ByPrefix(NS)),))], [("g", ())]),
+        "typed": lambda: QUERIES["q61_typed_aggregates"](spark, SF),
+    }[name]()
+    lines = plan(made)
+    last = max(i for i, x in enumerate(lines) if "Exchange" in x)
+    assert any("Aggregate" in x for x in lines) and not any("Aggregate" in x for x in lines[last:])
+
+
+def test_large_changes_are_not_broadcast(spark):
+    """However few bytes their files have."""
+    q = customers(spark)
+    after = U.commit(q, U.fold(U.data(q, "delete", 0)), broadcast_bytes=0)
+    assert not any("BroadcastExchange" in x for x in plan(after)) and after.count() == 0
