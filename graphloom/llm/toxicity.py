@@ -1,9 +1,11 @@
 """A convolutional text classifier for toxicity, trained in numpy and scored on whole texts.
 
 Words are hashed twice into two embedding tables, which are set side by side; filters of several widths run over the words, and
-each filter's maximum over the text goes to a logistic layer. Only the text is an input. Training takes at most `sample`
-labelled ids of each class, those with the smallest hashes, one text of each, and of these as many, in that order, as have `words` words
-together; a fifth of them is kept apart to calibrate. There the
+each filter's maximum over the text goes to a logistic layer. Only the text is an input. Training takes all labelled ids outside the
+held-out fold, one text of each; a fifth of them is kept apart to calibrate. They are dealt to shards of about `words` words, whose
+tasks go through their rows once a round, all from the same weights; a weight is then the mean over the shards that moved it, so
+that words which few shards have are learnt as fast. A single shard does all its rounds in one task. For the calibration, all
+of its rows are counted by language, label and score, in steps of 1/STEPS of the logistic scale. There the
 scale is shifted so that the best cut of all languages is at `at`, and each language with enough positives gets its own cut
 (column cut; rejected: score >= cut).
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,12 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, cut, id_crc_mod, small
+from ..sources.store import bytes_of
+from .common import batches, cut, drop, id_crc_mod, small
 
 WORD = re.compile(r"\w+").findall
 BUCKETS = 1 << 18
 PAD = BUCKETS
 WIDTHS = (1, 2, 3)
+#: Labels of up to so many bytes are sent to the tasks that read the texts.
+LABEL_BYTES = 16 << 20
+#: Scores are counted in this many steps to 1 of the logistic scale, within LIMIT of 0.
+STEPS, LIMIT = 512, 40
+#: Weights that a task hands on together; shards at most (each hands on all weights that it has moved).
+BLOCK, MOST_SHARDS = 4096, 256
 #: Words that a worker remembers the hashes of.
 KEPT = 500_000
 
@@ -64,10 +74,21 @@ class Model:
             e[PAD] = 0
         self.filter = [r.normal(0, 0.5, (w * 2 * self.dim, self.filters)).astype(np.float32) for w in WIDTHS]
         self.out = np.concatenate([r.normal(0, 0.3, len(WIDTHS) * self.filters), [0.0]]).astype(np.float32)
+        self.seen = [np.full(p.shape, 1e-6, np.float32) for p in self.parts()]
 
     def parts(self) -> list[np.ndarray]:
         return [*self.embed, *self.filter, self.out]
 
+    def flat(self) -> np.ndarray:
+        """All weights, then the sums of squares of their gradients."""
+        return np.concatenate([p.ravel() for p in (*self.parts(), *self.seen)])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for p in (*self.parts(), *self.seen):
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+
     def pooled(self, hashes: list[np.ndarray], at: bool = False) -> tuple:
         """The maxima of all filters for each text, not below 0; with at, also the words and where each maximum is."""
         pad = np.full(max(WIDTHS) - 1, PAD << 20 | PAD, np.int64)
@@ -100,24 +121,24 @@ class Model:
             cut = cut[n:]
         return best @ self.out[:-1] + self.out[-1] + self.shift
 
-    def fit(self, hashes: list[np.ndarray], y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.05, rare: int = 5, steps: int = 150) -> None:
-        """Adagrad on the logistic loss, the rarer class weighted up; gradients reach only the words at the maxima. Words in fewer
-        than `rare` texts stay without an embedding: they can only be learnt by heart. Few rows get more epochs, up to `steps` batches."""
-        epochs = max(epochs, -(-steps // max(1, len(y) // batch)))
-        once = np.concatenate([np.unique(h) for h in hashes])
-        for e, bucket in zip(self.embed, (once >> 20, once & 0xFFFFF), strict=True):
-            e[np.bincount(bucket, minlength=BUCKETS + 1) < rare] = 0
-        r, weight = np.random.default_rng(self.seed), np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
-        seen = [np.full(p.shape, 1e-6, np.float32) for p in self.parts()]
+    def forget(self, texts_with: list[np.ndarray], rare: int = 5) -> None:
+        """Words in fewer than `rare` texts stay without an embedding: they can only be learnt by heart."""
+        for e, n in zip(self.embed, texts_with, strict=True):
+            e[n < rare] = 0
+
+    def fit(self, batches: Iterator[tuple[list[np.ndarray], np.ndarray]], share: float, rate: float = 0.05) -> None:
+        """Adagrad on the logistic loss over batches of texts and labels, the rarer class weighted up (share: that of label 1); gradients
+        reach only the words at the maxima."""
+        seen, high, low = self.seen, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)
 
         def step(k: int, p: np.ndarray, at, g: np.ndarray) -> None:
             seen[k][at] += g * g
             p[at] -= rate * g / np.sqrt(seen[k][at])
 
-        for _ in range(epochs):
-            for some in np.array_split(r.permutation(len(y)), max(1, len(y) // batch)):
-                top, words, x, where = self.pooled([hashes[i] for i in some], at=True)
-                error = ((1 / (1 + np.exp(-(top @ self.out[:-1] + self.out[-1]))) - y[some]) * weight[some] / len(some)).astype(np.float32)
+        for hashes, y in batches:
+            if len(hashes):
+                top, words, x, where = self.pooled(hashes, at=True)
+                error = ((1 / (1 + np.exp(-(top @ self.out[:-1] + self.out[-1]))) - y) * np.where(y == 1, high, low) / len(y)).astype(np.float32)
                 back = (error[:, None] * self.out[:-1]) * (top > 0)
                 ends, rows, grads = np.concatenate([error @ top, [error.sum()]]), [], []
                 for k, (w, f) in enumerate(zip(WIDTHS, self.filter, strict=True)):
@@ -139,54 +160,149 @@ class Model:
                 step(len(seen) - 1, self.out, ..., ends.astype(np.float32))
 
 
-def best_cut(score: np.ndarray, y: np.ndarray, clean: float = 4.0) -> float:
-    """The middle of the gap in the scores at which the shares of both classes that fall right are best; a share of clean texts
-    weighs `clean` times as much, so that few calibration rows don't put the cut among them."""
-    order = np.argsort(score)
-    s, t = score[order], y[order]
-    gain = clean * (np.cumsum(t == 0) / max(1, (y == 0).sum())) - (np.cumsum(t == 1) / max(1, (y == 1).sum()))
+def best_cut(step: np.ndarray, clean_rows: np.ndarray, toxic_rows: np.ndarray, clean: float = 4.0) -> float:
+    """Rows of both labels at ascending steps of the scores. The middle of the gap in the scores at which the shares of both classes that
+    fall right are best; a share of clean texts weighs `clean` times as much, so that few calibration rows don't put the cut among them."""
+    gain = clean * (np.cumsum(clean_rows) / max(1, clean_rows.sum())) - (np.cumsum(toxic_rows) / max(1, toxic_rows.sum()))
     i = int(np.argmax(gain))
-    return float((s[i] + s[min(i + 1, len(s) - 1)]) / 2)
+    return float((step[i] + step[min(i + 1, len(step) - 1)]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, sample: int = 5000, at: float = 0.7, positives: int = 20, words: int = 8_000_000) -> Model | None:
-    """docs: doc_id, text and, for the cuts only, lang. sample: labelled ids of each class at most; words: of their texts
-    together, which is what comes to the driver (8 bytes each)."""
+def labelled(docs: DataFrame, labels: DataFrame, folds: int, held_out: int) -> DataFrame:
+    """(doc_id, h, lang, toxic, n): one text, as hashes of its n words, of each labelled id outside the held-out fold; written."""
     ours = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(id_crc_mod(folds) != held_out).where("doc_id is not null and toxic in (0, 1)").distinct()
-    picked = [ours.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
-    picked = F.broadcast(picked[0].unionByName(picked[1]))  # 2 * sample rows of two numbers
     lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang")).join(picked, "doc_id")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"), lang.alias("lang")).join(F.broadcast(ours) if bytes_of(ours) <= LABEL_BYTES else ours, "doc_id")
     # an id with several rows or labels gives one
     texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text", "lang", "toxic")).alias("m")).select("doc_id", "m.text", "m.lang", "m.toxic")
 
     def hashed(b: pa.RecordBatch) -> pa.RecordBatch:
         h = Hashes()
-        return pa.RecordBatch.from_arrays([pa.array([h.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64())), b.column(2), b.column(3), b.column(0)], names=["h", "lang", "toxic", "doc_id"])
-
-    found = cut(texts.select("doc_id", "text", "lang", "toxic").mapInArrow(batches(hashed), "h array<long>, lang string, toxic int, doc_id long"))
-    # numbers of 2 * sample rows at most: which rows are within the bound of words
-    sizes = found.select("doc_id", F.size("h").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
-    inside = np.cumsum(sizes.column("n").to_numpy()) <= words
-    if not inside.all():
-        ids = pa.table({"doc_id": sizes.column("doc_id").filter(pa.array(inside))})
-        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(ids)), "doc_id")
-    got = found.toArrow().sort_by("doc_id")
-    y, langs = got.column("toxic").to_numpy(), np.array(got.column("lang").to_pylist(), object)
-    hashes = [x.values.to_numpy(zero_copy_only=False) if len(x) else np.zeros(0, np.int64) for x in got.column("h")]
-    if not 0 < y.sum() < len(y):
+        each = [h.of(t) for t in b.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(each, pa.list_(pa.int64())), b.column(2), b.column(3), pa.array([*map(len, each)], pa.int64())], names=["doc_id", "h", "lang", "toxic", "n"])
+
+    return cut(texts.select("doc_id", "text", "lang", "toxic").mapInArrow(batches(hashed), "doc_id long, h array<long>, lang string, toxic int, n long"))
+
+
+def arrays(column: pa.Array) -> list[np.ndarray]:
+    return [x.values.to_numpy(zero_copy_only=False) if len(x) else np.zeros(0, np.int64) for x in column]
+
+
+def texts_with(rows: DataFrame) -> list[np.ndarray]:
+    """How many texts have a word in each bucket of the two tables."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros((2, BUCKETS + 1), np.int64)
+        for whole in it:
+            for b in small(whole):
+                once = np.concatenate([np.zeros(0, np.int64), *(np.unique(h) for h in arrays(b.column(0)))])
+                own += [np.bincount(x, minlength=BUCKETS + 1) for x in (once >> 20, once & 0xFFFFF)]
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(own.ravel()[at])], names=["at", "n"])
+
+    got = rows.select("h").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket at most
+    out = np.zeros(2 * (BUCKETS + 1), np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return [*out.reshape(2, -1)]
+
+
+def rounds(rows: DataFrame, model: Model, n: int, share: float, shards: int, epochs: int, batch: int) -> None:
+    """Trains the model on rows (h, toxic, shard) of n texts."""
+    inside = epochs if shards == 1 else 1
+    before = model.flat()
+    size = -(-len(before) // BLOCK) * BLOCK
+
+    def train_shard(shared, r: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, order = Model(), np.random.default_rng([m_seed, r])
+        m.load(shared.value)
+        kept = []
+
+        def pieces() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for whole in it:
+                for b in small(whole):
+                    some = arrays(b.column(0)), b.column(1).to_numpy().astype(np.float32)
+                    if inside > 1:
+                        kept.append(some)
+                    else:
+                        yield from mixed(*some)
+            if kept:  # one shard: about `words` words
+                hashes, y = [h for x, _ in kept for h in x], np.concatenate([y for _, y in kept])
+                for _ in range(inside):
+                    yield from mixed(hashes, y)
+
+        def mixed(hashes: list[np.ndarray], y: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+            for some in np.array_split(order.permutation(len(y)), max(1, len(y) // batch)):
+                yield [hashes[i] for i in some], y[some]
+
+        m.fit(pieces(), share)
+        own = np.zeros(size, np.float32)
+        own[: len(before)] = m.flat() - shared.value
+        own = own.reshape(-1, BLOCK)
+        used = np.flatnonzero(own.any(1))
+        if len(used):
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * BLOCK, pa.int32()), pa.array(own[used].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), values], names=["block", "v"])
+
+    def mean(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, times = np.zeros(BLOCK), np.zeros(BLOCK)
+        for t in tables:
+            for x in t.column("v"):
+                v = x.values.to_numpy()
+                total += v
+                times += v != 0
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / np.maximum(times, 1)).astype(np.float32)], pa.list_(pa.float32()))], names=["block", "v"])
+
+    m_seed, sc = model.seed, rows.sparkSession.sparkContext
+    dealt = rows.select("h", "toxic", "shard").repartition(shards, "shard").select("h", "toxic")
+    for r in range(epochs // inside):
+        shared = sc.broadcast(before)  # the weights: two tables of BUCKETS rows, twice 8 MB
+        moved = dealt.mapInArrow(lambda it, shared=shared, r=r: train_shard(shared, r, it), "block int, v array<float>")
+        means = cut(moved.groupBy("block").applyInArrow(mean, "block int, v array<float>"))  # written, so that a round's shuffle files go
+        got = means.toArrow()  # the weights' blocks
+        drop(means)
+        after = np.zeros(size, np.float32).reshape(-1, BLOCK)
+        for block, v in zip(got.column("block").to_pylist(), got.column("v"), strict=True):
+            after[block] = v.values.to_numpy()
+        before = before + after.ravel()[: len(before)]
+        shared.unpersist()
+    model.load(before)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, at: float = 0.7, positives: int = 20, words: int = 2_000_000, epochs: int = 8, batch: int = 64, steps: int = 150) -> Model | None:
+    """docs: doc_id, text and, for the cuts only, lang. words: of a shard, about. Few rows get more epochs, up to `steps` batches."""
+    found = labelled(docs, labels, folds, held_out)
+    many = found.count() > 50
+    found = found.withColumn("apart", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0) & F.lit(many))
+    counts = {(a, t): (n, size) for a, t, n, size in found.groupBy("apart", "toxic").agg(F.count("*"), F.sum("n")).collect()}
+    rows_of = lambda a, t: counts.get((a, t), (0, 0))[0]
+    if not (rows_of(False, 0) and rows_of(False, 1)):
+        drop(found)
         return None
-    apart = np.random.default_rng(1).random(len(y)) < 0.2 if len(y) > 50 else np.zeros(len(y), bool)
+    n, size = (sum(x[i] for (a, _), x in counts.items() if not a) for i in (0, 1))
+    enough = batch * steps // epochs  # rows of a shard for which `epochs` rounds are enough
+    shards = max(1, min(MOST_SHARDS, size // words, n // enough))
+    training = found.where("not apart").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(shards)))
     model = Model()
-    model.fit([h for h, a in zip(hashes, apart, strict=True) if not a], y[~apart].astype(np.float32))
-    use = apart if 0 < y[apart].sum() < apart.sum() else ~apart
-    raw, t = model.logits([h for h, u in zip(hashes, use, strict=True) if u]), y[use]
-    model.shift = float(np.log(at / (1 - at)) - best_cut(raw, t))
-    raw = raw + model.shift
-    for name in {x for x in langs[use] if x is not None}:
-        own = langs[use] == name
-        if positives <= t[own].sum() <= own.sum() - positives:
-            model.cuts[name] = float(1 / (1 + np.exp(-best_cut(raw[own], t[own]))))
+    model.forget(texts_with(training))
+    rounds(training, model, n, rows_of(False, 1) / n, shards, max(epochs, -(-steps // max(1, n // batch))), batch)
+    model.seen = None
+    use = found.where("apart") if rows_of(True, 0) and rows_of(True, 1) else found.where("not apart")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def stepped(b: pa.RecordBatch) -> pa.RecordBatch:
+        z = np.clip(shared.value.logits(arrays(b.column(0))), -LIMIT, LIMIT)
+        return pa.RecordBatch.from_arrays([pa.array(np.rint(z * STEPS).astype(np.int32)), b.column(1), b.column(2)], names=["step", "lang", "toxic"])
+
+    tallied = use.select("h", "lang", "toxic").mapInArrow(batches(stepped), "step int, lang string, toxic int")
+    tallied = cut(tallied.groupBy("lang", "step").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")))
+    counted = lambda rows: [c.to_numpy().astype(float) for c in rows.groupBy("step").agg(F.sum("clean"), F.sum("toxic")).orderBy("step").toArrow().columns]
+    step, clean, toxic = counted(tallied)  # 2 * LIMIT * STEPS rows at most
+    model.shift = float(np.log(at / (1 - at)) - best_cut(step / STEPS, clean, toxic))
+    own = tallied.where("lang is not null").groupBy("lang").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where((F.col("c") >= positives) & (F.col("t") >= positives))
+    for (name,) in own.select("lang").collect():  # languages with a cut of their own
+        step, clean, toxic = counted(tallied.where(F.col("lang") == name))
+        model.cuts[name] = float(1 / (1 + np.exp(-(best_cut(step / STEPS, clean, toxic) + model.shift))))
+    drop(found, tallied)
     return model
 
 
