@@ -9,7 +9,7 @@ words + 1), the softmax whose only feature is the word itself; the model sums to
 
 Weights are trained by distributed gradient updates. In the first, all weights are zero, so every probability is the
 unigram one, and the gradient over all training rows comes from counts of features with classes and words. Each further update takes a
-disjoint share of the training rows (one in `share`, so shares grow with the input): its tasks sum the gradient in numpy over
+disjoint share of the training rows (one in `share`; there are as many updates as shares, so that all rows are used): its tasks sum the gradient in numpy over
 sparse batches. The curvature of a weight, by which its step is divided, follows from the counts. A task gives its sums in
 blocks of BLOCK numbers; blocks are added in two levels, first those of tasks with the same remainder, so that no group grows with the
 number of tasks but by a 256th of it.
@@ -266,7 +266,7 @@ def train(rows: DataFrame, counts: DataFrame, hot: int, classes: int, inside: in
     return model.trained()
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = 65_536, classes: int = 32, inside: int = 32, buckets: int = 2048, fine: int = 256, rounds: int = 2, share: int = 8) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = 65_536, classes: int = 32, inside: int = 32, buckets: int = 2048, fine: int = 256, rounds: int = 2, share: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     rows = row_key(docs).withColumn("held_out", id_crc_mod(folds) == held_out)
     training = rows.where("not held_out")
