@@ -23,7 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays: five-word shingles, similarity 0.8 or more."""
+    """One document of each component of near copies stays: SimHash fingerprints of five-word shingles within 3 bits, or similarity 0.8 or
+    more of these shingles."""
     return one_of_each(docs)
 
 

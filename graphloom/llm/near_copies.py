@@ -1,9 +1,11 @@
-"""Near copies for the pipeline: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies for the pipeline: pairs of texts whose SimHash fingerprints over five-word shingles differ in at most 3 bits, found by the
+grid of `simhash`, and pairs whose sets of these shingles have a Jaccard similarity of 0.8 or more. Both are links of one graph, of each
+of whose components a row stays.
 
 At 0.8 the bits of two fingerprints differ by about ten of 64, too many for an exact cover of the grid of `simhash`: its cells would
-hold most of the corpus. So candidates come from MinHash: `BANDS` keys of `ROWS` minima each. Two sets of similarity s share no key
+hold most of the corpus. So candidates of the second kind come from MinHash: `BANDS` keys of `ROWS` minima each. Two sets of similarity s share no key
 with probability (1 - s**4)**25: 2e-6 at 0.8. Every candidate pair that isn't yet in one component is then tested on the sets
-themselves, so nothing below 0.8 is linked.
+themselves.
 
 A key that n texts share could give n * n pairs. Up to `few` texts of a key all meet; of a larger key, some texts (`first`, by a
 fixed hash) are centres that the others meet. What has come into one component by then needs no test any more. Larger keys that
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, drop
 from .components import stars
-from .simhash import classed, survivors, take
+from .simhash import classed, fingerprint, survivors, take
+from .simhash import links as fingerprint_links
 
 BANDS, ROWS = 25, 4
 _R = np.random.default_rng(80)
@@ -177,7 +180,25 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 80, first: int = 2
     return edges
 
 
+def close_prints(docs: DataFrame, shingle: int = 5, bits: int = 3) -> DataFrame:
+    """(a, b): links between classes that span every component of fingerprints within this number of bits."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(0).to_pylist()
+        node, fp = (np.fromiter((f(t) for t in texts), np.uint64, len(texts)).view(np.int64) for f in (class_of, lambda t: fingerprint(t, shingle)))
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(fp)], names=["node", "fp"])
+
+    prints = cut(docs.select(F.coalesce(docs["text"], F.lit("")).alias("text")).mapInArrow(batches(run), "node long, fp long").distinct())
+    first = cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    near = fingerprint_links(first.select("fp"), bits)
+    end = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    apart = near.join(end("a"), "a").join(end("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    out = cut(apart.unionByName(prints.join(first, "fp").where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b"))))
+    drop(prints, first, near)
+    return out
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each component: the one of its smallest id, a null id being the largest."""
     classes = classed(docs, class_of)
-    return survivors(docs, classes, links(docs, classes))
+    return survivors(docs, classes, close_prints(docs).unionByName(links(docs, classes)))
