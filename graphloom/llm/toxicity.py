@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -212,36 +213,41 @@ def rounds(rows: DataFrame, model: Model, n: int, share: float, shards: int, epo
     before = model.flat()
     size = -(-len(before) // BLOCK) * BLOCK
 
-    def train_shard(shared, r: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def train_shard(start: np.ndarray, r: int, run: Iterator[tuple[list[np.ndarray], np.ndarray]]) -> pa.RecordBatch:
         m, order = Model(), np.random.default_rng([m_seed, r])
-        m.load(shared.value)
-        kept = []
-
-        def pieces() -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-            for whole in it:
-                for b in small(whole):
-                    some = arrays(b.column(0)), b.column(1).to_numpy().astype(np.float32)
-                    if inside > 1:
-                        kept.append(some)
-                    else:
-                        yield from mixed(*some)
-            if kept:  # one shard: about `words` words
-                hashes, y = [h for x, _ in kept for h in x], np.concatenate([y for _, y in kept])
-                for _ in range(inside):
-                    yield from mixed(hashes, y)
+        m.load(start)
 
         def mixed(hashes: list[np.ndarray], y: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
             for some in np.array_split(order.permutation(len(y)), max(1, len(y) // batch)):
                 yield [hashes[i] for i in some], y[some]
 
-        m.fit(pieces(), share)
+        if inside > 1:  # one shard, of few rows or words
+            kept = [*run]
+            hashes, y = [h for x, _ in kept for h in x], np.concatenate([y for _, y in kept])
+            m.fit((x for _ in range(inside) for x in mixed(hashes, y)), share)
+        else:
+            m.fit((x for some in run for x in mixed(*some)), share)
         own = np.zeros(size, np.float32)
-        own[: len(before)] = m.flat() - shared.value
+        own[: len(start)] = m.flat() - start
         own = own.reshape(-1, BLOCK)
         used = np.flatnonzero(own.any(1))
-        if len(used):
-            values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * BLOCK, pa.int32()), pa.array(own[used].ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), values], names=["block", "v"])
+        values = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1) * BLOCK, pa.int32()), pa.array(own[used].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), values], names=["block", "v"])
+
+    def of_shards(start: np.ndarray, r: int, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A file's rows lie by shard."""
+
+        def pieces() -> Iterator[tuple[int, tuple[list[np.ndarray], np.ndarray]]]:
+            for whole in it:
+                for b in small(whole):
+                    shard = b.column(2).to_numpy()
+                    ends = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), b.num_rows]
+                    for i, j in zip(ends[:-1], ends[1:], strict=True):
+                        if j > i:
+                            yield int(shard[i]), (arrays(b.column(0).slice(i, j - i)), b.column(1).slice(i, j - i).to_numpy().astype(np.float32))
+
+        for _, run in groupby(pieces(), lambda x: x[0]):
+            yield train_shard(start, r, (some for _, some in run))
 
     def mean(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, times = np.zeros(BLOCK), np.zeros(BLOCK)
@@ -253,10 +259,11 @@ def rounds(rows: DataFrame, model: Model, n: int, share: float, shards: int, epo
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / np.maximum(times, 1)).astype(np.float32)], pa.list_(pa.float32()))], names=["block", "v"])
 
     m_seed, sc = model.seed, rows.sparkSession.sparkContext
-    dealt = rows.select("h", "toxic", "shard").repartition(shards, "shard").select("h", "toxic")
+    # written by shard once, so that a round shuffles weights alone; a file is one row group, which one task reads
+    dealt = cut(rows.select("h", "toxic", "shard").repartition(shards, "shard").sortWithinPartitions("shard"))
     for r in range(epochs // inside):
         shared = sc.broadcast(before)  # the weights: two tables of BUCKETS rows, twice 8 MB
-        moved = dealt.mapInArrow(lambda it, shared=shared, r=r: train_shard(shared, r, it), "block int, v array<float>")
+        moved = dealt.mapInArrow(lambda it, shared=shared, r=r: of_shards(shared.value, r, it), "block int, v array<float>")
         means = cut(moved.groupBy("block").applyInArrow(mean, "block int, v array<float>"))  # written, so that a round's shuffle files go
         got = means.toArrow()  # the weights' blocks
         drop(means)
@@ -265,6 +272,7 @@ def rounds(rows: DataFrame, model: Model, n: int, share: float, shards: int, epo
             after[block] = v.values.to_numpy()
         before = before + after.ravel()[: len(before)]
         shared.unpersist()
+    drop(dealt)
     model.load(before)
 
 
