@@ -25,24 +25,22 @@ any length are scored whole.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, id_crc_mod, row_key, small
 
-END = ""
 BLOCK = 8192
-NEVER = -1e9
-#: Words that a task counts before it hands them on; bytes of text that are scored together.
-KEPT, SLICE = 200_000, 2 << 20
+#: Bytes of text whose words a task counts before it hands them on, and that are learnt from or scored together.
+COUNTED, SLICE = 8 << 20, 2 << 20
 KINDS = 3
 
 
@@ -68,8 +66,6 @@ class Model:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.class_share = mass / mass.sum()
             self.word_share = np.nan_to_num(own / own.sum(1, keepdims=True))
-            self.class_bias = np.maximum(np.log(self.class_share), NEVER).astype(np.float32)
-            self.word_bias = np.maximum(np.log(self.word_share), NEVER).astype(np.float32)
         self.of_class = np.zeros((KINDS * self.buckets, self.classes + 1), np.float32)
         self.of_word = np.zeros((KINDS * self.fine * self.classes, self.inside), np.float32)
 
@@ -77,17 +73,16 @@ class Model:
     def size(self) -> int:
         return self.of_class.size + self.of_word.size
 
-    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """Word numbers of all texts, each with its end (unknown: the number after the last), their sizes, the unknown words, and
-        the numbers that contexts are hashed from."""
-        words = [[*t.encode().lower().split(), b""] for t in texts]
-        size, unknown = np.fromiter(map(len, words), np.int64, len(words)), len(self.words)
-        flat = [*chain.from_iterable(words)]
-        ids = np.fromiter(map(self.index.get, flat, repeat(unknown)), np.int64, len(flat))
-        cold = [flat[i] for i in np.flatnonzero(ids == unknown).tolist()]
-        context = ids.copy()
-        context[ids == unknown] = np.fromiter(map(zlib.crc32, cold), np.int64, len(cold)) + unknown
-        return ids, size, cold, context
+    def read(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, pa.Array], np.ndarray]:
+        """Word numbers of all texts, each with its end (unknown: the number after the last), their sizes, the tokens as places in a
+        list of the words that occur, and the numbers that contexts are hashed from. Each of these words is looked up once."""
+        words, size = tokens(texts)
+        coded, unknown = words.dictionary_encode(), len(self.words)
+        each, at = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = np.fromiter(map(self.index.get, each, repeat(unknown)), np.int64, len(each))
+        context, cold = ids.copy(), np.flatnonzero(ids == unknown)
+        context[cold] = np.fromiter((zlib.crc32(each[i]) for i in cold.tolist()), np.int64, len(cold)) + unknown
+        return ids[at], size, (at, coded.dictionary), context[at]
 
     def features(self, context: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows of each token's features, in the table of classes and (but for the class) in that of words; before a text stands
@@ -98,29 +93,38 @@ class Model:
         two = np.concatenate([[end], one[:-1]])
         two[first] = end
         hashes = [(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20) for x in (one + 1, one * 31337 + two + 7, two * 3 + 2)]
-        rows = lambda n: np.stack([k * n + (h % np.uint64(n)).astype(np.int64) for k, h in enumerate(hashes)])
+        rest = lambda h, n: h % np.uint64(n) if n & (n - 1) else h & np.uint64(n - 1)
+        rows = lambda n: np.stack([k * n + rest(h, n).astype(np.int64) for k, h in enumerate(hashes)])
         return rows(self.buckets), rows(self.fine)
 
+    def powers(self) -> tuple[np.ndarray, np.ndarray]:
+        """exp of both tables' weights, the first kind's times the unigram shares, so that a softmax is a product of rows, divided by its
+        sum. An odd number of columns gets one of zeros. Steps are clipped, so single precision has room but for very many of them."""
+        out = []
+        for table, share in ((self.of_class, self.class_share), (self.of_word, self.word_share)):
+            kind = np.float32 if KINDS * max(table.max(initial=0), -table.min(initial=0)) < 60 else np.float64
+            e = np.zeros((len(table), table.shape[1] + table.shape[1] % 2), kind)
+            e[:, : table.shape[1]] = np.exp(table, dtype=kind)
+            first = e[: len(e) // KINDS, : table.shape[1]]
+            first *= np.tile(share, (len(first) // max(1, share.size // table.shape[1]), 1))
+            out.append(e)
+        return out[0], out[1]
+
     def class_logs(self, rows: np.ndarray) -> np.ndarray:
-        z = self.of_class[rows[0]] + self.of_class[rows[1]] + self.of_class[rows[2]] + self.class_bias
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        with np.errstate(divide="ignore"):
+            return np.log(softmax(self.powers()[0], rows))[:, : self.classes + 1]
 
     def word_logs(self, rows: np.ndarray, k: np.ndarray) -> np.ndarray:
         """log P(word | class k, context) for the words of that class."""
-        at = rows * self.classes + k
-        z = self.of_word[at[0]] + self.of_word[at[1]] + self.of_word[at[2]] + self.word_bias[k]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return z
+        with np.errstate(divide="ignore"):
+            return np.log(softmax(self.powers()[1], rows * self.classes + k))[:, : self.inside]
 
     def targets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class, and place in it, of each token."""
         k = np.where(ids < self.vocabulary, ids // self.inside, self.classes)
         return k, np.where(ids < self.vocabulary, ids % self.inside, 0)
 
-    def count(self, texts: list[str], total: np.ndarray) -> None:
+    def count(self, texts: pa.Array | list[str], total: np.ndarray) -> None:
         """Adds how often each feature stands with each class and word."""
         ids, size, _, context = self.read(texts)
         rows, fine = self.features(context, size)
@@ -131,29 +135,30 @@ class Model:
             a += np.bincount(r * (self.classes + 1) + k, minlength=a.size)
             b += np.bincount((f[known] * self.classes + k[known]) * self.inside + j[known], minlength=b.size)
 
-    def gradient(self, texts: list[str], total: np.ndarray, block: int = 16384) -> None:
+    def gradient(self, texts: pa.Array | list[str], total: np.ndarray, block: int = 8192) -> None:
         """Adds these texts' gradient."""
         ids, size, _, context = self.read(texts)
         rows, fine = self.features(context, size)
         k, j = self.targets(ids)
-        a, b = total[: self.of_class.size].reshape(self.of_class.shape), total[self.of_class.size :].reshape(self.of_word.shape)
-
-        def add(table: np.ndarray, rows: np.ndarray, logs: np.ndarray, target: np.ndarray) -> None:
-            p = np.negative(np.exp(logs, out=logs), out=logs)
-            p[np.arange(len(p)), target] += 1
-            for r in rows:
-                order = np.argsort(r, kind="stable")
-                r = r[order]
-                start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                table[r[start]] += np.add.reduceat(p[order], start)
+        of_class, of_word = self.powers()
+
+        def less(powers: np.ndarray, rows: Callable[[slice], np.ndarray], target: np.ndarray) -> np.ndarray:
+            """The sums of the probabilities less the targets. Two neighbouring columns are added as one complex number."""
+            pair = np.complex64 if powers.dtype == np.float32 else np.complex128
+            out, half = np.zeros(powers.size // 2, pair), np.arange(powers.shape[1] // 2)
+            for i in range(0, len(target), block):
+                s = slice(i, i + block)
+                at = rows(s)
+                p = softmax(powers, at)
+                p[np.arange(len(p)), target[s]] -= 1
+                for r in at:
+                    np.add.at(out, ((r * len(half))[:, None] + half).ravel(), p.view(pair).ravel())
+            return out.view(powers.dtype).reshape(powers.shape)
 
-        for i in range(0, len(ids), block):
-            s = slice(i, i + block)
-            add(a, rows[:, s], self.class_logs(rows[:, s]), k[s])
-            here = np.flatnonzero(k[s] < self.classes) + i
-            if len(here):
-                at = fine[:, here]
-                add(b, at * self.classes + k[here], self.word_logs(at, k[here]), j[here])
+        a, b = total[: self.of_class.size].reshape(self.of_class.shape), total[self.of_class.size :].reshape(self.of_word.shape)
+        a -= less(of_class, lambda s: rows[:, s], k)[:, : a.shape[1]]
+        known = np.flatnonzero(k < self.classes)
+        b -= less(of_word, lambda s: fine[:, known[s]] * self.classes + k[known[s]], j[known])[:, : b.shape[1]]
 
     def first(self, counts: np.ndarray) -> None:
         """The update from zero, whose gradient the counts give."""
@@ -173,48 +178,59 @@ class Model:
         self.seen = self.curved = None
         return self
 
-    def score(self, texts: list[str], block: int = 16384) -> tuple[np.ndarray, ...]:
+    def score(self, texts: pa.Array | list[str], block: int = 8192) -> tuple:
         """For each text: tokens, hot tokens, base score of these, model's score but for the share of rare words in their class;
-        and (text, word) of each token that is not hot."""
-        ids, size, cold, context = self.read(texts)
+        and of the words that are not hot (text, word, how often)."""
+        ids, size, (at, each), context = self.read(texts)
         of_text = np.repeat(np.arange(len(size)), size)
         rows, fine = self.features(context, size)
         k, j = self.targets(ids)
+        of_class, of_word = self.powers()
         s = np.empty(len(ids))
         for i in range(0, len(ids), block):
-            z = self.class_logs(rows[:, i : i + block])
-            s[i : i + block] = z[np.arange(len(z)), k[i : i + block]]
+            p = softmax(of_class, rows[:, i : i + block])
+            s[i : i + block] = np.log10(p[np.arange(len(p)), k[i : i + block]])
             here = np.flatnonzero(k[i : i + block] < self.classes) + i
-            if len(here):
-                s[here] += self.word_logs(fine[:, here], k[here])[np.arange(len(here)), j[here]]
-        s /= np.log(10)
+            p = softmax(of_word, fine[:, here] * self.classes + k[here])
+            s[here] += np.log10(p[np.arange(len(p)), j[here]])
         known, hot = ids < self.vocabulary, ids < len(self.words)
         middle = hot & ~known
         s[middle] += np.log10((self.counts[ids[middle]] + 1) / (self.rare + self.rare_words + 1))
         base = np.zeros(len(ids))
         base[hot] = np.log10((self.counts[ids[hot]] + 1) / (self.tokens + self.distinct + 1))
         add = lambda x: np.bincount(of_text, x, len(size))
-        return size, add(hot).astype(np.int64), add(base), add(s), [*zip(of_text[~hot].tolist(), cold, strict=True)]
+        pairs, times = np.unique(of_text[~hot] * len(each) + at[~hot], return_counts=True)
+        return size, add(hot).astype(np.int64), add(base), add(s), (pairs // len(each), each.take(pa.array(pairs % len(each))), times)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, c): how often each word, or the end, stands in the texts. A task adds up before the shuffle, KEPT words at a time."""
+def softmax(powers: np.ndarray, at: np.ndarray) -> np.ndarray:
+    p = np.take(powers, at[0], axis=0)
+    for r in at[1:]:
+        p *= np.take(powers, r, axis=0)
+    p /= np.einsum("ij->i", p)[:, None]
+    return p
+
+
+def tokens(texts: pa.Array | list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, each text's followed by an end, and their numbers."""
+    texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+    # the blank after each text leaves an empty last part, the end; other empty parts go
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts, " ", "")))
+    words, stop = parts.flatten(), parts.offsets.to_numpy()
+    stop = stop - stop[0]
+    kept = pc.binary_length(words).to_numpy() > 0
+    kept[stop[1:] - 1] = True
+    return words.filter(pa.array(kept)), np.diff(np.concatenate([[0], np.cumsum(kept)])[stop])
 
-    def pairs(own: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.binary()).cast(pa.string()), pa.array(own.values(), pa.int64())], names=["word", "c"])
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
-        for b in (x for whole in it for x in small(whole, SLICE)):
-            for text in b.column(0).to_pylist():
-                own.update(text.encode().lower().split())
-            own[END.encode()] += b.num_rows
-            if len(own) > KEPT:
-                yield pairs(own)
-                own.clear()
-        yield pairs(own)
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, c): how often each word, or the end, stands in the texts. A task adds up before the shuffle, COUNTED bytes at a time."""
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        own = pc.value_counts(tokens(b.column(0))[0])
+        return pa.RecordBatch.from_arrays([own.field("values"), own.field("counts")], names=["word", "c"])
 
-    return rows.select("text").mapInArrow(count, "word string, c long").where("c > 0").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.select("text").mapInArrow(lambda it: (count(x) for whole in it for x in small(whole, COUNTED) if x.num_rows), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def summed(rows: DataFrame) -> DataFrame:
@@ -243,9 +259,9 @@ def train(rows: DataFrame, counts: DataFrame, hot: int, classes: int, inside: in
             m = shared.value
             own = np.zeros(-(-m.size // BLOCK) * BLOCK, np.float64)
             for b in it:
-                texts = b.column(0).to_pylist()
-                for i in range(0, len(texts), 500):
-                    getattr(m, how)(texts[i : i + 500], own[: m.size])
+                for x in small(b, SLICE):
+                    if x.num_rows:
+                        getattr(m, how)(x.column(0), own[: m.size])
             own = own.reshape(-1, BLOCK)
             used, turn = np.flatnonzero(own.any(1)), TaskContext.get().partitionId() % 256
             if len(used):
@@ -275,14 +291,13 @@ def lm_scores(docs: DataFrame, folds: int = 7, held_out: int = 2, hot: int = 65_
     shared = docs.sparkSession.sparkContext.broadcast(model)  # `hot` words and fixed tables
 
     def score(b: pa.RecordBatch) -> pa.RecordBatch:
-        size, known, base, s, cold = shared.value.score(b.column("text").to_pylist())
-        merged = Counter(cold)
-        n, rest = len(size), len(merged)
-        at = pa.array(np.concatenate([np.arange(n), np.fromiter((t for t, _ in merged), np.int64, rest)]))
+        size, known, base, s, (of, cold, often) = shared.value.score(b.column("text"))
+        n, rest = len(size), len(of)
+        at = pa.array(np.concatenate([np.arange(n), of]))
         keys = [b.column(c).take(at) for c in ("k_id", "k_text", "doc_id", "held_out")]
         # a document's own row meets no word: its key is spread by its text
-        words = pa.array([*(b" %d" % x for x in b.column("k_text").to_pylist()), *(w for _, w in merged)], pa.binary()).cast(pa.string())
-        times = pa.array(np.concatenate([np.zeros(n, np.int64), np.fromiter(merged.values(), np.int64, rest)]))
+        words = pa.concat_arrays([pa.array([f" {x}" for x in b.column("k_text").to_pylist()], pa.string()), cold])
+        times = pa.array(np.concatenate([np.zeros(n, np.int64), often]))
         facts = [pa.array(np.concatenate([x, np.zeros(rest, x.dtype)])) for x in (size, known, base, s)]
         return pa.RecordBatch.from_arrays([*keys, words, times, *facts, pa.array(np.arange(n + rest) < n).cast(pa.int64())], names=names)
 

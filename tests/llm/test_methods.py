@@ -142,6 +142,42 @@ def test_language_model_learns_contexts(spark):
         table.ravel()[k] -= 1e-2
 
 
+def test_language_model_looks_words_up_once():
+    """However often they stand in a slice; and words, ends and gradients are those of the plain rules."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    m, _ = small_model()
+    m.index = Counted(m.index)
+    texts = ["w1 W7  nobody\x0bw1\x1cw2 " * 50, "", " \t ", "\u00c9 w3 "]
+    ids, size, (at, each), _ = m.read(texts)
+    plain = [w for t in texts for w in (*t.encode().lower().split(), b"")]
+    assert m.index.asked <= len({*plain}) and [each[i].as_py().encode() for i in at] == plain
+    assert size.tolist() == [len(t.encode().split()) + 1 for t in texts]
+    assert ids.tolist() == [m.words.index(w.decode()) if w.decode() in m.words else len(m.words) for w in plain]
+    m.of_class += np.random.default_rng(1).normal(0, 1, m.of_class.shape).astype(np.float32)
+    m.of_word += np.random.default_rng(2).normal(0, 1, m.of_word.shape).astype(np.float32)
+    got = np.zeros(m.size)
+    m.gradient(texts, got, block=32)
+    ids, size, _, context = m.read(texts)
+    rows, fine = m.features(context, size)
+    k, j = m.targets(ids)
+    a, b = np.zeros(m.of_class.shape), np.zeros(m.of_word.shape)
+    for t in range(len(ids)):
+        for r in rows[:, t]:
+            a[r] -= np.exp(m.class_logs(rows[:, t : t + 1]))[0]
+            a[r, k[t]] += 1
+        for f in fine[:, t] if k[t] < m.classes else ():
+            b[f * m.classes + k[t]] -= np.exp(m.word_logs(fine[:, t : t + 1], k[t : t + 1]))[0]
+            b[f * m.classes + k[t], j[t]] += 1
+    assert np.allclose(got, np.concatenate([a.ravel(), b.ravel()]), atol=1e-3)
+
+
 def plain_base(text):
     """The contract's patterns as they stand."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
