@@ -182,20 +182,31 @@ def dataset(quads: DataFrame, default: list[str] = (), named: list[str] = ()) ->
     return read_view(quads, [*default]), quads.where(F.col("g").isin(*named)) if named else quads.where(F.lit(False))
 
 
-def resource_types(changes: DataFrame, stored: DataFrame | Store) -> DataFrame:
+#: An object of more rows than this is a hot one: its types are sent to all tasks, and its rows meet in none.
+HOT = 10_000
+
+
+def resource_types(changes: DataFrame, stored: DataFrame | Store) -> tuple[DataFrame, DataFrame]:
     """(resource, types) of the changes' subjects and objects: the last type that the update itself gives a resource, else all stored
-    ones, from any graph. Only these resources are looked for: in the store's own table of types, or by a semi-join with the quads,
-    which are not shuffled while the resources are few."""
-    is_type = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)
-    new = spread(changes.where(is_type & (F.col("op") == "insert")), "s").groupBy(F.col("s").alias("resource")).agg(F.array(F.max_by("o", "seq")).alias("types"))
-    asked = changes.select(F.explode(F.array("s", F.when(F.col("o_kind") == IRI, F.col("o")))).alias("resource")).where("resource is not null").distinct()
-    asked = cut(asked.join(new.hint("merge"), "resource", "left_anti"))
+    ones, from any graph; and the hot objects with theirs, [] if they have none. Only these resources are looked for: in the store's own
+    table of types, or by a semi-join with the quads, which are not shuffled while the resources are few. Resources are added up in tasks
+    before they meet, and no row of the changes is joined, so a type or a country of very many rows makes no long task."""
+    given = (F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI) & (F.col("op") == "insert")
+    null = F.lit(None)
+    mine = F.struct(F.col("s").alias("resource"), F.when(given, F.col("o")).alias("type"), F.when(given, F.col("seq")).alias("at"), F.lit(0).alias("met"))
+    other = F.struct(F.col("o").alias("resource"), null.cast("string").alias("type"), null.cast(changes.schema["seq"].dataType).alias("at"), F.lit(1).alias("met"))
+    each = changes.select(F.explode(F.array_compact(F.array(mine, F.when(F.col("o_kind") == IRI, other)))).alias("r")).select("r.*")
+    each = cut(each.groupBy("resource").agg(F.max_by("type", "at").alias("type"), F.sum("met").alias("met")))
+    new = each.where("type is not null").select("resource", F.array("type").alias("types"))
+    asked = each.where("type is null").select("resource")
     if isinstance(stored, Store):
         found = stored.types(asked)
     else:
-        quads = stored.where(is_type).select(F.col("s").alias("resource"), F.col("o").alias("type"))
+        quads = stored.where((F.col("p") == RDF_TYPE) & (F.col("o_kind") == IRI)).select(F.col("s").alias("resource"), F.col("o").alias("type"))
         found = quads.join(F.broadcast(asked) if bytes_of(asked) <= BROADCAST_BYTES else asked.hint("merge"), "resource", "left_semi")
-    return new.unionByName(found.groupBy("resource").agg(F.collect_set("type").alias("types")))
+    types = new.unionByName(found.groupBy("resource").agg(F.collect_set("type").alias("types")))
+    hot = F.broadcast(each.where(F.col("met") > HOT).select("resource"))
+    return types, types.join(hot, "resource", "left_semi").unionByName(hot.withColumn("types", F.array().cast("array<string>"))).groupBy("resource").agg(F.flatten(F.collect_list("types")).alias("types"))
 
 
 def route(changes: DataFrame, stored: DataFrame | Store, specs: list, allowed: Allowed | None) -> DataFrame:
@@ -209,10 +220,15 @@ def route(changes: DataFrame, stored: DataFrame | Store, specs: list, allowed: A
     changes = once(changes) if by_type else changes
     now = spread(changes.drop("g"), "s", "p", "o").distinct()
     none = F.array().cast("array<string>")
-    types = resource_types(changes, stored) if by_type else None
+    types, hot = resource_types(changes, stored) if by_type else (None, None)
     now = now.join(types.select(F.col("resource").alias("s"), F.col("types").alias("s_types")).hint("merge"), "s", "left") if by_type else now.withColumn("s_types", none)
     if any(c.inverse.names or c.inverse.others for c in by_type):
-        now = now.join(types.select(F.col("resource").alias("o"), F.col("types").alias("o_types")).hint("merge"), "o", "left")
+        now = now.join(F.broadcast(hot.select(F.col("resource").alias("o"), F.col("types").alias("hot_types"))), "o", "left")
+        # only IRIs under an inverse rule are looked up; all other rows are dealt by keys that no resource has
+        asked = reduce(Column.__or__, [c.inverse(F.col("p")) for c in by_type]) & (F.col("o_kind") == IRI) & F.col("hot_types").isNull()
+        now = now.withColumn("key__", F.when(asked, F.col("o")).otherwise(F.concat(F.lit(" "), F.xxhash64("s", "p", "o").cast("string"))))
+        now = now.join(types.select(F.col("resource").alias("key__"), F.col("types").alias("cold_types")).hint("merge"), "key__", "left")
+        now = now.withColumn("o_types", F.coalesce("hot_types", "cold_types"))
     else:
         now = now.withColumn("o_types", none)
     graphs = F.array(F.lit(APPLICATION_GRAPH))

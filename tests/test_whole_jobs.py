@@ -46,3 +46,20 @@ def test_large_changes_are_not_broadcast(spark):
     q = customers(spark)
     after = U.commit(q, U.fold(U.data(q, "delete", 0)), broadcast_bytes=0)
     assert not any("BroadcastExchange" in x for x in plan(after)) and after.count() == 0
+
+
+def test_no_row_of_the_changes_meets_others_by_its_object(spark, monkeypatch):
+    """A type or a country of very many rows made one task of a join; its types are sent to all tasks instead."""
+    monkeypatch.setattr(acl, "HOT", 3)
+    q, nations = customers(spark), table_quads(spark.read.parquet(f"{SF}/nation.parquet"), "nation")
+    changes = U.data(q.unionByName(nations), "insert", 0)
+    types, hot = acl.resource_types(changes, q.where("false"))
+    assert not any("Join" in x for x in plan(types))
+    want = {r[0] for r in changes.where("o_kind = 2").groupBy("o").count().where("count > 3").select("o").collect()}
+    assert {r[0]: r[1] for r in hot.collect()} == {o: [NS + "nation"] if o.startswith(NS + "nation/") else [] for o in want}
+    rule = acl.ByType((NS + "nation",), predicates=acl.none_except(), inverse=acl.none_except(NS + "c_nation"))
+    specs = [acl.Group("l", (acl.GraphSpec(NS + "links", rule),)), acl.Cleanup("clean")]
+    stored = [(c, g) for c, g in ((changes, nations.where("false")), (U.data(q, "insert", 0), nations))]  # types given and stored
+    for c, s in stored:
+        got = acl.route(c, s, specs, [("l", ()), ("clean", ())])
+        assert got.count() == q.where(f"p = '{NS}c_nation'").count() and got.select("g").distinct().count() == 1
