@@ -616,7 +616,7 @@ def q46b_delete_data(spark, sf):
 def q56c_change_sets_orders(spark, sf):
     """JSON messages of the orders' changes; their objects decode to the terms that were encoded."""
     q = table_quads(read(spark, sf, "orders"), "orders", columns=["o_orderkey", "o_orderstatus"])
-    rows = change_rows(U.data(q, "insert", 0), "call-1")
+    rows = cut(change_rows(U.data(q, "insert", 0), "call-1"))  # read three times
     bodies = change_sets(rows, size=500).agg(F.sum(F.regexp_count("body", F.lit('"graph":'))).cast("long").alias("n"))
     o = F.struct(F.col("o_kind").alias("kind"), F.col("o").alias("lex"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang"))
     back = decoded(F.to_json(encoded(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))))

@@ -24,12 +24,15 @@ def encoded(kind: Column, lex: Column, dt: Column, lang: Column) -> Column:
 
 
 def decoded(term: Column) -> Column:
-    """The term that encoded() shows so; term: JSON text."""
-    t = F.from_json(term, "type string, value string, datatype string, `xml:lang` string")
-    kind = F.when(t["type"] == "uri", IRI).when(t["type"].isin("literal", "typed-literal"), LITERAL).when(t["type"] == "bnode", BNODE).cast("tinyint")
-    tag = t["xml:lang"]
-    dt = F.when(kind == LITERAL, F.coalesce(F.when(tag.isNotNull(), F.lit(LANG_STRING)), t["datatype"], F.lit(XSD + "string")))
-    return F.when(kind.isNotNull() & t["value"].isNotNull(), F.struct(kind.alias("kind"), t["value"].alias("lex"), dt.alias("dt"), tag.alias("lang")))
+    """The term that encoded() shows so; term: JSON text, which is parsed once, however often its parts are named."""
+
+    def made(t: Column) -> Column:
+        kind = F.when(t["type"] == "uri", IRI).when(t["type"].isin("literal", "typed-literal"), LITERAL).when(t["type"] == "bnode", BNODE).cast("tinyint")
+        tag = t["xml:lang"]
+        dt = F.when(kind == LITERAL, F.coalesce(F.when(tag.isNotNull(), F.lit(LANG_STRING)), t["datatype"], F.lit(XSD + "string")))
+        return F.when(kind.isNotNull() & t["value"].isNotNull(), F.struct(kind.alias("kind"), t["value"].alias("lex"), dt.alias("dt"), tag.alias("lang")))
+
+    return F.transform(F.array(F.from_json(term, "type string, value string, datatype string, `xml:lang` string")), made)[0]
 
 
 def change_rows(routed: DataFrame, call: str) -> DataFrame:
@@ -43,7 +46,7 @@ def change_sets(rows: DataFrame, size: int = 1000) -> DataFrame:
     quad = F.struct(uri("g").alias("graph"), encoded(F.col("s_kind"), F.col("s"), null, null).alias("subject"), uri("p").alias("predicate"), encoded(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("object"))
     counts = rows.groupBy("call", "seq", "op").agg(F.ceil(F.count("*") / size).alias("parts"))
     dealt = rows.join(counts, ["call", "seq", "op"]).withColumn("part", F.pmod(F.xxhash64("g", "s", "p", "o"), "parts"))
-    sets = dealt.groupBy("call", "seq", "op", "part").agg(F.to_json(F.array_sort(F.collect_list(quad))).alias("quads"))
+    sets = dealt.groupBy("call", "seq", "op", "part").agg(F.to_json(F.sort_array(F.collect_list(quad))).alias("quads"))
     return sets.select("call", "seq", "op", "part", F.concat(F.lit('{"changeSets":[{"'), "op", F.lit('":'), "quads", F.lit("}]}")).alias("body"))
 
 

@@ -1,11 +1,14 @@
 """Queries do their whole job, and no task holds more than its share."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.functions import terms as T
 from graphloom.plans import access as acl
 from graphloom.plans import updates as U
 from graphloom.queries import QUERIES, SQL
 from graphloom.sources.quads import NS, table_quads
+from graphloom.streaming.deltas import decoded
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +66,11 @@ def test_no_row_of_the_changes_meets_others_by_its_object(spark, monkeypatch):
     for c, s in stored:
         got = acl.route(c, s, specs, [("l", ()), ("clean", ())])
         assert got.count() == q.where(f"p = '{NS}c_nation'").count() and got.select("g").distinct().count() == 1
+
+
+def test_json_terms_are_parsed_once(spark):
+    """Each name of a part of the term parsed its JSON again."""
+    texts = spark.createDataFrame([('{"type":"literal","value":"a","xml:lang":"en"}',), ('{"type":"uri","value":"b"}',), ("{",), (None,)], "t string")
+    out = texts.repartition(1).select(decoded(F.col("t")).alias("x"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert {tuple(r.x) if r.x else None for r in out.collect()} == {(3, "a", T.LANG_STRING, "en"), (2, "b", None, None), None}
