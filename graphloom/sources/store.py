@@ -48,12 +48,20 @@ def last_of(changes: DataFrame, identity: list[str], by: str) -> DataFrame:
 def overlay(rows: DataFrame, folded: DataFrame, identity: list[str], small: bool) -> DataFrame:
     """rows, a set, without those that `folded` names, and with those that it inserts. small: folded is sent to the tasks that read
     rows, which are not shuffled then; else never, however few bytes its files have, since rows are far larger in memory. Equal hashes are
-    looked at field by field."""
+    looked at field by field. Dealt rows meet by their hash alone, in an outer join; the fields are made a struct (null equals null in it)
+    after the dealing and are no key. For other keys, bare rows or an anti-join, Spark would deal anew to all of the session's parts, and
+    beyond MOST_PARTS the task that reads a file keeps all rows that it makes in memory."""
     columns = rows.columns
     keys = folded.select(F.xxhash64(*identity).alias("h__r"), *(F.col(c).alias(f"{c}__r") for c in identity))
     rows = rows.withColumn("h__", F.xxhash64(*identity))
-    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in identity], F.col("h__") == F.col("h__r"))
-    kept = rows.join(F.broadcast(keys), same, "left_anti") if small else spread(rows, "h__").join(spread(keys, "h__r").hint("merge"), same, "left_anti")
+    met = F.col("h__") == F.col("h__r")
+    if small:
+        kept = rows.join(F.broadcast(keys), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}__r")) for c in identity], met), "left_anti")
+    else:
+        mine = spread(rows, "h__").select(F.struct(*identity).alias("k__"), "h__", *(c for c in columns if c not in identity))
+        theirs = spread(keys, "h__r").select(F.struct(*(F.col(f"{c}__r").alias(c) for c in identity)).alias("k__r"), "h__r")
+        kept = mine.join(theirs.hint("merge"), met & F.col("k__").between(F.col("k__r"), F.col("k__r")), "left").where("h__r is null")
+        kept = kept.select("k__.*", *(c for c in columns if c not in identity))
     return kept.select(*columns).unionByName(folded.where("op = 'insert'").select(*columns))
 
 

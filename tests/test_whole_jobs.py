@@ -7,6 +7,7 @@ from graphloom.functions import terms as T
 from graphloom.plans import access as acl
 from graphloom.plans import updates as U
 from graphloom.queries import QUERIES, SQL
+from graphloom.shared import MOST_PARTS
 from graphloom.sources.quads import NS, table_quads
 from graphloom.streaming.deltas import decoded
 
@@ -51,6 +52,20 @@ def test_large_changes_are_not_broadcast(spark):
     assert not any("BroadcastExchange" in x for x in plan(after)) and after.count() == 0
 
 
+def test_large_changes_keep_the_parts_that_rows_are_dealt_to(spark):
+    """With more parts, the task that reads a file would hold all quads that it makes before it writes them."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        q = customers(spark)
+        after = U.commit(q, U.fold(U.data(q.where(f"p = '{NS}c_name'"), "delete", 0)), broadcast_bytes=0)
+        dealt = [x for x in plan(after) if "Exchange" in x]
+        assert len(dealt) == 2 and all(f", {MOST_PARTS})" in x for x in dealt)
+        assert after.count() == q.count() * 6 // 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_row_of_the_changes_meets_others_by_its_object(spark, monkeypatch):
     """A type or a country of very many rows made one task of a join; its types are sent to all tasks instead."""
     monkeypatch.setattr(acl, "HOT", 3)
