@@ -42,9 +42,10 @@ def stars(edges: DataFrame) -> DataFrame:
         drop(last)
 
 
-def smallest_reachable(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """nodes (node, low) with low replaced by the smallest low of the node's component."""
-    rooted = nodes.join(stars(edges).select("a", F.col("b").alias("node")), "node", "left").select("node", F.coalesce("a", "node").alias("root"), "low")
+def smallest_reachable(edges: DataFrame, nodes: DataFrame, starred: bool = False) -> DataFrame:
+    """nodes (node, low) with low replaced by the smallest low of the node's component. starred: edges come from stars()."""
+    roots = edges if starred else stars(edges)
+    rooted = nodes.join(roots.select("a", F.col("b").alias("node")), "node", "left").select("node", F.coalesce("a", "node").alias("root"), "low")
     lows = rooted.where("root <> node").groupBy("root").agg(F.min("low").alias("m"))
     at_root = nodes.join(lows, F.col("node") == F.col("root")).select("root", F.least("low", "m").alias("m"))
     return rooted.join(at_root, "root", "left").select("node", F.coalesce("m", "low").alias("low"))

@@ -151,8 +151,9 @@ def meet(members: DataFrame, own: DataFrame, percent: int, weight: int, texts: i
     return out
 
 
-def links(docs: DataFrame, classes: DataFrame, percent: int = 80, first: int = 2, few: int = 4, weight: int = 1 << 17, texts: int = 1024, moved: float = 2, least: int = 1 << 24) -> DataFrame:
-    """(a, b): links between classes of at least this similarity that span every component of candidates. A list holds about
+def links(docs: DataFrame, classes: DataFrame, percent: int = 80, first: int = 2, few: int = 4, weight: int = 1 << 17, texts: int = 1024, moved: float = 2, least: int = 1 << 24, known: DataFrame | None = None) -> DataFrame:
+    """(a, b), as stars() gives them: the components of links between classes of at least this similarity, and of links known already, which
+    need no test. A list holds about
     `weight` shingles and `texts` texts; a wave moves about `moved` times the sets, or `least` shingles if that is more."""
     members = bands(docs)
     own = sets(docs, classes.join(members.select("node").distinct(), "node"))
@@ -161,7 +162,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 80, first: int = 2
     chosen = cut(members.join(centres, "band").where("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
     sized = chosen.join(own.select(F.col("node").alias("a"), F.col("s").alias("s")), "a").join(own.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     both = F.size(F.array_intersect("s", "t"))
-    edges = cut(sized.where(both * 100 >= percent * (F.size("s") + F.size("t") - both)).select("a", "b"))
+    alike = sized.where(both * 100 >= percent * (F.size("s") + F.size("t") - both)).select("a", "b")
+    edges = cut(alike if known is None else alike.unionByName(known))
     roots = stars(edges)
     large = rooted(members.where(F.col("n") > few), roots)
     mixed = large.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y").select("band", "m")
@@ -176,8 +178,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int = 80, first: int = 2
         old, edges = (edges, roots, found), cut(roots.unionByName(found))
         roots = stars(edges)
         drop(*old)
-    drop(large, own, roots)
-    return edges
+    drop(large, own, edges)
+    return roots
 
 
 def close_prints(docs: DataFrame, shingle: int = 5, bits: int = 3) -> DataFrame:
@@ -201,4 +203,7 @@ def close_prints(docs: DataFrame, shingle: int = 5, bits: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row of each component: the one of its smallest id, a null id being the largest."""
     classes = classed(docs, class_of)
-    return survivors(docs, classes, close_prints(docs).unionByName(links(docs, classes)))
+    prints = close_prints(docs)
+    roots = links(docs, classes, known=prints)
+    drop(prints)
+    return survivors(docs, classes, roots, starred=True)

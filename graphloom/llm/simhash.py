@@ -210,10 +210,11 @@ def take(docs: DataFrame, keys: DataFrame, at_most: int = 100_000) -> DataFrame:
     return rows.join(keys.where("n = 1"), KEY).select("row", "text").unionByName(grouped.select("row", "text"))
 
 
-def survivors(docs: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
-    """docs, all columns, with one row of each component: the one of its smallest id, a null id being the largest."""
-    heads = smallest_reachable(edges, classes.select("node", "low")).select("low").distinct()
-    return take(docs, heads.join(classes.select("low", "n"), "low")).select("row.*")
+def survivors(docs: DataFrame, classes: DataFrame, edges: DataFrame, starred: bool = False) -> DataFrame:
+    """docs, all columns, with one row of each component: the one of its smallest id, a null id being the largest. starred: edges come from
+    stars()."""
+    heads = smallest_reachable(edges, classes.select("node", "low"), starred).select("low").distinct()
+    return take(docs, cut(heads.join(classes.select("low", "n"), "low"))).select("row.*")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, bits: int = 3) -> DataFrame:

@@ -271,7 +271,7 @@ def rounds(rows: DataFrame, model: Model, n: int, share: float, shards: int, epo
         for block, v in zip(got.column("block").to_pylist(), got.column("v"), strict=True):
             after[block] = v.values.to_numpy()
         before = before + after.ravel()[: len(before)]
-        shared.unpersist()
+        shared.destroy()  # the driver keeps a broadcast too, which unpersist() leaves there
     drop(dealt)
     model.load(before)
 
@@ -303,6 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1,
 
     tallied = use.select("h", "lang", "toxic").mapInArrow(batches(stepped), "step int, lang string, toxic int")
     tallied = cut(tallied.groupBy("lang", "step").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")))
+    shared.destroy()
     counted = lambda rows: [c.to_numpy().astype(float) for c in rows.groupBy("step").agg(F.sum("clean"), F.sum("toxic")).orderBy("step").toArrow().columns]
     step, clean, toxic = counted(tallied)  # 2 * LIMIT * STEPS rows at most
     model.shift = float(np.log(at / (1 - at)) - best_cut(step / STEPS, clean, toxic))

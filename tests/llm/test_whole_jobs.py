@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import lm_scoring, near_copies, simhash, toxicity
+from graphloom.llm import components, lm_scoring, near_copies, simhash, toxicity
 
 
 def test_toxicity_learns_from_every_labelled_row(spark):
@@ -39,3 +39,28 @@ def test_pipeline_links_by_fingerprints(spark):
     near = {(i, i + 1) for i in range(0, 80, 10) if (simhash.fingerprint(dict(given)[i], 5) ^ simhash.fingerprint(dict(given)[i + 1], 5)).bit_count() <= 3}
     got = {frozenset(x) for x in near_copies.close_prints(d).collect()}
     assert near and got == {frozenset((node[a], node[b])) for a, b in near}
+
+
+def test_training_leaves_no_broadcast_with_the_driver(spark, monkeypatch):
+    made, sc = [], spark.sparkContext
+    make = type(sc).broadcast
+    monkeypatch.setattr(type(sc), "broadcast", lambda self, value: made.append(make(self, value)) or made[-1])
+    d = spark.createDataFrame([(i, "kind word there" if i % 2 else "omega word here", "en") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert toxicity.train(d, labels, words=300, steps=8) is not None
+    assert len(made) > 1 and not any(b._jbroadcast.isValid() for b in made)
+
+
+def test_pipeline_works_out_components_once(spark, monkeypatch):
+    """Both kinds of links: 20 words more change a text's fingerprint, a word in 600 hardly does."""
+    r, times = random.Random(5), []
+    given = []
+    for k in range(4):
+        base = [f"w{r.randrange(3000)}" for _ in range(600)]
+        given += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:-1], "other"])), (10 * k + 2, " ".join([*base, *(f"x{i}" for i in range(20))]))]
+    d = spark.createDataFrame([(90, "alone"), *given], "doc_id long, text string")
+    stars = components.stars
+    for module in (components, near_copies):
+        monkeypatch.setattr(module, "stars", lambda edges: times.append(1) or stars(edges))
+    assert sorted(x["doc_id"] for x in near_copies.one_of_each(d).collect()) == [0, 10, 20, 30, 90]
+    assert len(times) == 1
